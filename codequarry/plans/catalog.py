@@ -2,5 +2,568 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from codequarry.functions import text as fn
+from codequarry.operators import aggregates, edges, evaluate, graph, search
+from codequarry.plans.views import EDGE, SYM, symbols, table
+from codequarry.plans.views import edges as calls
+from codequarry.streaming.changes import debounce, latest_changes
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+SEED = "red widget"
+_TERMS = ["the", "mentend"]
+_RANKED = "resolution IN ('same-file', 'same-package', 'receiver-typed')"
+
+# ------------------------------------------------------------------------------------------ definitions and edges
+
+_LABEL = "CASE WHEN kind = 'method' THEN 'method' WHEN kind LIKE 'type/%' THEN substr(kind, 6) ELSE 'function' END"
+_PRIORITY = "CASE WHEN kind = 'method' THEN 2 WHEN kind LIKE 'type/%' THEN 0 ELSE 1 END"
+
+
+@_query("definition_lookup", f"WITH {SYM} SELECT name, kind, {_LABEL} AS label, {_PRIORITY} AS priority, file_path, start_line, id FROM sym WHERE lower(name) = lower('RED Widget')")
+def _definition_lookup(spark: SparkSession, d: str) -> DataFrame:
+    s = symbols(spark, d).where(fn.equal_fold(F.col("name"), F.lit("RED Widget")))
+    return s.select("name", "kind", fn.label(F.col("kind")).alias("label"), fn.priority(F.col("kind")).alias("priority"), "file_path", "start_line", "id")
+
+
+@_query("exact_name_canonical", f"""WITH {SYM}, r AS (SELECT *, {_PRIORITY} AS priority FROM sym),
+k AS (SELECT *, rank() OVER (PARTITION BY package, name ORDER BY priority) AS r FROM r)
+SELECT package, name, min(id) AS id, min(priority) AS priority FROM k WHERE r = 1 GROUP BY package, name HAVING count(*) = 1""")
+def _exact_name_canonical(spark: SparkSession, d: str) -> DataFrame:
+    s = symbols(spark, d).withColumn("priority", fn.priority(F.col("kind")))
+    return aggregates.unique_best(s, ["package", "name"], "priority").select("package", "name", "id", "priority")
+
+
+@_query("direct_callers", f"WITH {SYM}, {EDGE} SELECT s.name AS caller_name, s.file_path AS caller_file, e.line, e.resolution FROM edge e JOIN sym s ON s.id = e.caller_id WHERE e.callee_name = 'part_7'")
+def _direct_callers(spark: SparkSession, d: str) -> DataFrame:
+    return edges.direct_callers(calls(spark, d), symbols(spark, d), "part_7")
+
+
+@_query("direct_callees", f"""WITH {SYM}, {EDGE} SELECT coalesce(t.name, e.callee_name) AS callee, t.file_path AS callee_file, e.line, e.resolution
+FROM edge e JOIN sym s ON s.id = e.caller_id AND s.name = '{SEED}' LEFT JOIN sym t ON t.id = e.callee_id""")
+def _direct_callees(spark: SparkSession, d: str) -> DataFrame:
+    return edges.direct_callees(calls(spark, d), symbols(spark, d), SEED)
+
+
+def _walk_sql(direction: str, cond: str, depth: int = 2) -> str:
+    if direction == "callers":
+        step = f"SELECT DISTINCT e.caller_id, w.depth + 1, e.resolution, NULL FROM w JOIN edge e ON e.callee_id = w.id WHERE w.depth < {depth} AND {cond}"
+        tail = ""
+    else:
+        step = f"SELECT DISTINCT coalesce(e.callee_id, 0), w.depth + 1, e.resolution, CASE WHEN e.callee_id IS NULL THEN e.callee_name END FROM w JOIN edge e ON e.caller_id = w.id WHERE w.depth < {depth} AND {cond}"
+        tail = "UNION SELECT w.name, '(external)', NULL, w.depth, w.resolution FROM w WHERE w.depth > 0 AND w.id = 0"
+    return f"""WITH RECURSIVE {SYM}, {EDGE}, w(id, depth, resolution, name) AS (
+  SELECT id, 0, '', CAST(NULL AS VARCHAR) FROM sym WHERE name = '{SEED}' UNION {step})
+SELECT DISTINCT s.name, s.file_path, s.start_line, w.depth, w.resolution FROM w JOIN sym s ON s.id = w.id WHERE w.depth > 0 {tail}"""
+
+
+for _direction in ("callers", "callees"):
+    _query(f"call_chain_{_direction}", _walk_sql(_direction, "e.resolution != 'interface-dispatch'"))(
+        lambda spark, d, x=_direction: graph.call_chain(symbols(spark, d), calls(spark, d), SEED, 2, x)
+    )
+
+
+@_query("min_confidence_filter", _walk_sql("callers", "e." + _RANKED))
+def _min_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return graph.call_chain(symbols(spark, d), calls(spark, d), SEED, 2, "callers", "receiver-typed")
+
+
+@_query("call_chain_capped", f"""WITH r AS ({_walk_sql("callers", "e.resolution != 'interface-dispatch'")})
+SELECT *, (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM r) > 50 AS truncated FROM r ORDER BY depth, name, file_path, start_line, resolution LIMIT 50""")
+def _call_chain_capped(spark: SparkSession, d: str) -> DataFrame:
+    return graph.capped(graph.call_chain(symbols(spark, d), calls(spark, d), SEED))
+
+
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    return symbols(spark, d).where("file_path = 'Brand#7/PROMO'").select("id")
+
+
+_IMPACT = f"""WITH {SYM}, {EDGE},
+e AS (SELECT callee_id AS src, caller_id AS id, resolution AS r FROM edge WHERE resolution != 'interface-dispatch' AND callee_id IS NOT NULL AND callee_id != caller_id),
+s AS (SELECT id, id AS via FROM sym WHERE file_path = 'Brand#7/PROMO'),
+a AS (SELECT e.id, min((s.via, e.r)) AS v FROM e JOIN s ON s.id = e.src GROUP BY e.id),
+b AS (SELECT e.id, min((a.v[1], e.r)) AS v FROM e JOIN a ON a.id = e.src GROUP BY e.id),
+m AS (SELECT id, 1 AS depth, v[1] AS via_id, v[2] AS via_resolution FROM a UNION ALL SELECT id, 2, v[1], v[2] FROM b WHERE id NOT IN (SELECT id FROM a)),
+impact AS (SELECT m.id, t.file_path AS file, t.name AS symbol, t.start_line AS line, m.depth, o.name AS via, t.kind, m.via_resolution
+  FROM m JOIN sym t ON t.id = m.id JOIN sym o ON o.id = m.via_id)"""
+
+
+def _impact(spark: SparkSession, d: str) -> DataFrame:
+    return graph.impact(symbols(spark, d), calls(spark, d), _seeds(spark, d))
+
+
+_query("impact_radius", f"{_IMPACT} SELECT * FROM impact")(_impact)
+
+
+@_query("impact_breakdown", f"{_IMPACT} SELECT via_resolution, count(*) AS n, max(depth) AS max_depth FROM impact GROUP BY 1")
+def _impact_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return _impact(spark, d).groupBy("via_resolution").agg(F.count("*").alias("n"), F.max("depth").alias("max_depth"))
+
+
+_RANK_STEPS = 5
+_PAGERANK = f"""WITH RECURSIVE {SYM}, {EDGE},
+e AS (SELECT caller_id AS src, callee_id AS dst, count(*) AS w FROM edge WHERE callee_id IS NOT NULL AND callee_id != caller_id AND resolution != 'interface-dispatch' GROUP BY 1, 2),
+g AS (SELECT src, sum(w) AS degree FROM e GROUP BY 1), sh AS (SELECT e.src, e.dst, e.w / g.degree AS share FROM e JOIN g USING (src)),
+n AS (SELECT count(*)::DOUBLE AS n FROM sym)""" + "".join(
+    f""", p{i} AS (SELECT s.id, {'1.0 / n.n' if i == 0 else f'0.15 / n.n + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(score), 0) FROM p{i - 1} WHERE id NOT IN (SELECT src FROM g)) / n.n)'} AS score
+  FROM sym s CROSS JOIN n {'' if i == 0 else f'LEFT JOIN (SELECT sh.dst, sum(p.score * sh.share) AS got FROM sh JOIN p{i - 1} p ON p.id = sh.src GROUP BY 1) q ON q.dst = s.id'})"""
+    for i in range(_RANK_STEPS + 1)
+)
+
+
+def _ranks(spark: SparkSession, d: str) -> DataFrame:
+    return graph.pagerank(symbols(spark, d), calls(spark, d), _RANK_STEPS, epsilon=None)
+
+
+@_query("pagerank", f"{_PAGERANK} SELECT id, round(score, 9) AS score FROM p{_RANK_STEPS}")
+def _pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return _ranks(spark, d).select("id", F.round("score", 9).alias("score"))
+
+
+@_query("file_scores", f"{_PAGERANK} SELECT file_path, round(sum(score), 9) AS score FROM p{_RANK_STEPS} JOIN sym USING (id) GROUP BY 1")
+def _file_scores(spark: SparkSession, d: str) -> DataFrame:
+    return graph.file_scores(symbols(spark, d), _ranks(spark, d)).select("file_path", F.round("score", 9).alias("score"))
+
+
+@_query("dir_scores", f"{_PAGERANK} SELECT split_part(file_path, '/', 1) AS dir, round(sum(score), 9) AS score FROM p{_RANK_STEPS} JOIN sym USING (id) GROUP BY 1")
+def _dir_scores(spark: SparkSession, d: str) -> DataFrame:
+    files = graph.file_scores(symbols(spark, d), _ranks(spark, d))
+    return files.groupBy(fn.top_level_dir(F.col("file_path")).alias("dir")).agg(F.round(F.sum("score"), 9).alias("score"))
+
+
+@_query("resolution_histogram", f"WITH {EDGE} SELECT resolution, count(*) AS n FROM edge GROUP BY 1")
+def _resolution_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return edges.resolution_histogram(calls(spark, d))
+
+
+@_query("language_histogram", f"WITH {SYM}, {EDGE} SELECT language, resolution, count(*) AS n FROM edge JOIN sym ON sym.id = caller_id GROUP BY 1, 2")
+def _language_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return edges.edge_languages(calls(spark, d), symbols(spark, d))
+
+
+@_query("language_counts", f"WITH {SYM} SELECT language, count(*) AS n, count(DISTINCT file_path) AS files FROM sym GROUP BY 1")
+def _language_counts(spark: SparkSession, d: str) -> DataFrame:
+    return symbols(spark, d).groupBy("language").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
+
+
+@_query("directory_map", f"WITH {SYM} SELECT split_part(file_path, '/', 1) AS dir, count(*) AS functions, count(DISTINCT file_path) AS files FROM sym GROUP BY 1")
+def _directory_map(spark: SparkSession, d: str) -> DataFrame:
+    s = symbols(spark, d)
+    return s.groupBy(fn.top_level_dir(F.col("file_path")).alias("dir")).agg(F.count("*").alias("functions"), F.count_distinct("file_path").alias("files"))
+
+
+@_query("file_symbols", f"WITH {SYM} SELECT id, name, start_line FROM sym WHERE file_path = 'Brand#7/PROMO'")
+def _file_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return symbols(spark, d).where("file_path = 'Brand#7/PROMO'").orderBy("start_line", "id").select("id", "name", "start_line")
+
+
+@_query("golden_edges", f"""WITH {SYM}, {EDGE} SELECT s.name AS caller_name, e.callee_name, e.file_path AS call_file, t.kind AS want_receiver, t.package AS want_package, t.file_path AS want_file, e.resolution AS want_marker
+FROM edge e JOIN sym s ON s.id = e.caller_id LEFT JOIN sym t ON t.id = e.callee_id""")
+def _golden_edges(spark: SparkSession, d: str) -> DataFrame:
+    s = symbols(spark, d).withColumn("receiver_type", F.col("kind"))
+    return edges.golden_edges(calls(spark, d), s)
+
+
+# --------------------------------------------------------------------------------------------------------- search
+
+_TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_POST = f"post AS (SELECT doc_id AS id, unnest({_TOK}) AS term, generate_subscripts({_TOK}, 1) - 1 AS pos FROM documents)"
+_LEN = f"len AS (SELECT doc_id AS id, len({_TOK}) AS d FROM documents)"
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+
+
+def _post(spark: SparkSession, d: str) -> DataFrame:
+    return search.postings(_documents(spark, d), ["text"], "doc_id")
+
+
+def _bm25_sql(groups: list[str], match: str, weight: str = "1.0", post: str = _POST, length: str = _LEN) -> str:
+    parts = " UNION ALL ".join(f"SELECT id, {i} AS q, sum(w) AS f FROM (SELECT *, {weight} AS w FROM post) WHERE {g} GROUP BY id" for i, g in enumerate(groups))
+    return f"""WITH {post}, {length}, f AS ({parts}), n AS (SELECT q, count(*)::DOUBLE AS n FROM f GROUP BY q),
+c AS (SELECT count(*)::DOUBLE AS nn, avg(d) AS mean FROM len),
+i AS (SELECT q, CASE WHEN ln((nn - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((nn - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) END AS idf FROM n, c)
+SELECT id, round(-sum(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / mean))), 9) AS rank
+FROM f JOIN i USING (q) JOIN len USING (id), c WHERE {match} GROUP BY id"""
+
+
+def _ranked(post: DataFrame, length: DataFrame, q: str, weights: dict[str, float]) -> DataFrame:
+    return search.bm25(post, length, search.understood(q), weights).select("id", F.round("rank", 9).alias("rank"))
+
+
+@_query("bm25_documents", _bm25_sql(["term = 'the'", "term = 'ther'"], "id IN (SELECT id FROM post WHERE term = 'the') AND id IN (SELECT id FROM post WHERE term = 'ther')"))
+def _bm25_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d)
+    return _ranked(_post(spark, d), search.lengths(docs, ["text"], "doc_id"), "the ther", {"text": 1.0})
+
+
+_POST2 = " UNION ALL ".join(
+    f"SELECT doc_id AS id, '{c}' AS col, unnest(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents" for c in ("source", "lang", "text")
+)
+_LEN2 = "len AS (SELECT doc_id AS id, " + " + ".join(f"len(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'))" for c in ("source", "lang", "text")) + " AS d FROM documents)"
+
+
+@_query("bm25_weighted_columns", _bm25_sql(
+    ["term = 'src3'", "term LIKE 'en%'"], "id IN (SELECT id FROM post WHERE term = 'src3') AND id IN (SELECT id FROM post WHERE term LIKE 'en%')",
+    "CASE col WHEN 'source' THEN 5.0::DOUBLE WHEN 'lang' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END", f"post AS ({_POST2})", _LEN2))
+def _bm25_weighted(spark: SparkSession, d: str) -> DataFrame:
+    docs, columns = _documents(spark, d), ["source", "lang", "text"]
+    post = search.postings(docs, columns, "doc_id")
+    return _ranked(post, search.lengths(docs, columns, "doc_id"), "src3 en*", {"source": 5.0, "lang": 1.5, "text": 1.0})
+
+
+@_query("bm25_top_k", "SELECT * FROM (" + _bm25_sql(["term = 'the'", "term = 'ther'"], "true") + ") ORDER BY rank, id LIMIT 30")
+def _bm25_top(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d)
+    ranked = _ranked(_post(spark, d), search.lengths(docs, ["text"], "doc_id"), "the OR ther", {"text": 1.0})
+    return search.best(ranked, search.overfetch(3))
+
+
+@_query("phrase_match", f"WITH {_POST} SELECT a.id, count(*) AS hits FROM post a JOIN post b ON b.id = a.id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.id")
+def _phrase_match(spark: SparkSession, d: str) -> DataFrame:
+    return search.phrase_hits(_post(spark, d), search.Phrase(("of", "the"))).groupBy("id").agg(F.count("*").alias("hits"))
+
+
+@_query("prefix_match", f"WITH {_POST} SELECT id, count(*) AS hits FROM post WHERE term LIKE 'ment%' GROUP BY id")
+def _prefix_match(spark: SparkSession, d: str) -> DataFrame:
+    return search.phrase_hits(_post(spark, d), search.Phrase(("ment",), prefix=True)).groupBy("id").agg(F.count("*").alias("hits"))
+
+
+@_query("or_expansion", f"WITH {_POST} SELECT DISTINCT id FROM post WHERE term LIKE 'fetchuser%' OR id IN (SELECT id FROM post WHERE term LIKE 'ment%' INTERSECT SELECT id FROM post WHERE term LIKE 'eau%')")
+def _or_expansion(spark: SparkSession, d: str) -> DataFrame:
+    q = search.Op("or", (search.Phrase(("fetchuser",), True), search.Op("and", (search.Phrase(("ment",), True), search.Phrase(("eau",), True)))))
+    return search.matching(_post(spark, d), q)
+
+
+@_query("boolean_not", f"WITH {_POST} SELECT DISTINCT id FROM post WHERE term = 'the' AND id NOT IN (SELECT id FROM post WHERE term = 'license')")
+def _boolean_not(spark: SparkSession, d: str) -> DataFrame:
+    return search.matching(_post(spark, d), search.parse_query("the NOT license"))
+
+
+@_query("postings", f"WITH {_POST} SELECT term, count(*) AS occurrences, count(DISTINCT id) AS documents FROM post GROUP BY term")
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    per_doc = _post(spark, d).groupBy("term", "id").agg(F.count("*").alias("n"))
+    return per_doc.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
+
+
+@_query("suggestions", f"""WITH {SYM}, names AS (SELECT DISTINCT name, CASE WHEN kind LIKE 'type/%' THEN 1 ELSE 0 END AS src FROM sym),
+t AS (SELECT 0 AS i, 'widgte' AS t UNION ALL SELECT 1, 'rinng'), p AS (SELECT i, n, lower(left(t, length(t) - n)) AS p FROM t, range(0, 9) r(n) WHERE length(t) - n >= 3),
+h AS (SELECT name, min((i, n, src)) AS o FROM names, p WHERE contains(lower(name), p) GROUP BY name)
+SELECT name FROM h ORDER BY o, name LIMIT 5""")
+def _suggestions(spark: SparkSession, d: str) -> DataFrame:
+    s = symbols(spark, d)
+    is_type = F.col("kind").startswith("type/")
+    return search.suggestions(s.where(~is_type), s.where(is_type), "widgte rinng")
+
+
+@_query("exact_match_terms", f"WITH {SYM} SELECT id, name FROM sym WHERE lower(name) IN ('small', 'ring') OR lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) = 'smallring'")
+def _exact_match(spark: SparkSession, d: str) -> DataFrame:
+    name = F.lower("name")
+    return symbols(spark, d).where(name.isin("small", "ring") | (F.lower(fn.alphanumeric(F.col("name"))) == "smallring")).select("id", "name")
+
+
+@_query("split_identifier", r"""WITH n AS (SELECT c_custkey AS id, replace(c_name, '#', 'HTTPServer') AS name FROM customer UNION ALL SELECT s_suppkey + 1000000, 'get' || s_name || 'v2x_id' FROM supplier),
+w AS (SELECT id, name, regexp_extract_all(regexp_replace(regexp_replace(name, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[0-9]+[a-z]*|[A-Z]+[a-z]*|[a-z]+') AS ws FROM n)
+SELECT id, name, CASE WHEN len(ws) >= 2 THEN array_to_string(ws, ' ') END AS parts FROM w""")
+def _split_identifier(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.replace("c_name", F.lit("#"), F.lit("HTTPServer")).alias("name"))
+    s = table(spark, d, "supplier").select((F.col("s_suppkey") + 1000000).alias("id"), F.concat(F.lit("get"), "s_name", F.lit("v2x_id")).alias("name"))
+    return c.unionByName(s).withColumn("parts", fn.split_identifier(F.col("name")))
+
+
+# ------------------------------------------------------------------------------------------- resolver's aggregates
+
+
+@_query("innermost_span", """WITH e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line FROM events),
+s AS (SELECT event_id AS id, user_id, line AS a, line + event_id % 5 AS b FROM e)
+SELECT point_id, id AS span_id, span FROM (
+  SELECT e.event_id AS point_id, s.id, s.b - s.a AS span, row_number() OVER (PARTITION BY e.event_id ORDER BY s.b - s.a, s.id) AS r
+  FROM e JOIN s ON s.user_id = e.user_id AND s.a <= e.line AND s.b >= e.line) WHERE r = 1""")
+def _innermost_span(spark: SparkSession, d: str) -> DataFrame:
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("file_path"), F.row_number().over(w).cast("long").alias("line"))
+    spans = e.select(F.col("event_id").alias("id"), "file_path", F.col("line").alias("start_line"), (F.col("line") + F.col("event_id") % 5).alias("end_line"))
+    return aggregates.innermost(e.select(F.col("event_id").alias("point_id"), "file_path", "line"), spans)
+
+
+@_query("sole_distinct_type", "SELECT p_name, min(p_type) AS p_type FROM part WHERE p_size <= 3 GROUP BY p_name HAVING count(DISTINCT p_type) = 1")
+def _sole_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.sole_value(table(spark, d, "part").where("p_size <= 3"), ["p_name"], "p_type")
+
+
+@_query("first_nonempty", "SELECT p_name, arg_min(p_type, p_partkey) AS p_type FROM part WHERE p_type NOT LIKE 'S%' GROUP BY p_name")
+def _first_nonempty(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").withColumn("p_type", F.when(F.col("p_type").startswith("S"), "").otherwise(F.col("p_type")))
+    return aggregates.first_nonempty(p, ["p_name"], "p_type", "p_partkey")
+
+
+@_query("unique_match", f"WITH {SYM} SELECT package, name, min(id) AS id, min(file_path) AS file_path FROM sym GROUP BY 1, 2 HAVING count(*) = 1")
+def _unique_match(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.unique_match(symbols(spark, d), ["package", "name"])
+
+
+@_query("first_definition", f"WITH {SYM} SELECT name, min(id) AS id FROM sym GROUP BY 1")
+def _first_definition(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.first_definition(symbols(spark, d))
+
+
+_BASES = """base AS (SELECT 'customer' || c_custkey AS c, 'nation' || c_nationkey AS b, 0 AS ord FROM customer
+UNION ALL SELECT 'nation' || n_nationkey, 'region' || n_regionkey, 0 FROM nation UNION ALL SELECT 'supplier' || s_suppkey, 'nation' || s_nationkey, 0 FROM supplier)"""
+
+
+@_query("inheritance_lookup", f"""WITH RECURSIVE {_BASES}, w(class_name, ancestor, level) AS (SELECT c, b, 1 FROM base UNION SELECT w.class_name, base.b, w.level + 1 FROM w JOIN base ON base.c = w.ancestor WHERE w.level < 20)
+SELECT class_name, ancestor, min(level) AS level FROM w GROUP BY 1, 2""")
+def _inheritance(spark: SparkSession, d: str) -> DataFrame:
+    def rows(t: str, prefix: str, key: str, base: str, parent: str) -> DataFrame:
+        return table(spark, d, t).select(
+            F.concat(F.lit(prefix), F.col(key).cast("string")).alias("class_name"), F.concat(F.lit(base), F.col(parent).cast("string")).alias("base_name"), F.lit(0).alias("ord")
+        )
+
+    bases = rows("customer", "customer", "c_custkey", "nation", "c_nationkey").unionByName(rows("nation", "nation", "n_nationkey", "region", "n_regionkey"))
+    bases = bases.unionByName(rows("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"))
+    return graph.inheritance_closure(bases).select("class_name", "ancestor", "level")
+
+
+@_query("implements_division", """WITH want AS (SELECT DISTINCT o_custkey AS iface, o_orderstatus AS method FROM orders), have AS (SELECT DISTINCT l_suppkey AS type, l_linestatus AS method FROM lineitem),
+n AS (SELECT iface, count(*) AS n FROM want GROUP BY 1)
+SELECT w.iface, h.type FROM want w JOIN have h USING (method) JOIN n ON n.iface = w.iface GROUP BY w.iface, h.type, n.n HAVING count(*) = n.n AND w.iface != h.type""")
+def _implements(spark: SparkSession, d: str) -> DataFrame:
+    want = table(spark, d, "orders").select(F.col("o_custkey").alias("iface"), F.col("o_orderstatus").alias("method"))
+    have = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("type"), F.col("l_linestatus").alias("method"))
+    return graph.implements(have, want)
+
+
+@_query("interface_dispatch", f"""WITH {SYM}, site AS (SELECT l_orderkey AS site, l_linenumber AS line, p_brand AS iface, p_name AS callee_name FROM lineitem JOIN part ON p_partkey = l_partkey),
+impl AS (SELECT DISTINCT package AS iface, kind AS type FROM sym), m AS (SELECT kind AS type, name AS method, min(id) AS id FROM sym GROUP BY 1, 2)
+SELECT site, line, site.iface, callee_name, count(*) AS edges FROM site JOIN impl ON impl.iface = site.iface JOIN m ON m.type = impl.type AND m.method = site.callee_name GROUP BY ALL""")
+def _interface_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    s = symbols(spark, d)
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("receiver_type"), F.col("p_name").alias("callee_name"))
+    sites = table(spark, d, "lineitem").join(p, "l_partkey").select(
+        F.col("l_orderkey").alias("site"), F.col("l_linenumber").alias("line"), "receiver_type", "callee_name", F.lit("var").alias("receiver_kind")
+    )
+    impl = s.select(F.col("package").alias("iface"), F.col("kind").alias("type")).distinct()
+    methods = s.groupBy(F.col("kind").alias("type"), F.col("name").alias("method")).agg(F.min("id").alias("id"))
+    return graph.dispatch_edges(sites, impl, methods).groupBy("site", "line", "iface", "callee_name").agg(F.count("*").alias("edges"))
+
+
+@_query("import_gate_semi", "SELECT p_partkey, p_name FROM part WHERE p_type = '' OR EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_discount > 0.08)")
+def _import_gate(spark: SparkSession, d: str) -> DataFrame:
+    roots = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_discount > 0.08").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part").select("p_partkey", "p_name").join(roots, "p_partkey", "left_semi")
+
+
+@_query("stale_edges", f"WITH {SYM}, {EDGE} SELECT * FROM edge WHERE EXISTS (SELECT 1 FROM sym WHERE sym.id = callee_id AND file_path IN ('Brand#7/PROMO', 'Brand#3/SMALL'))")
+def _stale(spark: SparkSession, d: str) -> DataFrame:
+    changed = spark.createDataFrame([("Brand#7/PROMO",), ("Brand#3/SMALL",)], "path string")
+    return edges.stale_edges(calls(spark, d), symbols(spark, d), changed)
+
+
+@_query("stale_repair", f"""WITH {SYM}, {EDGE}, st AS (SELECT * FROM edge WHERE EXISTS (SELECT 1 FROM sym WHERE sym.id = callee_id AND file_path = 'Brand#7/PROMO')),
+new AS (SELECT file_path, line, callee_name, min(callee_id) AS callee_id FROM edge WHERE callee_id IS NOT NULL AND resolution != 'name-global' GROUP BY 1, 2, 3)
+SELECT st.caller_id, st.callee_name, st.file_path, st.line, new.callee_id, CASE WHEN new.callee_id IS NULL THEN 'unresolved' ELSE 'same-package' END AS resolution
+FROM st LEFT JOIN new ON new.file_path = st.file_path AND new.line = st.line AND new.callee_name = st.callee_name""")
+def _stale_repair(spark: SparkSession, d: str) -> DataFrame:
+    c = calls(spark, d)
+    changed = spark.createDataFrame([("Brand#7/PROMO",)], "path string")
+    new = c.where("callee_id IS NOT NULL AND resolution != 'name-global'").withColumn("resolution", F.lit("same-package")).withColumn("ord", F.col("callee_id"))
+    return edges.repair_stale(edges.stale_edges(c, symbols(spark, d), changed), new)
+
+
+@_query("top_imports_per_file", """WITH f AS (SELECT o_custkey, count(*) AS score FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
+i AS (SELECT DISTINCT o_custkey, p_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+r AS (SELECT i.o_custkey, p_name, score, row_number() OVER (PARTITION BY i.o_custkey ORDER BY p_name) AS r FROM f JOIN i USING (o_custkey))
+SELECT o_custkey, p_name, score FROM r WHERE r <= 5 ORDER BY score DESC, o_custkey, p_name LIMIT 30""")
+def _top_imports(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    top = o.groupBy("o_custkey").agg(F.count("*").alias("score")).orderBy(F.desc("score"), "o_custkey").limit(10)
+    used = o.join(F.broadcast(top), "o_custkey").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
+    named = used.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").select("o_custkey", "p_name", "score").distinct()
+    return aggregates.top_per_key(named, ["o_custkey"], ["p_name"], 5).orderBy(F.desc("score"), "o_custkey", "p_name").limit(30)
+
+
+# ------------------------------------------------------------------------------------------------------- streaming
+
+
+@_query("debounce_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, min(ts) AS started, max(ts) AS last_event, count(*) AS events FROM s GROUP BY user_id, sid""")
+def _debounce(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = debounce(e, ["user_id"], "6 hours")
+    return out.select("user_id", F.col("first_event").cast("timestamp_ntz").alias("started"), F.col("last_event").cast("timestamp_ntz").alias("last_event"), "events")
+
+
+@_query("change_upsert", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events WHERE event_type != 'view' GROUP BY user_id")
+def _change_upsert(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("event_type != 'view'")
+    return latest_changes(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "ts")
+
+
+# ------------------------------------------------------------------------------------------------------ evaluation
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    return c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+_FILES = "files AS (SELECT conv_id || '/' || turn AS path, coalesce(text, '') AS text FROM conversations)"
+_GREP = f"""{_FILES}, t AS (SELECT unnest(['the', 'mentend']) AS term), l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files),
+hits AS (SELECT term, path, line, text FROM l, t WHERE contains(text, term))"""
+
+
+@_query("grep_hits", f"WITH {_GREP} SELECT term, path, line, text FROM hits")
+def _grep_hits(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.grep(_files(spark, d), _TERMS)
+
+
+@_query("naive_tokens", f"""WITH {_GREP}, h AS (SELECT term, path, sum(ceil(length(path || ':' || line || ':' || text) / 4.0)::BIGINT) AS n FROM hits GROUP BY 1, 2)
+SELECT term, sum(n + w)::BIGINT AS tokens FROM h JOIN (SELECT path, ceil(length(text) / 4.0)::BIGINT AS w FROM files) USING (path) GROUP BY term""")
+def _naive_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.naive_tokens(_files(spark, d), _TERMS)
+
+
+@_query("skilled_windows", f"""WITH {_GREP}, f AS (SELECT path, line // 40 AS bucket, min(line) AS line FROM hits GROUP BY 1, 2)
+SELECT path, bucket, line, array_to_string(string_split(text, chr(10))[greatest(line - 20, 1) : line + 20], chr(10)) AS "window", ceil(length("window") / 4.0)::BIGINT AS tokens
+FROM f JOIN files USING (path)""")
+def _skilled(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.skilled_windows(_files(spark, d), _TERMS)
+
+
+@_query("prf1", """WITH g AS (SELECT source, list(DISTINCT d.doc_id) FILTER (toxic = 1) AS want, list(DISTINCT d.doc_id) FILTER (d.n_chars > 2000) AS found FROM documents d JOIN labels USING (doc_id) GROUP BY 1),
+c AS (SELECT source, len(list_intersect(coalesce(want, []), coalesce(found, [])))::DOUBLE AS b, len(coalesce(want, [])) AS w, len(coalesce(found, [])) AS f FROM g),
+p AS (SELECT source, CASE WHEN f > 0 THEN b / f ELSE 0.0 END AS precision, CASE WHEN w > 0 THEN b / w ELSE 0.0 END AS recall FROM c)
+SELECT source, round(precision, 9) AS precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f1 FROM p""")
+def _prf1(spark: SparkSession, d: str) -> DataFrame:
+    # sizes are counted instead of collected: the sets of a source grow with the corpus
+    j = table(spark, d, "documents").select("doc_id", "source", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    j = j.groupBy("source", "doc_id").agg(F.max(F.col("toxic") == 1).alias("want"), F.max(F.col("n_chars") > 2000).alias("found"))
+    c = j.groupBy("source").agg(F.count_if(F.col("want") & F.col("found")).cast("double").alias("b"), F.count_if("want").alias("w"), F.count_if("found").alias("f"))
+    p = c.select("source", F.when(F.col("f") > 0, F.col("b") / F.col("f")).otherwise(0.0).alias("p"), F.when(F.col("w") > 0, F.col("b") / F.col("w")).otherwise(0.0).alias("r"))
+    f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    return p.select("source", F.round("p", 9).alias("precision"), F.round("r", 9).alias("recall"), F.round(f1, 9).alias("f1"))
+
+
+_PAIRS = "pairs AS (SELECT o_custkey, max(o_totalprice) FILTER (o_orderstatus = 'F') AS a, max(o_totalprice) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY 1 HAVING a IS NOT NULL AND b IS NOT NULL), dl AS (SELECT *, b - a AS delta FROM pairs)"
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.paired(table(spark, d, "orders"), "o_custkey", "o_orderstatus", "o_totalprice", ("F", "O"))
+
+
+@_query("wilcoxon", f"""WITH {_PAIRS}, r AS (SELECT delta, rank() OVER (ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY abs(delta)) - 1) / 2.0 AS k FROM dl WHERE delta != 0),
+s AS (SELECT count(*) AS n, sum(k) FILTER (delta > 0) AS w_plus FROM r)
+SELECT n, w_plus::DOUBLE AS w_plus, round((w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0), 6) AS z FROM s""")
+def _wilcoxon(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.wilcoxon(_pairs(spark, d)).select("n", "w_plus", F.round("z", 6).alias("z"))
+
+
+@_query("mcnemar", f"""WITH {_PAIRS}, c AS (SELECT count(*) FILTER (a <= 200000 AND b > 200000) AS b01, count(*) FILTER (a > 200000 AND b <= 200000) AS b10 FROM dl)
+SELECT b01, b10, round(CASE WHEN b01 + b10 > 0 THEN greatest(abs(b01 - b10) - 1, 0) ** 2 / (b01 + b10) ELSE 0 END, 9) AS chi2 FROM c""")
+def _mcnemar(spark: SparkSession, d: str) -> DataFrame:
+    p = _pairs(spark, d).select((F.col("a") > 200000).alias("x"), (F.col("b") > 200000).alias("y"))
+    return evaluate.mcnemar(p, "x", "y").select("b01", "b10", F.round("chi2", 9).alias("chi2"))
+
+
+@_query("cliffs_delta", f"WITH {_PAIRS} SELECT round(avg(sign(delta)), 9) AS cliffs_delta FROM dl")
+def _cliffs(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.cliffs_delta(_pairs(spark, d)).select(F.round("cliffs_delta", 9).alias("cliffs_delta"))
+
+
+@_query("median_delta", f"WITH {_PAIRS} SELECT round(quantile_cont(delta, 0.5), 6) AS median_delta FROM dl")
+def _median(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.median_delta(_pairs(spark, d)).select(F.round("median_delta", 6).alias("median_delta"))
+
+
+@_query("sign_test", f"WITH {_PAIRS} SELECT count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties FROM dl")
+def _sign_test(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.sign_test(_pairs(spark, d))
+
+
+@_query("arm_totals", "SELECT o_orderpriority AS arm, count(*) AS runs, count(*) FILTER (o_orderstatus = 'F') AS completed, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+def _arm_totals(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("arm")).agg(
+        F.count("*").alias("runs"), F.count_if(F.col("o_orderstatus") == "F").alias("completed"), F.round(F.avg("o_totalprice"), 4).alias("mean")
+    )
+
+
+# --------------------------------------------------------------------------------------------------------- scalars
+
+
+@_query("intent_case", """SELECT item_id, CASE WHEN contains(q, 'where') AND (contains(q, 'defined') OR contains(q, 'definition')) THEN 'definition'
+WHEN regexp_matches(q, 'depends on|what uses|callers|impact|breaks if') OR (contains(q, 'where is') AND contains(q, 'used')) THEN 'impact'
+WHEN regexp_matches(q, 'edit|change|add |remove ') THEN 'edit_target' ELSE 'search' END AS intent
+FROM (SELECT item_id, lower((['Where is it defined? ', 'callers of ', 'please add ', ''])[item_id % 4 + 1] || text) AS q FROM benchmark)""")
+def _intent(spark: SparkSession, d: str) -> DataFrame:
+    lead = F.element_at(F.array(*map(F.lit, ["Where is it defined? ", "callers of ", "please add ", ""])), (F.col("item_id") % 4 + 1).cast("int"))
+    return table(spark, d, "benchmark").select("item_id", fn.intent(F.concat(lead, "text")).alias("intent"))
+
+
+@_query("doc_title", r"""SELECT doc_id, CASE WHEN lang = 'en' AND trim(regexp_extract(c, '(?m)^\s*#+[ \t]*([^\n]*)$', 1)) != '' THEN trim(regexp_extract(c, '(?m)^\s*#+[ \t]*([^\n]*)$', 1)) ELSE doc_id || '.md' END AS title
+FROM (SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN '# ' || text ELSE text END AS c FROM documents)""")
+def _doc_title(spark: SparkSession, d: str) -> DataFrame:
+    c = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# "), "text")).otherwise(F.col("text"))
+    kind = F.when(F.col("lang") == "en", "markdown").otherwise("text")
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return _documents(spark, d).select("doc_id", fn.doc_title(c, path, kind).alias("title"))
+
+
+@_query("test_file_flag", r"""SELECT page_id, regexp_matches(lower(p), '_test\.(go|py)$|\.(test|spec)\.(ts|tsx|js|jsx)$|(^|/)test_') AS is_test
+FROM (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) || (['_test.go', '.spec.ts', '/test_x.rb', '.go'])[page_id % 4 + 1] AS p FROM pages)""")
+def _test_file(spark: SparkSession, d: str) -> DataFrame:
+    tail = F.element_at(F.array(*map(F.lit, ["_test.go", ".spec.ts", "/test_x.rb", ".go"])), (F.col("page_id") % 4 + 1).cast("int"))
+    path = F.concat(F.regexp_extract("url", "^https?://([^?#]*)", 1), tail)
+    return table(spark, d, "pages").select("page_id", fn.is_test_file(path).alias("is_test"))
+
+
+@_query("path_parts", r"""SELECT page_id, split_part(p, '/', 1) AS top, list_extract(string_split(p, '/'), -1) AS last, split_part(p, '.', 1) AS root
+FROM (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS p FROM pages)""")
+def _path_parts(spark: SparkSession, d: str) -> DataFrame:
+    p = F.regexp_extract("url", "^https?://([^?#]*)", 1)
+    return table(spark, d, "pages").select("page_id", fn.top_level_dir(p).alias("top"), fn.last_segment(p).alias("last"), fn.first_dotted(p).alias("root"))
+
+
+@_query("documents_by_kind", "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")
+def _by_kind(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("lang", "source", F.char_length("text").alias("c")).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("c").alias("chars"))
+
+
+# ----------------------------------------------------------------------- rows only: parsing, snippets, statistics
+
+
+@_query("search_snippets")
+def _snippets(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d)
+    q = search.understood("the ther")
+    top = search.best(search.bm25(_post(spark, d), search.lengths(docs, ["text"], "doc_id"), q, {"text": 1.0}), 30)
+    rows = top.join(docs.withColumnRenamed("doc_id", "id"), "id").select("id", F.round("rank", 9).alias("rank"), "text")
+    return search.with_snippets(rows, "text", q).select("id", "rank", "snippet")
+
+
+@_query("bootstrap_interval")
+def _bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    task_pairs = _pairs(spark, d).orderBy("o_custkey").limit(200)  # a run of an evaluation: a bounded list of tasks
+    return evaluate.bootstrap_ci([r["delta"] for r in task_pairs.select("delta").collect()], 500, spark=spark)
+
+
