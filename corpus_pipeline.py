@@ -28,10 +28,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that of smallest id; of equal rows one."""
+    """One document of each class: that of smallest id; of rows that are equal in id and text one."""
+    key = row_key(F.col("doc_id"), F.coalesce("text", F.lit("")))
     joined = ngram_join.ngram_join(docs)
     gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("n_class") > 1)).select(F.col("row").alias("_key"))
-    return _without(docs, row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))), gone)
+    kept = _without(docs, key, gone)
+    again = materialize(joined.groupBy(F.col("row").alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key"), "again")
+    if again.isEmpty():
+        return kept
+    keyed = kept.withColumn("_key", key)
+    once = join_checked(keyed, again, "_key", "left_semi").dropDuplicates(["_key"])
+    return join_checked(keyed, again, "_key", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
