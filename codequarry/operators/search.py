@@ -119,8 +119,12 @@ def parse_query(text: str, columns: list[str] | None = None) -> Query:
         return phrase(column)
 
     def implicit() -> Query:
+        # phrases side by side are joined by AND; a group in parentheses needs its operators written
+        group = peek("op", "(")
         parts = [atom()]
-        while k < len(lexed) and not peek("op", ")") and not (lexed[k][0] == "word" and lexed[k][1] in ("AND", "OR", "NOT")):
+        while not group and k < len(lexed) and not peek("op", ")") and not (lexed[k][0] == "word" and lexed[k][1] in ("AND", "OR", "NOT")):
+            if peek("op", "("):
+                raise QuerySyntaxError("an operator is missing")
             parts.append(atom())
         return parts[0] if len(parts) == 1 else Op("and", tuple(parts))
 
