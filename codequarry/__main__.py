@@ -7,9 +7,11 @@ import json
 import sys
 
 from codequarry.operators.store import Store
-from codequarry.plans import api
+from codequarry.plans import api, artifacts, benchmark, rpc
 from codequarry.session import local_session
-from codequarry.sources.files import ScanOptions
+from codequarry.sources import config, evaluation
+from codequarry.sources.files import ScanOptions, scan
+from codequarry.streaming.maintain import change_stream, maintain
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -32,10 +34,41 @@ def main(argv: list[str] | None = None) -> int:
     tool = sub.add_parser("tool")
     tool.add_argument("name", choices=sorted(api.TOOLS))
     tool.add_argument("--json", default="{}")
+    sub.add_parser("serve")
+    watch = sub.add_parser("watch")
+    watch.add_argument("root")
+    watch.add_argument("--events", required=True)
+    watch.add_argument("--state", required=True)
+    report = sub.add_parser("artifacts")
+    report.add_argument("folder")
+    bench = sub.add_parser("bench")
+    bench.add_argument("root")
+    bench.add_argument("--questions", required=True)
+    bench.add_argument("--out", required=True)
     a = parser.parse_args(argv)
     store = Store(local_session(), a.store)
+    if a.command == "serve":
+        for line in rpc.serve(store, sys.stdin):
+            print(line, flush=True)
+        return 0
+    if a.command == "watch":
+        maintain(store, change_stream(store.spark, a.events), a.root, a.state, config.load(a.root).options()).awaitTermination()
+        return 0
+
+    def options() -> ScanOptions:
+        own = config.load(a.root).options()
+        return ScanOptions(own.include + a.include, own.exclude + a.exclude, own.languages, own.max_file_size)
+
+    def measured() -> dict:
+        asked = [r.asDict() for r in evaluation.questions(store.spark, a.questions).collect()]  # one file of questions
+        result = benchmark.run(scan(store.spark, a.root), asked, lambda tool, args: api.call_tool(store, tool, args), a.root)
+        benchmark.write(result, a.out)
+        return result["summary"]
+
     run = {
-        "index": lambda: {"version": store.index(a.root, ScanOptions(include=a.include, exclude=a.exclude))},
+        "index": lambda: {"version": store.index(a.root, options())},
+        "artifacts": lambda: artifacts.write_all(store, a.folder) or {"written": a.folder},
+        "bench": measured,
         "def": lambda: api.get_definition(store, a.symbol),
         "query": lambda: api.query_codebase(store, a.query),
         "calls": lambda: api.get_call_chain(store, a.name),

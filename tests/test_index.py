@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +323,68 @@ def test_incremental_equals_full(spark, tmp_path):
         for t in ("functions", "types", "call_sites"):
             a, b = live.table(t).drop("id"), full.table(t).drop("id")
             assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_rpc(store):
+    from codequarry.plans import rpc
+
+    ask = [
+        {"id": 1, "method": "tools/list"}, {"method": "notifications/initialized"},
+        {"id": 2, "method": "tools/call", "params": {"name": "get_definition", "arguments": {"symbol": "NewEngine"}}},
+        {"id": 3, "method": "nope"}, {"id": 4, "method": "tools/call", "params": {"name": "get_definition", "arguments": {"x": 1}}},
+        {"id": 5, "method": "tools/call", "params": {"name": "get_call_chain", "arguments": {"function_name": "Stop", "min_confidence": "sure"}}},
+        {"id": 6, "method": "resources/read", "params": {"uri": "index://summary"}}, {"id": 7, "method": "resources/read", "params": {"uri": "x"}},
+    ]
+    got = [json.loads(x) for x in rpc.serve(store, [json.dumps(a) for a in ask] + ["{", ""])]
+    assert [g["id"] for g in got] == [1, 2, 3, 4, 5, 6, 7, None]
+    assert len(got[0]["result"]["tools"]) == 5 and "definitive" in got[1]["result"]["content"][0]["text"]
+    assert [g.get("error", {}).get("code") for g in got] == [None, None, rpc.METHOD, rpc.PARAMS, None, None, rpc.RESOURCE, rpc.PARSE]
+    assert got[4]["result"]["isError"] and "# Summary" in got[5]["result"]["contents"][0]["text"]
+
+
+def test_loop_guard(store):
+    s = api.Session()
+    answers = [api.query_codebase(store, "engine", session=s) for _ in range(6)]
+    assert ["nudge" in a for a in answers] == [False] * 3 + [True] * 3 and answers[5]["loop_guard"] == "stop_searching" and "loop_guard" not in answers[4]
+
+
+def test_artifacts_and_benchmark(spark, store, tree, tmp_path):
+    from codequarry.plans import artifacts, benchmark
+    from codequarry.sources import evaluation
+
+    artifacts.write_all(store, str(tmp_path / "out"))
+    assert "# Architecture" in artifacts.read(str(tmp_path / "out"), "architecture.md") and json.loads(artifacts.read(str(tmp_path / "out"), "status.json"))["healthy"]
+    asked = [{"id": "L1", "text": "Where is Engine?", "category": "lookup", "mc_tool": "get_definition", "baseline_terms": ["Engine"], "mc_args": {"symbol": "Engine"}}]
+    (tmp_path / "q.json").write_text(json.dumps(asked))
+    rows = [r.asDict() for r in evaluation.questions(spark, f"{tmp_path}/q.json").collect()]
+    result = benchmark.run(scan(spark, str(tree)), rows, lambda tool, args: api.call_tool(store, tool, args), "tree")
+    benchmark.write(result, str(tmp_path / "bench"))
+    assert result["summary"]["question_count"] == 1 and result["questions"][0]["naive_tokens"] >= result["questions"][0]["skilled_tokens"] > 0
+    with pytest.raises(ValueError, match="match nothing"):
+        benchmark.run(scan(spark, str(tree)), [asked[0] | {"baseline_terms": ["zzzz"]}], lambda t, a: "x")
+
+
+def test_config(tmp_path):
+    from codequarry.sources import config
+
+    assert config.load(str(tmp_path)).debounce == "500 milliseconds"
+    (tmp_path / ".quarry").mkdir()
+    (tmp_path / ".quarry/config.json").write_text('{"languages": ["golang"], "exclude": "no list", "maxFileSize": 5}')
+    c = config.load(str(tmp_path))
+    assert c.options().extensions() == ["go"] and c.exclude == [] and c.options().max_file_size == 5
+    (tmp_path / ".quarry/config.json").write_text("{")
+    assert config.load(str(tmp_path)) == config.Config()
+
+
+def test_evaluation_sources(spark, tmp_path):
+    from codequarry.sources import evaluation
+
+    protocol = {"version": "1", "tasks": [{"id": "t1", "type": "edit"}, {"id": "t2"}], "keys": [{"task_id": "t1", "expected_files": ["a.py"], "expected_symbols": ["f"]}]}
+    (tmp_path / "p.json").write_text(json.dumps(protocol))
+    got = {r.id: r.expected_files for r in evaluation.protocol_tasks(spark, f"{tmp_path}/p.json").collect()}
+    assert got == {"t1": ["a.py"], "t2": None} and len(evaluation.protocol_hash(spark, f"{tmp_path}/p.json")) == 64
+    (tmp_path / "r.json").write_text(json.dumps({"manifest": {"x": 1}, "runs": [{"task_id": "t1", "arm": "grep", "input_tokens": 5}]}))
+    assert [(r.task_id, r.input_tokens) for r in evaluation.runs(spark, f"{tmp_path}/r.json").collect()] == [("t1", 5)]
+    (tmp_path / "s.json").write_text(json.dumps({"id": "s", "task_prompt": ["a", "b"], "ground_truth": {"x": 1}, "context_files": ["a.go", "b.zig"], "task_category": "c"}))
+    s = evaluation.scenarios(spark, f"{tmp_path}/s.json").first()
+    assert s.task_prompt == "a\nb" and json.loads(s.ground_truth) == {"x": 1}
