@@ -5,15 +5,15 @@ Each set gets a MinHash sketch of ``SKETCH`` coordinates.  A run splits all sets
 coordinates, on average 1/threshold of them, and each set moves to the child of its own value at each sampled
 coordinate.  Buckets of up to ``SMALL`` sets are compared by brute force over their sketches; larger ones split again, and what is
 still large at ``DEPTH`` (sets that are alike in nearly all coordinates) is compared in tiles of ``TILE`` x ``TILE``.
-A bucket never emits its pairs, only the edges of a spanning forest of those that look alike.
+A bucket never emits its pairs, only a star (least set and member) for each group that looks alike.
 
-Runs come in rounds with fresh random choices.  A round's edges are an independent sample of the similar pairs, so the
-share of them that earlier rounds had connected already estimates the recall of those; rounds repeat until the
-estimate for all rounds together reaches ``RECALL``.
+Runs come in rounds with fresh random choices.  Rounds are independent, so the share of one round's sets (those with an
+alike one) that another round found too estimates a round's recall; two rounds are made at once, and further ones
+until the estimate for all together reaches ``RECALL``.
 
 Verification is exact: the sets of a connected family are brought together once (in tiles, where a family is large),
-every pair within it is compared by its true Jaccard similarity, links are counted per set, and again only a
-spanning forest of the links leaves a tile.  Connected links give the classes.
+every pair within it is compared by its true Jaccard similarity, links are counted per set, and again only stars of
+linked sets leave a tile.  Connected links give the classes.
 
 Defined results: words are runs of other than ASCII white space; a text of one to four words has one shingle of all its
 words; null and wordless texts have no shingles, no links, and each is a class of its own; ``class_id`` is the smallest
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import materialize, mix64, read_table, row_key, windows, word_hashes
+from codequarry.llm.common import join_checked, materialize, mix64, read_table, row_key, windows, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -114,7 +114,7 @@ def _move(path: np.ndarray, sets: np.ndarray, sketches: np.ndarray, level: int)
     return child.astype(np.int64), sets[row]
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, SKETCH)
 
 
@@ -144,68 +144,99 @@ def split_again(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("path", "set", "sketch").mapInArrow(run, "path long, set long")
 
 
-class Forest:
-    """Union-find over local indices."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-
-def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a (row, column) adjacency; columns are numbered after the rows."""
-    n = near.shape[0]
-    forest, edges = Forest(n + near.shape[1]), []
-    for i in range(n):
-        for j in np.flatnonzero(near[i]).tolist():
-            if forest.join(i, n + j):
-                edges.append((i, j))
-    return edges
-
-
 _LEAST_ALIKE = max(1, math.floor(SKETCH * THRESHOLD - SIGMAS * math.sqrt(SKETCH * THRESHOLD * (1 - THRESHOLD))))
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which rows of two sketch matrices agree in enough coordinates."""
+    if len(a) * len(b) <= 4096:
+        return (a[:, None, :] == b[None, :, :]).sum(axis=2) >= _LEAST_ALIKE
     same = np.zeros((len(a), len(b)), dtype=np.uint8)
     for k in range(SKETCH):
         same += a[:, k, None] == b[None, :, k]
     return same >= _LEAST_ALIKE
 
 
+def stars(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, member) of every connected group of a (rows ``a``) x (columns ``b``) adjacency, without the least itself.
+
+    Labels fall to the least neighbour until none moves.
+    """
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    near, a, b = near[np.ix_(rows, columns)], a[rows], b[columns]
+    if not len(rows):
+        return a[rows], a[rows]
+    top = np.iinfo(np.int64).max
+    la, lb = a.copy(), b.copy()
+    while True:
+        na = np.minimum(la, np.where(near, lb[None, :], top).min(axis=1))
+        nb = np.minimum(lb, np.where(near, na[:, None], top).min(axis=0))
+        if (na == la).all() and (nb == lb).all():
+            break
+        la, lb = na, nb
+    label, member = np.concatenate([la, lb]), np.concatenate([a, b])
+    member, first = np.unique(member, return_index=True)
+    label = label[first]
+    other = label != member
+    return label[other], member[other]
+
+
+def _joined(parts: list, kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([p if isinstance(p, pa.Array) else pa.array(p, kind) for p in parts])
+
+
+def by_group(rows: DataFrame, keys: list[str], columns: list[str], run, schema: str, arrow: pa.Schema) -> DataFrame:
+    """Apply ``run`` (a table of one group -> tuple of arrays) to each group, streaming over sorted partitions.
+
+    As groupBy().applyInArrow(), without its cost for each group: most groups here are a few rows.
+    """
+    n = len(keys)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def flush(parts: list[pa.RecordBatch], out: list) -> None:
+            out.append(run(pa.Table.from_batches(parts).select(columns)))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(i).to_numpy() for i in range(n)], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            out: list = []
+            for i in range(len(cuts) - 1):
+                part, now = batch.slice(cuts[i], cuts[i + 1] - cuts[i]), tuple(key[cuts[i]])
+                if held and now != last:
+                    flush(held, out)
+                    held = []
+                held.append(part)
+                last = now
+            if out:
+                yield pa.RecordBatch.from_arrays([_joined([o[i] for o in out], t) for i, t in enumerate(arrow.types)], schema=arrow)
+        if held:
+            out = []
+            flush(held, out)
+            yield pa.RecordBatch.from_arrays([_joined([x], t) for x, t in zip(out[0], arrow.types, strict=True)], schema=arrow)
+
+    return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+
+
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def compare_sketches(rows: DataFrame) -> DataFrame:
-    """Forest edges (a, b) of alike sets within each (path, tile); rows: path, tile, side, set, sketch."""
+    """Stars (a, b) of alike sets within each (path, tile); rows: path, tile, side, set, sketch."""
 
-    def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        sets, sketches = table["set"].to_numpy(), _sketches(table["sketch"].combine_chunks())
-        order = np.argsort(sets, kind="stable")
-        side, sets, sketches = side[order], sets[order], sketches[order]
+    def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        side, sets = table["side"].to_numpy(), table["set"].to_numpy()
+        sketches = _sketches(table["sketch"])
         left = side != 1
         right = left if (side == 2).any() else ~left
         a, b = sets[left], sets[right]
-        near = _alike(sketches[left], sketches[right]) & (a[:, None] != b[None, :])
-        edges = _spanning(near) if near.any() else []
-        return pa.table([pa.array([a[i] for i, _ in edges], pa.int64()), pa.array([b[j] for _, j in edges], pa.int64())], schema=_EDGES)
+        return stars(_alike(sketches[left], sketches[right]) & (a[:, None] != b[None, :]), a, b)
 
-    return rows.groupBy("path", "tile").applyInArrow(run, "a long, b long")
+    return by_group(rows, ["path", "tile"], ["side", "set", "sketch"], run, "a long, b long", _EDGES)
 
 
 def _tiled(rows: DataFrame, group: str, size: str, count: str) -> DataFrame:
@@ -227,24 +258,30 @@ def _tiled(rows: DataFrame, group: str, size: str, count: str) -> DataFrame:
 
 
 def similar_edges(prints: DataFrame, runs: range) -> DataFrame:
-    """Forest edges of one round of runs."""
+    """Stars (a, b) and their round, of some runs; rounds are told apart by the path's run."""
     paths = start_runs(prints, runs)
     edges: list[DataFrame] = []
     for level in range(1, DEPTH + 1):
         paths = materialize(paths, "paths")
-        sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        live = materialize(paths.join(sizes, "path").join(prints.select("set", "sketch"), "set"), "buckets")
+        sizes = materialize(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+        live = materialize(paths.join(sizes, "path"), "buckets")
+        # sketches move only if their set shares a bucket
+        wanted = materialize(live.select("set").distinct(), "bucket-sets")
+        own = join_checked(prints.select("set", "sketch"), wanted, "set", "left_semi")
         last = level == DEPTH
-        small = live if last else live.where(F.col("n") <= SMALL)
-        edges.append(compare_sketches(_tiled(small, "path", TILE, "n")))
+        full = live.join(own, "set")
         large = live.where(F.col("n") > SMALL)
-        if last or large.isEmpty():
+        if not last and large.isEmpty():
+            last = True
+        small = full if last else full.where(F.col("n") <= SMALL)
+        edges.append(compare_sketches(_tiled(small, "path", TILE, "n")))
+        if last:
             break
-        paths = split_again(large, level)
+        paths = split_again(full.where(F.col("n") > SMALL), level)
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return materialize(out.distinct(), "edges")
+    return out.distinct()
 
 
 # --------------------------------------------------------------------------------------- connected components
@@ -253,50 +290,48 @@ def similar_edges(prints: DataFrame, runs: range) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, of nodes that have edges.
 
-    Alternating large-star and small-star steps; each keeps at most as many edges as before, and the steps end when
-    nothing changes, after about log(n) rounds.
+    Alternating large-star and small-star steps; each keeps at most as many edges as before, and they end, after about
+    log(n) rounds, when every edge leads to a root.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
-    before = None
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"), "cc")
     while True:
+        # large star: what is above a node moves to the least of its neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large.where("u != v"), "cc-large")
+        large = both.join(low, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: a node and what is below it move to the least of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-step")
+        # done: every node has one parent, and no parent has one
+        ends = now.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
             break
-        before = state
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _connected_share(edges: DataFrame, family: DataFrame) -> tuple[int, int]:
-    """Edges, and how many of them join sets of one family."""
-    a = family.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    b = family.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    r = edges.join(a, "a", "left").join(b, "b", "left").agg(F.count("*"), F.count_if(F.col("ra") == F.col("rb"))).first()
-    return r[0], r[1]
+def _round_recall(one: DataFrame, other: DataFrame) -> float:
+    """Share of the sets with an alike one in ``other`` that have one in ``one`` too."""
+    a = one.select(F.explode(F.array("a", "b")).alias("set")).distinct().withColumn("known", F.lit(True))
+    b = other.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    n, known = b.join(a, "set", "left").agg(F.count("*"), F.count_if("known")).first()
+    return known / n if n else 1.0
 
 
 def families(prints: DataFrame, recall: float = RECALL) -> DataFrame:
     """(set, family) of the sets that have alike ones, by rounds of runs until the recall estimate is reached."""
-    found = similar_edges(prints, range(RUNS))
-    family = materialize(components(found), "families")
-    for r in range(1, MAX_ROUNDS):
-        fresh = similar_edges(prints, range(r * RUNS, (r + 1) * RUNS))
-        n, known = _connected_share(fresh, family)
-        if n > known:
-            found = found.unionByName(fresh)
-            family = materialize(components(found), "families")
-        # a round alone finds a share p of the pairs; r rounds found known / n of this one's
-        missed = (1 - known / n) if n else 0.0
-        if missed ** ((r + 1) / r) <= 1 - recall:
+    rounds = [materialize(similar_edges(prints, range(r * RUNS, (r + 1) * RUNS)), "edges") for r in range(2)]
+    while len(rounds) < MAX_ROUNDS:
+        missed = max(0.0, 1 - _round_recall(rounds[-2], rounds[-1]))
+        if missed ** len(rounds) <= 1 - recall:
             break
-    return family.select(F.col("node").alias("set"), F.col("root").alias("family"))
+        r = len(rounds)
+        rounds.append(materialize(similar_edges(prints, range(r * RUNS, (r + 1) * RUNS)), "edges"))
+    found = rounds[0]
+    for e in rounds[1:]:
+        found = found.unionByName(e)
+    return components(found).select(F.col("node").alias("set"), F.col("root").alias("family"))
 
 
 # ------------------------------------------------------------------------------------------------ verification
@@ -328,40 +363,42 @@ def _incidence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
 
 
 def verify_families(rows: DataFrame) -> DataFrame:
-    """(a, b, links): forest edges of true links (links 0) and, with b null, how many documents a set links to in its tile.
+    """(a, b, links): stars of true links (links 0) and, with b null, how many documents a set links to in its tile.
 
     rows: family, tile, side, set, copies, shingles.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        side, ids = table["side"].to_numpy(), table["set"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        sets = table["shingles"].to_pylist()
-        sets = [np.frombuffer(sets[i], dtype=np.uint64) for i in order]
-        side, ids, copies = side[order], ids[order], table["copies"].to_numpy()[order]
+    def run(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        side, ids, copies = (table[c].to_numpy() for c in ("side", "set", "copies"))
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table["shingles"].to_pylist()]
         left = np.flatnonzero(side != 1)
-        right = left if (side == 2).any() else np.flatnonzero(side == 1)
-        out: list[tuple[int, int | None, int]] = []
-        if len(left) and len(right):
-            near = jaccard_matrix([sets[i] for i in left], [sets[i] for i in right]) >= THRESHOLD - 1e-9
-            near &= ids[left][:, None] != ids[right][None, :]
-            out += [(ids[left[i]], ids[right[j]], 0) for i, j in _spanning(near)]
-            weight = near @ copies[right]
-            out += [(ids[k], None, n) for k, n in zip(left.tolist(), weight.tolist(), strict=True) if n]
-            if right is not left:
-                weight = near.T @ copies[left]
-                out += [(ids[k], None, n) for k, n in zip(right.tolist(), weight.tolist(), strict=True) if n]
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(_LINKS.types)], schema=_LINKS)
-
-    return rows.groupBy("family", "tile").applyInArrow(run, "a long, b long, links long")
+        one = bool((side == 2).any())
+        right = left if one else np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            none = np.empty(0, dtype=np.int64)
+            return none, pa.array([], pa.int64()), none
+        near = jaccard_matrix([sets[i] for i in left], [sets[i] for i in right]) >= THRESHOLD - 1e-9
+        near &= ids[left][:, None] != ids[right][None, :]
+        least, member = stars(near, ids[left], ids[right])
+        nodes, links = [ids[left]], [near @ copies[right]]
+        if not one:
+            nodes.append(ids[right])
+            links.append(near.T @ copies[left])
+        nodes, links = np.concatenate(nodes), np.concatenate(links)
+        some = links > 0
+        b = np.concatenate([least, np.zeros(int(some.sum()), dtype=np.int64)])
+        null = np.concatenate([np.zeros(len(least), dtype=bool), np.ones(int(some.sum()), dtype=bool)])
+        return np.concatenate([member, nodes[some]]), pa.array(b, mask=null), np.concatenate([np.zeros(len(least), dtype=np.int64), links[some]])
+
+    return by_group(rows, ["family", "tile"], ["side", "set", "copies", "shingles"], run, "a long, b long, links long", _LINKS)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set, shingles) once for each wanted set, rebuilt from one text that has it."""
+    """(set, shingles) once for each wanted set (materialized), rebuilt from one text that has it."""
     one = wanted.select(F.col("row").alias("_row"), "set")
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(row_key(F.col("doc_id"), text).alias("_row"), text.cast("binary").alias("text"))
-    rows = keyed.join(one, "_row").dropDuplicates(["set"]).select("set", "text")
+    rows = join_checked(keyed, one, "_row", "inner").select("set", "text")
     schema = pa.schema([("set", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +406,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), sets], schema=schema)
 
-    return rows.mapInArrow(run, "set long, shingles binary")
+    return rows.mapInArrow(run, "set long, shingles binary").dropDuplicates(["set"])
 
 
 def ngram_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -382,7 +419,7 @@ def ngram_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         "sets",
     )
     family = materialize(families(classes.select("set", "sketch"), recall), "family-sets")
-    members = family.join(classes.select("set", "copies", "row"), "set")
+    members = materialize(family.join(classes.select("set", "copies", "row"), "set"), "members")
     count = family.groupBy("family").agg(F.count("*").alias("n"))
     full = members.join(count, "family").join(shingle_sets(docs, members.select("row", "set")), "set")
     tiles = _tiled(full.select("family", "set", "copies", "shingles", "n"), "family", TILE, "n")
