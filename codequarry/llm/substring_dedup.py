@@ -93,7 +93,7 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """key and, for each document that loses sentences, the list of spans (first and last sentence)."""
     rows = materialize(sentence_runs(docs), "sentence-runs")
-    common = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("ord").alias("owner")).where("n > 1").drop("n")
+    common = materialize(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("ord").alias("owner")).where("n > 1").drop("n"), "repeated-runs")
     lost = rows.join(common, "hash").where(F.col("again") | (F.col("ord") != F.col("owner")))
     return lost.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
