@@ -1,6 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-Each text is cut into sentences (a sentence above ``PIECE`` words counts as several).  From every sentence starts one
+Each text is cut into sentences.  A sentence above ``PIECE`` words counts as several, cut after words that their own hash
+picks, so that equal stretches are cut alike whatever stands before them.  From every sentence starts one
 run: the shortest run of at least ``RUN_SENTENCES`` sentences and ``RUN_WORDS`` words.  Runs are hashed over their
 words (white space and ASCII letter case don't matter) and joined over the whole corpus: the document of smallest id
 keeps a run, at its first place there; in all others, and at later places, the sentences that the run covers go.
@@ -27,6 +28,8 @@ from codequarry.llm.common import power_table, materialize, mix64, read_table, r
 RUN_SENTENCES = 2
 RUN_WORDS = 12
 PIECE = 25
+#: In a long sentence one word in so many ends a piece, and so does a word that stands again right after.
+CUT = 8
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _STOP = re.compile(rb"(?:[.!?]+[\"')\]]*|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)[\x20\x09-\x0d]+|\n[\x20\x09-\x0d]*")
@@ -45,7 +48,9 @@ def sentences(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = first[first < len(h)]
     sizes = np.diff(np.append(first, len(h)))
     if len(sizes) and sizes.max() > PIECE:
-        first = np.concatenate([np.arange(f, f + n, PIECE) for f, n in zip(first.tolist(), sizes.tolist(), strict=True)])
+        ends = (h % np.uint64(CUT) == 0) | (h == np.roll(h, -1))
+        cut = np.repeat(sizes > PIECE, sizes) & ends
+        first = np.unique(np.concatenate([first, np.flatnonzero(cut[:-1]) + 1]))
     return starts[first] if len(first) else first, first, h
 
 
