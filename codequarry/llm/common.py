@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 250_000
 
 
+#: Bytes in one Arrow batch to a Python worker, where the session doesn't say otherwise.
+BATCH_BYTES = 4 << 20
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of bounded bytes, however long they are, so a worker's memory stays small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    limit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +45,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     between two uses.
     """
     spark = df.sparkSession
+    limit_batches(spark)
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
