@@ -2,7 +2,7 @@
 
 Each text is cut into sentences.  A sentence above ``PIECE`` words counts as several, cut after words that their own hash
 picks, so that equal stretches are cut alike whatever stands before them.  From every sentence starts one
-run: the shortest run of at least ``RUN_SENTENCES`` sentences and ``RUN_WORDS`` words.  Runs are hashed over their
+run: the shortest run of at least ``RUN_SENTENCES`` sentences and ``RUN_WORDS`` words; one more ends with the text.  Runs are hashed over their
 words (white space and ASCII letter case don't matter) and joined over the whole corpus: the document of smallest id
 keeps a run, at its first place there; in all others, and at later places, the sentences that the run covers go.
 
@@ -63,6 +63,10 @@ def runs(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     end = np.maximum(np.searchsorted(end_words, first + RUN_WORDS), i + RUN_SENTENCES)
     ok = end <= m
     i, end = i[ok], end[ok]
+    # the text's last sentences too: the shortest run that ends with it
+    tail = min(m - RUN_SENTENCES, int(np.searchsorted(first, n - RUN_WORDS, side="right")) - 1)
+    if tail >= 0 and not (len(i) and i[-1] == tail and end[-1] == m):
+        i, end = np.append(i, tail), np.append(end, m)
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(h * power_table(_ORDER_BASE, n)[:n], out=total[1:])

@@ -26,7 +26,11 @@ def brute(rows):
             if j <= len(s):
                 run = tuple(w for x in s[i:j] for w in x)
                 own.append((i, j, run))
-                owner[run] = min(owner.get(run, (doc, i)), (doc, i))
+        tails = [i for i in range(len(s) - sd.RUN_SENTENCES + 1) if sum(map(len, s[i:])) >= sd.RUN_WORDS]
+        if tails and (tails[-1], len(s)) not in [x[:2] for x in own]:
+            own.append((tails[-1], len(s), tuple(w for x in s[tails[-1] :] for w in x)))
+        for i, _, run in own:
+            owner[run] = min(owner.get(run, (doc, i)), (doc, i))
         runs[doc] = (len(s), own)
     return {d: (n, len({k for i, j, r in own if owner[r] != (d, i) for k in range(i, j)})) for d, (n, own) in runs.items()}
 
