@@ -38,6 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Name of the helper column beside a table's own ones.
+KEY = "__quarry_key"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import folded_words, join_checked, materialize, read_table, row_key
+from codequarry.llm.common import KEY, folded_words, join_checked, materialize, read_table, row_key
 
 N = 3
 #: Items (and so seeds) that may be held by each task; a larger benchmark is run in blocks of items.
@@ -208,9 +208,9 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item."""
-    hit = materialize(match_benchmark(docs, benchmark).select(F.col("key").alias("_key")).distinct(), "leaks")
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))))
-    return join_checked(keyed, hit, "_key", "left_anti").select(*docs.columns)
+    hit = materialize(match_benchmark(docs, benchmark).select(F.col("key").alias(KEY)).distinct(), "leaks")
+    keyed = docs.withColumn(KEY, row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    return join_checked(keyed, hit, KEY, "left_anti").select(*docs.columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import materialize, read_table, row_key
+from codequarry.llm.common import KEY, materialize, read_table, row_key
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -162,9 +162,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix with repeats, in the columns of ``docs``."""
-    taken = mix(docs).where("copies > 0").select(F.col("key").alias("_key"), F.col("copies").alias("_n")).groupBy("_key").agg(F.max("_n").alias("_n"))
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("source"), F.coalesce("text", F.lit(""))))
-    repeated = keyed.join(taken, "_key").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    taken = mix(docs).where("copies > 0").select(F.col("key").alias(KEY), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__quarry_copies")).dropDuplicates([KEY])
+    keyed = docs.withColumn(KEY, row_key(F.col("doc_id"), F.col("source"), F.coalesce("text", F.lit(""))))
+    repeated = keyed.join(taken, KEY).select(*docs.columns, F.explode("__quarry_copies").alias("__quarry_copy"))
     return repeated.select(*docs.columns)
 
 

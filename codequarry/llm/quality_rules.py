@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import materialize, mix64, read_table, row_key, windows, word_hashes
+from codequarry.llm.common import KEY, materialize, mix64, read_table, row_key, windows, word_hashes
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -40,6 +40,8 @@ _BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 #: A-Z folded; other code points stay, so that SQL engines agree.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
+_LOST = "__quarry_lost_lines"
+
 STATS = "key long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<hash:long,words:long>>"
 _ARROW = pa.schema(
     [("key", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string())]
@@ -143,24 +145,25 @@ def apply_quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 def remove_frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """The kept documents, without the lines above their host's limit."""
     stats = materialize(document_stats(docs, host), "quality")
-    verdict = judge(stats).where("kept").select(F.col("key").alias("_key")).distinct()
-    frequent = frequent_lines(stats).select(F.col("host").alias("_h"), "hash")
+    verdict = judge(stats).where("kept").select(F.col("key").alias(KEY)).distinct()
+    frequent = frequent_lines(stats).select(F.col("host").alias("h"), "hash")
     per_doc = stats.select("key", "host", F.explode(F.array_distinct("lines.hash")).alias("hash")).distinct()
-    drop = per_doc.join(frequent, ["hash"]).where(F.col("host").eqNullSafe(F.col("_h"))).groupBy(F.col("key").alias("_key")).agg(F.collect_set("hash").alias("_drop"))
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col(host), F.coalesce("text", F.lit(""))))
-    joined = keyed.join(verdict, "_key", "left_semi").join(drop, "_key", "left")
+    lost = per_doc.join(frequent, "hash").where(F.col("host").eqNullSafe(F.col("h")))
+    drop = lost.groupBy(F.col("key").alias(KEY)).agg(F.collect_set("hash").alias(_LOST))
+    keyed = docs.withColumn(KEY, row_key(F.col("doc_id"), F.col(host), F.coalesce("text", F.lit(""))))
+    joined = keyed.join(verdict, KEY, "left_semi").join(drop, KEY, "left")
     names = docs.columns
     schema = docs.schema
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, gone in zip(b.column("text"), b.column("_drop"), strict=True):
+            for text, gone in zip(b.column("text"), b.column(_LOST), strict=True):
                 t, lost = text.as_py(), set(gone.as_py() or ())
                 texts.append("\n".join(x for x in t.split("\n") if not (x.strip() and line_hash(x.encode()) in lost)) if t and lost else t)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
-    return joined.drop("_key").mapInArrow(strip, schema)
+    return joined.drop(KEY).mapInArrow(strip, schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

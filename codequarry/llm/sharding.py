@@ -109,19 +109,30 @@ def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str) -> None:
-    """Write texts by shard: one folder for each shard, rows brought together by a single shuffle on the shard."""
-    keyed = docs.withColumn("h", hash_bits(F.col("doc_id"), F.col("text")))
-    places = shards.select("h", "shard").where(~F.col("shard").contains("+")).distinct()
-    paged = shards.where(F.col("shard").contains("+")).groupBy("h").agg(F.min("shard").alias("shard"))
-    keyed.join(places.unionByName(paged), "h").drop("h").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, shards: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
+    """Write documents by shard, one folder each (of the shards that ``assign_shards`` gave with the same limit).
+
+    Rows meet their shard by their hash and come together in a single shuffle on it.
+    """
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("doc"), hash_bits(F.col("doc_id"), F.col("text")).alias("h"), _size().alias("bytes"))
+    known = shards.groupBy("h").agg(F.min("shard").alias("shard"))
+    paged = F.col("shard").contains("+")
+    plain = rows.join(known.where(~paged), "h")
+    copies = _overflow(rows.join(known.where(paged).select("h"), "h"), limit)
+    out = plain.select("doc.*", "shard").unionByName(copies.select("doc.*", "shard"))
+    out.repartition("shard").write.partitionBy("shard").parquet(path)
+
+
+def _size() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
 
 
 def slim_rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id",
         hash_bits(F.col("doc_id"), F.col("text")).alias("h"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
+        _size().alias("bytes"),
     )
 
 

@@ -12,18 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm import decontamination, mixing, ngram_join, quality_rules, sharding
-from codequarry.llm.common import join_checked, materialize, read_table, row_key, shared_dir
+from codequarry.llm.common import KEY, join_checked, materialize, read_table, row_key, shared_dir
 
 
 def _without(docs: DataFrame, key, gone: DataFrame) -> DataFrame:
-    """Documents whose key is not in ``gone`` (a column ``_key``)."""
+    """Documents whose key is not in ``gone`` (a column ``KEY``)."""
     gone = materialize(gone.distinct(), "gone")
-    return join_checked(docs.withColumn("_key", key), gone, "_key", "left_anti").select(*docs.columns)
+    return join_checked(docs.withColumn(KEY, key), gone, KEY, "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, with their texts as they are."""
-    rejected = quality_rules.apply_quality_rules(docs).where(~F.col("kept")).select(F.col("key").alias("_key"))
+    rejected = quality_rules.apply_quality_rules(docs).where(~F.col("kept")).select(F.col("key").alias(KEY))
     return _without(docs, row_key(F.col("doc_id"), F.col("source"), F.coalesce("text", F.lit(""))), rejected)
 
 
@@ -31,14 +31,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class: that of smallest id; of rows that are equal in id and text one."""
     key = row_key(F.col("doc_id"), F.coalesce("text", F.lit("")))
     joined = ngram_join.ngram_join(docs)
-    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("n_class") > 1)).select(F.col("row").alias("_key"))
+    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("n_class") > 1)).select(F.col("row").alias(KEY))
     kept = _without(docs, key, gone)
-    again = materialize(joined.groupBy(F.col("row").alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key"), "again")
+    again = materialize(joined.groupBy(F.col("row").alias(KEY)).agg(F.count("*").alias("_n")).where("_n > 1").select(KEY), "again")
     if again.isEmpty():
         return kept
-    keyed = kept.withColumn("_key", key)
-    once = join_checked(keyed, again, "_key", "left_semi").dropDuplicates(["_key"])
-    return join_checked(keyed, again, "_key", "left_anti").unionByName(once).select(*docs.columns)
+    keyed = kept.withColumn(KEY, key)
+    once = join_checked(keyed, again, KEY, "left_semi").dropDuplicates([KEY])
+    return join_checked(keyed, again, KEY, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,15 @@ def test_edge_cases(make_docs):
         size[r.shard] += r.bytes
     assert max(size.values()) <= 130 and sum("+" in r.shard for r in found) == 10
     assert sh.shard_documents(make_docs([])).collect() == []
+
+
+def test_written_shards_fit(spark, make_docs, tmp_path):
+    rows = [(i, t, "s", "en") for i, t in rows_of(4, 60)] + [(99, "y" * 60, "s", "en")] * 10
+    docs = make_docs(rows)
+    sh.write_shards(docs, sh.assign_shards(sh.slim_rows(docs), 500), f"{tmp_path}/out", 500)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 70
+    size = defaultdict(list)
+    for r in back.collect():
+        size[str(r.shard)].append(len(r.text))
+    assert all(sum(b) <= 500 or len([x for x in b if x]) == 1 for b in size.values())
