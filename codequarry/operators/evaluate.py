@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codequarry.functions.text import approx_tokens
+from codequarry.functions.text import approx_tokens, paths_match
 
 # ------------------------------------------------------------------------------------------ text-search baselines
 
@@ -174,3 +174,23 @@ def key_drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
     a = expected.select("task_id", F.array_sort(F.array_distinct("symbols")).alias("a"))
     b = actual.select("task_id", F.array_sort(F.array_distinct("symbols")).alias("b"))
     return a.join(b, "task_id", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def match_paths(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(path, want): paths that are equal or where one ends with the other at a folder boundary; joined on the file's name."""
+    f = found.select("path", F.substring_index("path", "/", -1).alias("_n")).distinct()
+    e = expected.select("want", F.substring_index("want", "/", -1).alias("_n")).distinct()
+    return f.join(e, "_n").where(paths_match(F.col("path"), F.col("want"))).select("path", "want")
+
+
+def import_aliases(lines: DataFrame) -> DataFrame:
+    """(path, name, alias): names that a line of text (path, text) imports under another one."""
+    rx = r"\bimport\s+(?:[\w.]+\s*,\s*)*([\w.]+)\s+as\s+(\w+)"
+    found = lines.select("path", F.regexp_extract("text", rx, 1).alias("name"), F.regexp_extract("text", rx, 2).alias("alias"))
+    return found.where("alias != '' AND alias != name")
+
+
+def alias_hits(lines: DataFrame) -> DataFrame:
+    """(path, line, name): lines that call an import by its alias, found through the import of the same file."""
+    called = lines.select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)\s*\("), F.lit(1)))).alias("alias"))
+    return called.join(import_aliases(lines).distinct(), ["path", "alias"]).select("path", "line", "name")

@@ -12,7 +12,10 @@ from codequarry.functions import text as fn
 from codequarry.operators import aggregates, edges, evaluate, graph, search
 from codequarry.plans.views import EDGE, SYM, symbols, table
 from codequarry.plans.views import edges as calls
-from codequarry.streaming.changes import debounce, latest_changes
+from codequarry.schema import EXTENSIONS
+from codequarry.sources import files
+from codequarry.streaming.changes import debounce, latest_changes, relevant
+from codequarry.streaming.maintain import listing_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -549,6 +552,134 @@ def _by_kind(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("lang", "source", F.char_length("text").alias("c")).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("c").alias("chars"))
 
 
+_EXT = "(['.go', '.py', '.min.js', '.yaml', '.md', '.bin', '.TSX', '.rb'])[page_id % 8 + 1]"
+_PATHS = f"""paths AS (SELECT page_id, 'src/' || (['a', 'node_modules', 'b/vendor', 'lib', 'gen'])[page_id % 5 + 1] || '/' || page_id || {_EXT} AS path FROM pages)"""
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    ext = F.element_at(F.array(*map(F.lit, [".go", ".py", ".min.js", ".yaml", ".md", ".bin", ".TSX", ".rb"])), (F.col("page_id") % 8 + 1).cast("int"))
+    folder = F.element_at(F.array(*map(F.lit, ["a", "node_modules", "b/vendor", "lib", "gen"])), (F.col("page_id") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("src/"), folder, F.lit("/"), F.col("page_id").cast("string"), ext)
+    return table(spark, d, "pages").select("page_id", path.alias("path"))
+
+
+@_query("scan_filter", rf"""WITH {_PATHS} SELECT page_id, path FROM paths WHERE len(list_intersect(string_split(path, '/'), ['node_modules', 'vendor'])) = 0
+AND NOT regexp_matches(path, '(^|/)gen/') AND NOT regexp_matches(path, '[0-9]*7\.py$')""")
+def _scan_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d).where(files.wanted(F.col("path"), files.ScanOptions(exclude=["*7.py"]), ["gen/", "# none", "!kept"]))
+
+
+@_query("language_and_kind", rf"""WITH {_PATHS}, e AS (SELECT page_id, path, lower(regexp_extract(path, '\.([^./]+)$', 1)) AS ext FROM paths)
+SELECT page_id, CASE ext WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'tsx' THEN 'tsx' WHEN 'rb' THEN 'ruby' END AS language,
+CASE WHEN contains(path, '.min.') THEN NULL WHEN ext = 'yaml' THEN 'yaml' WHEN ext = 'md' THEN 'markdown' END AS doc_kind FROM e""")
+def _language_and_kind(spark: SparkSession, d: str) -> DataFrame:
+    known = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
+    p = _paths(spark, d)
+    return p.select("page_id", known[fn.extension(F.col("path"))].alias("language"), files.doc_kind(F.col("path")).alias("doc_kind"))
+
+
+@_query("change_filter", rf"""WITH {_PATHS}, ev AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'src/.reindex-queue' ELSE path END AS path, (['write', 'remove', 'create'])[page_id % 3 + 1] AS op FROM paths)
+SELECT page_id, path, CASE WHEN path LIKE '%.reindex-queue' THEN 'full' WHEN op = 'remove' THEN 'delete' ELSE 'upsert' END AS op FROM ev
+WHERE path LIKE '%.reindex-queue' OR (regexp_matches(lower(path), '\.(go|py|yaml|md|tsx|rb)$') AND len(list_intersect(string_split(path, '/'), ['node_modules', 'vendor'])) = 0)""")
+def _change_filter(spark: SparkSession, d: str) -> DataFrame:
+    op = F.element_at(F.array(*map(F.lit, ["write", "remove", "create"])), (F.col("page_id") % 3 + 1).cast("int"))
+    path = F.when(F.col("page_id") % 11 == 0, "src/.reindex-queue").otherwise(F.col("path"))
+    return relevant(_paths(spark, d).withColumn("path", path).withColumn("op", op))
+
+
+@_query("listing_changes", """WITH a AS (SELECT p_partkey AS k, p_size AS m FROM part WHERE p_type != 'PROMO'), b AS (SELECT p_partkey AS k, CASE WHEN p_brand = 'Brand#7' THEN p_size + 1 ELSE p_size END AS m FROM part WHERE p_type != 'LARGE')
+SELECT coalesce(a.k, b.k)::VARCHAR AS path, CASE WHEN b.k IS NULL THEN 'delete' ELSE 'upsert' END AS op FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.m != b.m""")
+def _listing_changes(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), "p_size", "p_type", "p_brand")
+    before = p.where("p_type != 'PROMO'").select("path", F.col("p_size").alias("modified"))
+    after = p.where("p_type != 'LARGE'").select("path", F.when(F.col("p_brand") == "Brand#7", F.col("p_size") + 1).otherwise(F.col("p_size")).alias("modified"))
+    return listing_changes(before, after)
+
+
+@_query("file_summaries", f"""WITH {SYM}, {EDGE}, f AS (SELECT file_path, count(*) FILTER (kind NOT LIKE 'type/%') AS functions, count(*) FILTER (kind LIKE 'type/%') AS types FROM sym GROUP BY 1),
+c AS (SELECT s.file_path, count(*) AS calls FROM edge JOIN sym s ON s.id = caller_id GROUP BY 1) SELECT file_path, functions, types, coalesce(calls, 0) AS calls FROM f LEFT JOIN c USING (file_path)""")
+def _file_summaries(spark: SparkSession, d: str) -> DataFrame:
+    s = symbols(spark, d)
+    is_type = F.col("kind").startswith("type/")
+    own = s.groupBy("file_path").agg(F.count_if(~is_type).alias("functions"), F.count_if(is_type).alias("types"))
+    made = calls(spark, d).join(s.select(F.col("id").alias("caller_id"), F.col("file_path").alias("f")), "caller_id").groupBy("f").agg(F.count("*").alias("calls"))
+    return own.join(made, own["file_path"] == made["f"], "left").select("file_path", "functions", "types", F.coalesce("calls", F.lit(0)).alias("calls"))
+
+
+@_query("impact_both_ways", f"""WITH {SYM}, {EDGE}, e AS (SELECT callee_id AS up, caller_id AS down FROM edge WHERE resolution != 'interface-dispatch' AND callee_id IS NOT NULL AND callee_id != caller_id),
+s AS (SELECT id FROM sym WHERE file_path = 'Brand#7/PROMO'), u AS (SELECT DISTINCT down AS id FROM e JOIN s ON s.id = e.up UNION SELECT DISTINCT up FROM e JOIN s ON s.id = e.down)
+SELECT DISTINCT file_path AS file, name AS symbol, 1 AS depth FROM u JOIN sym USING (id)""")
+def _impact_both(spark: SparkSession, d: str) -> DataFrame:
+    return graph.impact(symbols(spark, d), calls(spark, d), _seeds(spark, d), 1, "both").select("file", "symbol", "depth")
+
+
+@_query("path_suffix_match", """WITH f AS (SELECT DISTINCT 'lib/' || p_brand || '/' || p_type AS path FROM part), e(want) AS (VALUES ('Brand#7/PROMO'), ('PROMO'), ('x/lib/Brand#3/SMALL'), ('d#3/SMALL'))
+SELECT path, want FROM f, e WHERE path = want OR ends_with(path, '/' || want) OR ends_with(want, '/' || path)""")
+def _path_suffix(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "part").select(F.concat_ws("/", F.lit("lib"), "p_brand", "p_type").alias("path"))
+    want = spark.createDataFrame([("Brand#7/PROMO",), ("PROMO",), ("x/lib/Brand#3/SMALL",), ("d#3/SMALL",)], "want string")
+    return evaluate.match_paths(found, want)
+
+
+_LINES = """ln AS (SELECT o_custkey::VARCHAR AS path, o_orderkey AS line, CASE WHEN o_orderpriority LIKE '1%' THEN 'from m import f' || o_orderkey % 7 || ' as g' || o_orderkey % 7
+  WHEN o_orderpriority LIKE '2%' THEN 'x = g' || o_orderkey % 7 || '(1)' ELSE 'pass' END AS text FROM orders)"""
+
+
+@_query("alias_hits", rf"""WITH {_LINES}, i AS (SELECT DISTINCT path, regexp_extract(text, 'import (\w+) as', 1) AS name, regexp_extract(text, ' as (\w+)', 1) AS alias FROM ln WHERE text LIKE '%import%')
+SELECT ln.path, line, name FROM ln JOIN i ON i.path = ln.path AND text LIKE 'x = %' AND regexp_extract(text, '(\w+)\(', 1) = alias""")
+def _alias_hits(spark: SparkSession, d: str) -> DataFrame:
+    k, p = (F.col("o_orderkey") % 7).cast("string"), F.col("o_orderpriority")
+    text = F.when(p.startswith("1"), F.concat(F.lit("from m import f"), k, F.lit(" as g"), k)).when(p.startswith("2"), F.concat(F.lit("x = g"), k, F.lit("(1)"))).otherwise("pass")
+    return evaluate.alias_hits(table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("path"), F.col("o_orderkey").alias("line"), text.alias("text")))
+
+
+@_query("scenario_coverage", """WITH c AS (SELECT conv_id, list(turn || CASE role WHEN 'user' THEN '.go' WHEN 'assistant' THEN '.PY' ELSE '.zig' END) AS fs FROM conversations GROUP BY 1)
+SELECT 'k' || conv_id % 5 AS task_category, count(*) AS scenarios, sum(len(fs))::BIGINT AS files, sum(len([f for f in fs if NOT f LIKE '%.zig']))::BIGINT AS known, count(*) FILTER (len([f for f in fs if f LIKE '%.zig']) = 0) AS fully FROM c GROUP BY 1""")
+def _coverage(spark: SparkSession, d: str) -> DataFrame:
+    ext = F.when(F.col("role") == "user", ".go").when(F.col("role") == "assistant", ".PY").otherwise(".zig")
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.concat(F.col("turn").cast("string"), ext)).alias("context_files"))
+    return evaluate.coverage(c.withColumn("task_category", F.concat(F.lit("k"), (F.col("conv_id") % 5).cast("string"))), EXTENSIONS)
+
+
+@_query("key_drift", """WITH e AS (SELECT o_custkey AS task_id, list_sort(list(DISTINCT o_orderpriority)) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), g AS (SELECT o_custkey AS task_id, list_sort(list(DISTINCT o_orderpriority)) AS b FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+SELECT coalesce(e.task_id, g.task_id) AS task_id, array_to_string(a, ',') AS expected, array_to_string(b, ',') AS actual FROM e FULL JOIN g ON e.task_id = g.task_id WHERE a IS DISTINCT FROM b""")
+def _key_drift(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("task_id"), "o_orderstatus", "o_orderpriority")
+
+    def keys(status: str) -> DataFrame:
+        return o.where(F.col("o_orderstatus") == status).groupBy("task_id").agg(F.collect_set("o_orderpriority").alias("symbols"))  # at most five values
+
+    out = evaluate.key_drift(keys("F"), keys("O"))
+    return out.select("task_id", F.array_join("a", ",").alias("expected"), F.array_join("b", ",").alias("actual"))
+
+
+@_query("quality_mapping", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 WHEN o_orderstatus = 'O' THEN o_custkey % 10 / 10.0 WHEN o_custkey % 3 > 0 THEN 1.0 / (o_custkey % 3) ELSE 0.0 END::DOUBLE AS quality FROM orders""")
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    o, most = table(spark, d, "orders"), F.col("o_custkey") % 3
+    f1 = F.when(F.col("o_orderstatus") == "O", F.col("o_custkey") % 10 / F.lit(10.0))
+    return o.select("o_orderkey", evaluate.quality(F.col("o_orderstatus") == "F", f1, F.lit(1.0), most).cast("double").alias("quality"))
+
+
+@_query("mentioned_files", r"""SELECT item_id, array_to_string(list_distinct_ordered, ',') AS files FROM (SELECT item_id, [x for x, i in m if list_position(m, x) = i] AS list_distinct_ordered
+FROM (SELECT item_id, regexp_extract_all('see src/a' || item_id || '.go and b.py, then src/a' || item_id || '.go; ' || text, '[A-Za-z0-9_./-]+\.(?:go|py|ts|tsx|js|jsx|rs|java|c|cpp|h|rb|swift)\b') AS m FROM benchmark))""")
+def _mentioned(spark: SparkSession, d: str) -> DataFrame:
+    a = F.concat(F.lit("src/a"), F.col("item_id").cast("string"), F.lit(".go"))
+    prose = F.concat(F.lit("see "), a, F.lit(" and b.py, then "), a, F.lit("; "), "text")
+    return table(spark, d, "benchmark").select("item_id", F.array_join(fn.paths_in_text(prose), ",").alias("files"))
+
+
+@_query("json_fields", "SELECT event_type, sum((props->>'k')::BIGINT)::BIGINT AS total, count(*) AS n FROM events GROUP BY 1")
+def _json_fields(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_type", F.from_json("props", "k long").alias("p"))
+    return e.groupBy("event_type").agg(F.sum("p.k").alias("total"), F.count("*").alias("n"))
+
+
+@_query("location_and_truncation", "SELECT doc_id, source || ':' || n_chars AS place, CASE WHEN length(text) > 160 THEN left(text, 160) || '...' ELSE text END AS head FROM documents")
+def _location(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", fn.location(F.col("source"), F.col("n_chars")).alias("place"), fn.truncated(F.col("text"), 160).alias("head"))
+
+
 # ----------------------------------------------------------------------- rows only: parsing, snippets, statistics
 
 
