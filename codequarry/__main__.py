@@ -11,7 +11,8 @@ from codequarry.plans import api, artifacts, benchmark, rpc
 from codequarry.session import local_session
 from codequarry.sources import config, evaluation
 from codequarry.sources.files import ScanOptions, scan
-from codequarry.streaming.maintain import change_stream, maintain
+from codequarry.streaming.maintain import maintain
+from codequarry.streaming.tree_source import tree_changes
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -37,7 +38,6 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("serve")
     watch = sub.add_parser("watch")
     watch.add_argument("root")
-    watch.add_argument("--events", required=True)
     watch.add_argument("--state", required=True)
     report = sub.add_parser("artifacts")
     report.add_argument("folder")
@@ -52,7 +52,8 @@ def main(argv: list[str] | None = None) -> int:
             print(line, flush=True)
         return 0
     if a.command == "watch":
-        maintain(store, change_stream(store.spark, a.events), a.root, a.state, config.load(a.root).options()).awaitTermination()
+        events = tree_changes(store.spark, a.root, f"{a.state}/listings")
+        maintain(store, events, a.root, f"{a.state}/checkpoint", config.load(a.root).options()).awaitTermination()
         return 0
 
     def options() -> ScanOptions:

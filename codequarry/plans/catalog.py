@@ -441,6 +441,11 @@ def _grep_hits(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.grep(_files(spark, d), _TERMS)
 
 
+@_query("grep_regex", f"WITH {_FILES}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files) SELECT 'ment[a-z]+ion' AS term, path, line, text FROM l WHERE regexp_matches(text, 'ment[a-z]+ion')")
+def _grep_regex(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.grep(_files(spark, d), ["ment[a-z]+ion"], regex=True)
+
+
 @_query("naive_tokens", f"""WITH {_GREP}, h AS (SELECT term, path, sum(ceil(length(path || ':' || line || ':' || text) / 4.0)::BIGINT) AS n FROM hits GROUP BY 1, 2)
 SELECT term, sum(n + w)::BIGINT AS tokens FROM h JOIN (SELECT path, ceil(length(text) / 4.0)::BIGINT AS w FROM files) USING (path) GROUP BY term""")
 def _naive_tokens(spark: SparkSession, d: str) -> DataFrame:

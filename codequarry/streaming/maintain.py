@@ -1,7 +1,7 @@
 """Keeping an index current from a stream of change events.
 
 One query reads events (path, op, ts), drops what the engine does not index, and hands each micro-batch to the store:
-a full rebuild if the control row is in it, else the last change of each file.  A batch id is applied once.
+a full rebuild if the control row is in it or very many files changed, else the last change of each file.
 """
 
 from __future__ import annotations
@@ -37,7 +37,11 @@ def listing_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select("path", op.alias("op")).where("op IS NOT NULL")
 
 
-def apply_batch(store: Store, root: str, options: ScanOptions | None = None) -> Callable[[DataFrame, int], None]:
+#: Changed files in one batch from which on a full build is cheaper than replacing rows.
+MAX_INCREMENTAL = 2000
+
+
+def apply_batch(store: Store, root: str, options: ScanOptions | None = None, max_incremental: int = MAX_INCREMENTAL) -> Callable[[DataFrame, int], None]:
     """foreachBatch function.  A batch that was applied before (same id, replayed after a failure) gives the same tables again."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -49,6 +53,9 @@ def apply_batch(store: Store, root: str, options: ScanOptions | None = None) ->
                 store.index(root, options)
                 return
             last = latest_changes(events, ["path"], ["ts", "op"]).select("path", "op")
+            if last.limit(max_incremental + 1).count() > max_incremental:
+                store.index(root, options)
+                return
             store.apply(last, scan(store.spark, root, options))
         finally:
             events.unpersist()
@@ -56,6 +63,8 @@ def apply_batch(store: Store, root: str, options: ScanOptions | None = None) ->
     return apply
 
 
-def maintain(store: Store, events: DataFrame, root: str, checkpoint: str, options: ScanOptions | None = None, once: bool = False) -> StreamingQuery:
-    writer = events.writeStream.foreachBatch(apply_batch(store, root, options)).option("checkpointLocation", checkpoint)
+def maintain(
+    store: Store, events: DataFrame, root: str, checkpoint: str, options: ScanOptions | None = None, once: bool = False, max_incremental: int = MAX_INCREMENTAL
+) -> StreamingQuery:
+    writer = events.writeStream.foreachBatch(apply_batch(store, root, options, max_incremental)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="500 milliseconds")).start()

@@ -205,3 +205,31 @@ def test_maintained_index(spark, tmp_path):
     send(3, path=".reindex-queue", op="create")
     assert {r.name for r in store.table("functions").collect()} == {"two", "three"}
     assert {r.change_type for r in store.table("changes").collect()} == set() and store.health()["healthy"]
+
+
+def test_tree_source(spark, tmp_path):
+    from codequarry.streaming.tree_source import TreeReader, tree_changes
+
+    src = tmp_path / "src"
+    (src / "node_modules").mkdir(parents=True)
+    (src / "node_modules/x.py").write_text("x")
+    (src / "a.py").write_text("def one():\n    return two()\n")
+    reader = TreeReader(str(src), str(tmp_path / "state"))
+    rows, first = reader.read(reader.initialOffset())
+    assert [r[:2] for r in rows] == [("a.py", "upsert")] and list(reader.read(first)[0]) == []
+    (src / "a.py").unlink()
+    (src / "new").mkdir()
+    (src / "new/b.py").write_text("y")
+    rows, second = reader.read(first)
+    want = [("a.py", "delete"), ("new/b.py", "upsert")]
+    assert [r[:2] for r in rows] == want == [r[:2] for r in reader.readBetweenOffsets(first, second)]
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.index(str(src))
+    q = maintain(store, tree_changes(spark, str(src), f"{tmp_path}/q"), str(src), f"{tmp_path}/ck", max_incremental=1)
+    try:
+        q.processAllAvailable()
+        (src / "c.py").write_text("def three():\n    pass\n")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert {r.name for r in store.table("functions").collect()} == {"three"}
