@@ -42,6 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
 KEY = "__quarry_key"
 
 
+_written: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote in this process; results that still read it must have been written by then."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -51,6 +61,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     limit_batches(spark)
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -441,3 +441,24 @@ def ngram_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents")).drop("row")
+
+
+#: The same by brute force: all pairs of different sets that share a shingle, and what links reach from each.
+OP3_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(ws) > 0 THEN
+    list_sort(list_distinct([array_to_string(ws[i : i + least({WORDS}, len(ws)) - 1], ' ') for i in range(1, greatest(len(ws) - {WORDS - 1}, 1) + 1)])) END AS s
+  FROM w
+),
+sets AS (SELECT s, count(*) AS copies, min(doc_id) AS least_id, row_number() OVER () AS k FROM g WHERE s IS NOT NULL GROUP BY s),
+sh AS (SELECT k, unnest(s) AS x, len(s) AS n FROM sets),
+pairs AS (SELECT a.k AS a, b.k AS b, count(*) AS c, a.n + b.n - count(*) AS u FROM sh a JOIN sh b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k, a.n, b.n),
+link AS (SELECT a, b FROM pairs WHERE c >= {THRESHOLD} * u UNION ALL SELECT b, a FROM pairs WHERE c >= {THRESHOLD} * u),
+reach(k, m) AS (SELECT k, k FROM sets UNION SELECT reach.k, link.b FROM reach JOIN link ON link.a = reach.m),
+class AS (SELECT reach.k, min(least_id) AS class_id, sum(copies)::BIGINT AS n_class FROM reach JOIN sets ON sets.k = reach.m GROUP BY 1),
+linked AS (SELECT link.a AS k, sum(copies) AS n FROM link JOIN sets ON sets.k = link.b GROUP BY 1)
+SELECT g.doc_id, CASE WHEN g.s IS NULL THEN g.doc_id ELSE class_id END AS class_id, coalesce(copies - 1 + coalesce(n, 0), 0)::BIGINT AS n_links,
+  coalesce(n_class, 1) AS n_class
+FROM g LEFT JOIN sets ON sets.s = g.s LEFT JOIN class USING (k) LEFT JOIN linked USING (k)
+"""

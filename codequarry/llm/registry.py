@@ -6,7 +6,7 @@ from codequarry.llm.chat_format import OP10_SQL, op10_chat_format
 from codequarry.llm.decontamination import op6_decontamination
 from codequarry.llm.license_scan import op2_license_scan
 from codequarry.llm.mixing import op5_mixing
-from codequarry.llm.ngram_join import op3_ngram_join
+from codequarry.llm.ngram_join import OP3_SQL, op3_ngram_join
 from codequarry.llm.quality_rules import OP8_SQL, op8_quality_rules
 from codequarry.llm.secret_scan import op7_secret_scan
 from codequarry.llm.sharding import OP9_SQL, op9_sharding
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
 }
 
-SQL = {"op8_quality_rules": OP8_SQL, "op9_sharding": OP9_SQL, "op10_chat_format": OP10_SQL}
+SQL = {"op3_ngram_join": OP3_SQL, "op8_quality_rules": OP8_SQL, "op9_sharding": OP9_SQL, "op10_chat_format": OP10_SQL}
