@@ -131,12 +131,15 @@ def build_calls(sites: DataFrame, functions: DataFrame, types: DataFrame, bases:
 
 def affected_sites(sites: DataFrame, before: DataFrame, after: DataFrame, types_before: DataFrame, types_after: DataFrame) -> DataFrame:
     """Call sites that a change of definitions may resolve otherwise: those that name a changed symbol or type in any role."""
-    key = ["name", "file_path", "receiver_type", "package", "return_type", "kind"]
-    moved = before.select(*key).exceptAll(after.select(*key)).unionByName(after.select(*key).exceptAll(before.select(*key)))
-    kinds = types_before.select("name", "kind", "file_path").exceptAll(types_after.select("name", "kind", "file_path")).unionByName(
-        types_after.select("name", "kind", "file_path").exceptAll(types_before.select("name", "kind", "file_path"))
-    )
-    names = moved.select(F.explode(F.array("name", "receiver_type")).alias("x")).unionByName(kinds.select(F.col("name").alias("x"))).where("x IS NOT NULL").distinct()
+    key = ["id", "name", "file_path", "receiver_type", "package", "return_type", "kind"]
+
+    def differing(a: DataFrame, b: DataFrame, columns: list[str], out: list[str]) -> DataFrame:
+        both = a.select(*columns, F.lit(1).alias("_n")).unionByName(b.select(*columns, F.lit(-1).alias("_n")))
+        moved = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n != 0")
+        return moved.select(F.explode(F.array(*out)).alias("x"))
+
+    names = differing(before, after, key, ["name", "receiver_type"]).unionByName(differing(types_before, types_after, ["name", "kind", "file_path"], ["name"]))
+    names = names.where("x IS NOT NULL").distinct()
     roles = F.array("callee_name", "imported_origin", "receiver_type", "receiver_from_callee")
     hit = sites.withColumn("_k", F.xxhash64("file_path", "line", "ord")).select("_k", F.explode(roles).alias("x")).join(names, "x", "left_semi").select("_k").distinct()
     return sites.withColumn("_k", F.xxhash64("file_path", "line", "ord")).join(hit, "_k", "left_semi").drop("_k")

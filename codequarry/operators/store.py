@@ -1,26 +1,32 @@
 """Versioned snapshots of the engine's tables, and the index build that fills them.
 
-A snapshot is a folder with one Parquet table each; ``CURRENT`` names the live one.  Writers prepare a new folder and
-swap the name, so readers see the old or the new state.  Files go through Hadoop's file system, so the store may be
-anywhere that Spark can read and write.
+``CURRENT`` is a small manifest that names the Parquet folders of each table: a base, and layers of later updates.  A layer
+holds the new rows of some files; the rows that these files had below it no longer count.  So an update writes what changed
+and nothing else, readers see the old or the new state, and after ``MAX_LAYERS`` updates the layers are folded together.
+Files go through Hadoop's file system, so the store may be anywhere that Spark can read and write.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.operators.aggregates import keep_last
-from codequarry.operators.resolve import affected_sites, attach_callers, build_calls
+from codequarry.operators.resolve import affected_sites, build_calls
 from codequarry.schema import SCHEMA_VERSION, TABLES
 from codequarry.session import cut
 from codequarry.sources import files as fs
 from codequarry.sources.extract import parse_files, symbol_tables
 
-_BY_FILE = ["functions", "call_sites", "types", "imports", "struct_fields", "package_vars", "class_bases", "documents"]
+_SYMBOLS = ["functions", "call_sites", "types", "imports", "struct_fields", "package_vars", "class_bases", "documents"]
+MAX_LAYERS = 8
+#: Changed files that one update takes; they are held as a list in the manifest.
+MAX_CHANGED = 5000
 
 
 class Store:
@@ -29,24 +35,21 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # -- the pointer
-    def _read(self, name: str) -> str | None:
-        at = self._path(f"{self.path}/{name}")
+    # -- the manifest
+    def manifest(self) -> dict:
+        at = self._path(f"{self.path}/CURRENT")
         if not self._fs.exists(at):
-            return None
+            return {"tables": {}, "meta": {}}
         stream = self._fs.open(at)
         try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def current(self) -> str | None:
-        return self._read("CURRENT")
-
-    def _flip(self, version: str) -> None:
+    def _flip(self, manifest: dict) -> None:
         temp = self._path(f"{self.path}/CURRENT-{uuid.uuid4().hex}")
         stream = self._fs.create(temp, True)
-        stream.write(bytearray(version.encode()))
+        stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
         live = self._path(f"{self.path}/CURRENT")
         if not self._fs.rename(temp, live):  # file systems that don't replace on rename
@@ -54,85 +57,114 @@ class Store:
             self._fs.rename(temp, live)
 
     # -- tables
-    def table(self, name: str, version: str | None = None) -> DataFrame:
-        version = version or self.current()
-        if version is None:
+    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
+        layers = (manifest or self.manifest())["tables"].get(name)
+        if name == "meta":
+            rows = [(k, v) for k, v in (manifest or self.manifest())["meta"].items()]
+            return self.spark.createDataFrame(rows, TABLES[name])
+        if not layers:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{version}/{name}")
+        out: DataFrame | None = None
+        for layer in layers:
+            rows = self.spark.read.schema(TABLES[name]).parquet(layer["path"])
+            if out is not None:
+                if layer.get("files"):
+                    out = out.where(~F.col("file_path").isin(layer["files"]))
+                if layer.get("sites"):  # call sites that were resolved again
+                    gone = self.spark.read.schema(_SITES).parquet(layer["sites"])
+                    out = out.join(gone, [c.split()[0] for c in _SITES.split(", ")], "left_anti")
+                rows = out.unionByName(rows)
+            out = rows
+        return out
 
     def is_empty(self) -> bool:
-        return self.current() is None or self.table("functions").isEmpty()
-
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        """A new snapshot; tables that aren't given are taken over."""
-        old, version = self.current(), f"v-{datetime.now(UTC):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
-        for name, schema in TABLES.items():
-            df = tables.get(name)
-            df = self.table(name, old) if df is None else df
-            names = [c.split()[0] for c in schema.split(", ")]
-            df.select(*names).write.parquet(f"{self.path}/{version}/{name}")
-        self._flip(version)
-        return version
-
-    # -- meta, errors
-    def _meta(self, **values: str) -> DataFrame:
-        rows = [(k, v, 1) for k, v in {"schema_version": SCHEMA_VERSION, **values}.items()]
-        new = self.spark.createDataFrame(rows, "key string, value string, o int")
-        return keep_last(self.table("meta").withColumn("o", F.lit(0)).unionByName(new), ["key"], "o").drop("o")
+        return self.table("functions").isEmpty()
+
+    def _write(self, rows: dict[str, DataFrame]) -> dict[str, str]:
+        """Write tables side by side; name -> folder."""
+        version = f"{datetime.now(UTC):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+
+        def one(item: tuple[str, DataFrame]) -> tuple[str, str]:
+            name, df = item
+            path = f"{self.path}/data/{name}/{version}"
+            columns = [c.split()[0] for c in TABLES.get(name, _SITES).split(", ")]
+            df.select(*columns).write.parquet(path)
+            return name, path
+
+        with ThreadPoolExecutor(len(rows) or 1) as pool:
+            return dict(pool.map(one, rows.items()))
 
     def health(self) -> dict[str, object]:
-        meta = {r["key"]: r["value"] for r in self.table("meta").collect()}  # a handful of keys
-        failed = self.table("index_errors").count()
+        m = self.manifest()
+        failed = self.table("index_errors", m).count()
+        meta = m["meta"]
         return {
             "last_full_index": meta.get("last_full_index"), "last_incremental_update": meta.get("last_incremental_index"),
             "failed_files": failed, "healthy": failed == 0, "schema_version": meta.get("schema_version"),
         }
 
     # -- building
-    def _parsed(self, files: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    def _parsed(self, files: DataFrame) -> dict[str, DataFrame]:
         parsed = cut(parse_files(files), "parsed")
-        tables = symbol_tables(parsed) | {"documents": fs.documents(files)}
         errors = parsed.where("error IS NOT NULL").select("file_path", "error", F.current_timestamp().alias("ts"))
-        return tables, errors
+        return symbol_tables(parsed) | {"documents": fs.documents(files), "index_errors": errors}
+
+    def _calls(self, sites: DataFrame, get: Callable[[str], DataFrame]) -> DataFrame:
+        return build_calls(sites, get("functions"), get("types"), get("class_bases"), get("struct_fields"), get("package_vars"))
 
     def index(self, root: str, options: fs.ScanOptions | None = None) -> str:
         """Full build: everything is replaced."""
-        tables, errors = self._parsed(fs.scan(self.spark, root, options))
-        t = {k: cut(v, k) for k, v in tables.items()}
-        t["calls"] = build_calls(t["call_sites"], t["functions"], t["types"], t["class_bases"], t["struct_fields"], t["package_vars"])
-        now = datetime.now(UTC).isoformat(timespec="seconds")
-        changes = self.spark.createDataFrame([], TABLES["changes"])
-        return self.write(t | {"index_errors": errors, "meta": self._meta(last_full_index=now), "changes": changes})
-
-    def apply(self, changed: DataFrame, files: DataFrame) -> str:
-        """Incremental update: rows of changed files (path, op) are replaced by what ``files`` (path, content) hold now, and
-        call sites anywhere that name a changed symbol are resolved again."""
-        paths = cut(changed.select(F.col("path").alias("file_path"), "op").distinct(), "changed")
-        names = paths.select("file_path").distinct()
-        fresh, errors = self._parsed(files.join(names.withColumnRenamed("file_path", "path"), "path", "left_semi"))
-        old = {n: self.table(n) for n in _BY_FILE}
-        new = {n: cut(old[n].join(names, "file_path", "left_anti").unionByName(fresh[n].select(*old[n].columns), allowMissingColumns=True), n) for n in _BY_FILE}
-        sites = affected_sites(new["call_sites"], old["functions"], new["functions"], old["types"], new["types"])
-        if _moved(old, new, ["struct_fields", "package_vars", "class_bases"]) or _interfaces_moved(old, new):
-            again = new["call_sites"]  # types of receivers changed: any typed call may resolve otherwise
+        made = self._write(self._parsed(fs.scan(self.spark, root, options)))
+        new = {"tables": {n: [{"path": p}] for n, p in made.items()}, "meta": self.manifest()["meta"] | _now("last_full_index")}
+        calls = self._write({"calls": self._calls(self.table("call_sites", new), lambda n: self.table(n, new))})
+        new["tables"]["calls"] = [{"path": calls["calls"]}]
+        self._flip(new)
+        return made["functions"]
+
+    def apply(self, changed: DataFrame, root: str, options: fs.ScanOptions | None = None) -> str:
+        """Incremental update: the rows of changed files (path, op) are replaced by what the files hold now, and call sites
+        anywhere that name a changed symbol are resolved again."""
+        ops = {r["path"]: r["op"] for r in changed.select("path", "op").limit(MAX_CHANGED + 1).collect()}
+        if len(ops) > MAX_CHANGED:
+            raise ValueError(f"more than {MAX_CHANGED} changed files: index the whole tree")
+        names, old = sorted(ops), self.manifest()
+        rows = self._parsed(fs.scan(self.spark, root, options, only=names))
+        log = self.spark.createDataFrame(list(ops.items()), "file_path string, change_type string").withColumn("ts", F.current_timestamp())
+        made = self._write(rows | {"changes": log})
+        new = {"tables": {n: list(v) for n, v in old["tables"].items()}, "meta": old["meta"] | _now("last_incremental_index")}
+        for n, path in made.items():
+            new["tables"].setdefault(n, []).append({"path": path} if n == "changes" else {"path": path, "files": names})
+
+        def before(name: str) -> DataFrame:
+            return self.table(name, old).where(F.col("file_path").isin(names))
+
+        def after(name: str) -> DataFrame:
+            return self.spark.read.schema(TABLES[name]).parquet(made[name])
+
+        sites = self.table("call_sites", new)
+        own = F.col("file_path").isin(names)
+        if _receivers_moved(before, after, self.table("types", new)):
+            again = sites  # types of receivers changed: any typed call may resolve otherwise
         else:
-            again = sites.unionByName(new["call_sites"].join(names, "file_path", "left_semi")).distinct()
+            again = affected_sites(sites.where(~own), before("functions"), after("functions"), before("types"), after("types")).unionByName(sites.where(own))
         again = cut(again, "again")
-        redone = build_calls(again, new["functions"], new["types"], new["class_bases"], new["struct_fields"], new["package_vars"])
-        # what is resolved again leaves the stored calls by its place and name
-        gone = attach_callers(again, new["functions"]).select("file_path", "line", "callee_name").distinct()
-        kept = self.table("calls").join(names, "file_path", "left_anti").join(gone, ["file_path", "line", "callee_name"], "left_anti")
-        kept = kept.join(new["functions"].select(F.col("id").alias("caller_id")), "caller_id", "left_semi")
-        now = datetime.now(UTC).isoformat(timespec="seconds")
-        stale_errors = self.table("index_errors").join(names, "file_path", "left_anti")
-        log = self.table("changes").unionByName(paths.select("file_path", F.col("op").alias("change_type"), F.current_timestamp().alias("ts")))
-        return self.write(
-            new | {"calls": kept.unionByName(redone), "index_errors": stale_errors.unionByName(errors), "changes": log, "meta": self._meta(last_incremental_index=now)}
-        )
+        redone = self._calls(again, lambda n: self.table(n, new))
+        extra = self._write({"calls": redone, "sites": again.select("file_path", "line", "callee_name").distinct()})
+        new["tables"].setdefault("calls", []).append({"path": extra["calls"], "files": names, "sites": extra["sites"]})
+        self._flip(new)
+        if len(new["tables"]["functions"]) > MAX_LAYERS:
+            self.compact()
+        return made["functions"]
+
+    def compact(self) -> None:
+        """Fold the layers of every table together."""
+        now = self.manifest()
+        made = self._write({n: self.table(n, now) for n in now["tables"]})
+        self._flip({"tables": {n: [{"path": p}] for n, p in made.items()}, "meta": now["meta"]})
 
     # -- derived
     def file_summaries(self) -> DataFrame:
-        f = self.table("functions").groupBy("file_path").agg(F.first("language").alias("language"), F.count("*").alias("function_count"))
+        f = self.table("functions").groupBy("file_path").agg(F.min("language").alias("language"), F.count("*").alias("function_count"))
         t = self.table("types").groupBy("file_path").agg(F.count("*").alias("type_count"))
         i = self.table("imports").groupBy("file_path").agg(F.count("*").alias("import_count"))
         out = f.join(t, "file_path", "full").join(i, "file_path", "full")
@@ -142,15 +174,27 @@ class Store:
         return self.table("functions").where(F.col("file_path") == path).orderBy("start_line", "name").select("id", "name", "kind", "start_line", "end_line")
 
 
-def _moved(old: dict[str, DataFrame], new: dict[str, DataFrame], names: list[str]) -> bool:
-    return any(not (old[n].exceptAll(new[n]).isEmpty() and new[n].exceptAll(old[n]).isEmpty()) for n in names)
+_SITES = "file_path string, line int, callee_name string"
+
+
+def _now(key: str) -> dict[str, str]:
+    return {"schema_version": SCHEMA_VERSION, key: datetime.now(UTC).isoformat(timespec="seconds")}
+
+
+def _receivers_moved(before: Callable[[str], DataFrame], after: Callable[[str], DataFrame], types: DataFrame) -> bool:
+    """Whether fields, globals, bases, interfaces, or methods that an interface names differ between two states of some files."""
 
+    def state(get: Callable[[str], DataFrame]) -> DataFrame:
+        def flat(name: str, *columns: str) -> DataFrame:
+            return get(name).select(F.lit(name).alias("t"), F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("v"))
 
-def _interfaces_moved(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> bool:
-    def of(t: dict[str, DataFrame]) -> DataFrame:
-        i = t["types"].where("kind = 'interface'").select("name", F.explode("methods").alias("m"))
-        f = t["functions"].where("kind = 'method'").join(i.select(F.col("m").alias("name")).distinct(), "name", "left_semi").select("name", F.col("receiver_type").alias("m"))
-        return i.unionByName(f)
+        rows = flat("struct_fields", "struct_type", "field_name", "field_type")
+        rows = rows.unionByName(flat("package_vars", "package", "name", "var_type")).unionByName(flat("class_bases", "class_name", "base_name", "ord"))
+        faces = get("types").where("kind = 'interface'").select(F.lit("i").alias("t"), F.concat_ws("\x00", "name", F.array_join("methods", ",")).alias("v"))
+        named = types.where("kind = 'interface'").select(F.explode("methods").alias("name")).distinct()
+        methods = get("functions").where("kind = 'method'").join(named, "name", "left_semi")
+        return rows.unionByName(faces).unionByName(methods.select(F.lit("m").alias("t"), F.concat_ws("\x00", "name", F.coalesce("receiver_type", F.lit(""))).alias("v")))
 
-    a, b = of(old), of(new)
-    return not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty())
+    # a multiset of the one state must equal the other's: counts cancel out
+    both = state(before).withColumn("n", F.lit(1)).unionByName(state(after).withColumn("n", F.lit(-1)))
+    return not both.groupBy("t", "v").agg(F.sum("n").alias("n")).where("n != 0").isEmpty()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,9 +17,9 @@ from codequarry.sources.parse import generic, golang, python, typescript
 from codequarry.sources.parse.common import Parsed
 
 _PARTS = {
-    "functions": "name string, start_line int, end_line int, exported boolean, code string, docstring string, signature string, kind string, receiver_type string, package string, return_type string",
+    "functions": "name string, start_line int, end_line int, exported boolean, code string, docstring string, signature string, kind string, receiver_type string, package string, return_type string, nth int",
     "calls": "callee_name string, line int, receiver_name string, receiver_kind string, receiver_type string, receiver_from_callee string, receiver_field string, receiver_package string, imported_origin string, imported_module_root string",
-    "types": "name string, kind string, start_line int, definition string, methods array<string>, exported boolean",
+    "types": "name string, kind string, start_line int, definition string, methods array<string>, exported boolean, nth int",
     "imports": "imported_path string, imported_symbols string",
     "fields": "struct_type string, field_name string, field_type string, package string",
     "variables": "name string, var_type string, package string",
@@ -37,6 +38,16 @@ def parse_source(path: str, text: str, language: str) -> Parsed:
     return generic.parse(path, text, language)
 
 
+def _number(p: Parsed) -> None:
+    """Tell equal definitions of one file apart by their order."""
+    for records in (p.functions, p.types):
+        seen: Counter = Counter()
+        for r in records:
+            key = (r["name"], r["kind"], r.get("receiver_type"))
+            r["nth"] = seen[key]
+            seen[key] += 1
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """One row per file (path, content): its records as arrays; a file that can't be read or parsed has an error."""
     schema = to_arrow_schema(T._parse_datatype_string(_SCHEMA))
@@ -52,6 +63,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                     parsed = parse_source(path, (content or b"").decode("utf-8", "replace"), language)
                 except Exception as e:  # one bad file must not end the index; it is reported in index_errors
                     error = f"{type(e).__name__}: {e}"[:500]
+                _number(parsed)
                 rows.append({"file_path": path, "language": language, "error": error} | {k: getattr(parsed, k) for k in _PARTS})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -61,21 +73,21 @@ def parse_files(files: DataFrame) -> DataFrame:
 def symbol_tables(parsed: DataFrame) -> dict[str, DataFrame]:
     """The flat tables of *materialized* parse results.
 
-    Ids are hashes of place and name: stable over runs and edits elsewhere, and made without ordering all rows.
+    Ids are hashes of file, name and kind: stable over runs, edits elsewhere and moved lines, and made without ordering all rows.
     """
 
     def flat(part: str) -> DataFrame:
         return parsed.select("file_path", "language", F.posexplode(part).alias("ord", "r")).select("file_path", "language", "ord", "r.*")
 
-    def with_id(df: DataFrame) -> DataFrame:
-        key = F.xxhash64("file_path", "name", "start_line", "ord")
+    def with_id(df: DataFrame, *more: str) -> DataFrame:
+        key = F.xxhash64("file_path", "name", "kind", "nth", *more)
         return df.withColumn("id", F.call_function("shiftrightunsigned", key, F.lit(1))).withColumn("name_parts", split_identifier(F.col("name")))
 
     bases = parsed.select("file_path", F.explode("bases").alias("r")).select("file_path", "r.*")
     return {
-        "functions": with_id(flat("functions")).drop("ord"),
+        "functions": with_id(flat("functions"), "receiver_type").drop("ord", "nth"),
         "call_sites": flat("calls"),
-        "types": with_id(flat("types")).drop("ord", "language"),
+        "types": with_id(flat("types")).drop("ord", "nth", "language"),
         "imports": flat("imports").drop("ord", "language"),
         "struct_fields": flat("fields").drop("ord", "language"),
         "package_vars": flat("variables").drop("ord", "language"),

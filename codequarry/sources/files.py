@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions.text import doc_title
-from codequarry.schema import ALIASES, DOCUMENT_KINDS, EXTENSIONS, IGNORED_DIRS, LOCK_FILES
+from codequarry.schema import ALIASES, DOCUMENT_KINDS, EXTENSIONS, FILES, IGNORED_DIRS, LOCK_FILES
 
 MAX_FILE_SIZE = 1 << 20
 
@@ -94,12 +94,25 @@ def doc_kind(path: Column) -> Column:
     )
 
 
-def scan(spark: SparkSession, root: str, options: ScanOptions | None = None, ignore: list[str] | None = None) -> DataFrame:
-    """path (relative), content, length, modified of the files to index; paths and sizes are judged before contents are read."""
+def scan(spark: SparkSession, root: str, options: ScanOptions | None = None, ignore: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """path (relative), content, length, modified of the files to index; paths and sizes are judged before contents are read.
+
+    With ``only`` (relative paths, a bounded list) just these are looked up, and the tree isn't listed.
+    """
     options = options or ScanOptions()
     ignore = load_ignore(root) if ignore is None and "://" not in root else ignore or []
     base = root.rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(F.col("length") <= options.max_file_size)
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
+    if only is None:
+        raw = reader.option("recursiveFileLookup", "true").load(base)
+    else:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(base).getFileSystem(spark._jsc.hadoopConfiguration())
+        there = [base + p for p in only if fs.isFile(hadoop(base + p))]
+        if not there:
+            return spark.createDataFrame([], FILES)
+        raw = reader.load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in there])
+    raw = raw.where(F.col("length") <= options.max_file_size)
     plain = base.split("://", 1)[-1]
     relative = F.expr("substr(path, instr(path, %s) + %d)" % ("'" + plain.replace("'", "\\'") + "'", len(plain)))
     files = raw.select(relative.alias("path"), "content", "length", F.col("modificationTime").alias("modified"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codequarry.operators.store import Store
-from codequarry.sources.files import ScanOptions, scan
+from codequarry.sources.files import ScanOptions
 from codequarry.streaming.changes import FULL, debounce, latest_changes, relevant
 
 EVENTS = "path string, op string, ts timestamp"
@@ -56,7 +56,7 @@ def apply_batch(store: Store, root: str, options: ScanOptions | None = None, max
             if last.limit(max_incremental + 1).count() > max_incremental:
                 store.index(root, options)
                 return
-            store.apply(last, scan(store.spark, root, options))
+            store.apply(last, root, options)
         finally:
             events.unpersist()
 

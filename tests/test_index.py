@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import pytest
@@ -309,20 +310,25 @@ def test_incremental_equals_full(spark, tmp_path):
     live.index(str(root))
     changes = [
         ({"widget/helper.go": "package widget\n\nfunc helper(x []int) int { return more() }\n\nfunc more() int { return 1 }\n"}, []),
+        ({"widget/helper.go": "package widget\n\n// moved down\n\nfunc helper(x []int) int { return more() }\n\nfunc more() int { return 1 }\n"}, []),
         ({"notify/p.go": "package notify\n\ntype Push struct{}\n\nfunc (p Push) Send(msg string) error { return nil }\n"}, ["store/store.go"]),
     ]
+    number = itertools.count()
     for written, removed in changes:
         plant(root, written)
         for r in removed:
             (root / r).unlink()
         rows = [(p, "upsert") for p in written] + [(p, "delete") for p in removed]
-        live.apply(spark.createDataFrame(rows, "path string, op string"), scan(spark, str(root)))
-        full = Store(spark, f"file://{tmp_path}/full-{len(written)}-{len(removed)}")
+        live.apply(spark.createDataFrame(rows, "path string, op string"), str(root))
+        full = Store(spark, f"file://{tmp_path}/full-{next(number)}")
         full.index(str(root))
         assert edges(live) == edges(full)
         for t in ("functions", "types", "call_sites"):
-            a, b = live.table(t).drop("id"), full.table(t).drop("id")
+            a, b = live.table(t), full.table(t)
             assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    want = edges(live)
+    live.compact()
+    assert edges(live) == want and len(live.manifest()["tables"]["calls"]) == 1
 
 
 def test_rpc(store):

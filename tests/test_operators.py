@@ -204,7 +204,7 @@ def test_maintained_index(spark, tmp_path):
     (src / "c.py").write_text("def three():\n    pass\n")
     send(3, path=".reindex-queue", op="create")
     assert {r.name for r in store.table("functions").collect()} == {"two", "three"}
-    assert {r.change_type for r in store.table("changes").collect()} == set() and store.health()["healthy"]
+    assert store.table("changes").isEmpty() and store.health()["healthy"]
 
 
 def test_tree_source(spark, tmp_path):
