@@ -309,9 +309,9 @@ def _innermost_span(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.innermost(e.select(F.col("event_id").alias("point_id"), "file_path", "line"), spans)
 
 
-@_query("sole_distinct_type", "SELECT p_name, min(p_type) AS p_type FROM part WHERE p_size <= 3 GROUP BY p_name HAVING count(DISTINCT p_type) = 1")
+@_query("sole_distinct_type", "SELECT p_name, p_brand, min(p_type) AS p_type FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_type) = 1")
 def _sole_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.sole_value(table(spark, d, "part").where("p_size <= 3"), ["p_name"], "p_type")
+    return aggregates.sole_value(table(spark, d, "part"), ["p_name", "p_brand"], "p_type")
 
 
 @_query("first_nonempty", "SELECT p_name, arg_min(p_type, p_partkey) AS p_type FROM part WHERE p_type NOT LIKE 'S%' GROUP BY p_name")
@@ -699,7 +699,8 @@ def _snippets(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("bootstrap_interval")
 def _bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    task_pairs = _pairs(spark, d).orderBy("o_custkey").limit(200)  # a run of an evaluation: a bounded list of tasks
-    return evaluate.bootstrap_ci([r["delta"] for r in task_pairs.select("delta").collect()], 500, spark=spark)
-
-
+    """Interval of the median difference between two order states over nations: each nation is one task with both arms."""
+    nation = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    runs = table(spark, d, "orders").join(nation, "o_custkey").groupBy("c_nationkey", "o_orderstatus").agg(F.avg("o_totalprice").alias("price"))
+    pairs = evaluate.paired(runs, "c_nationkey", "o_orderstatus", "price", ("F", "O"))
+    return evaluate.bootstrap_ci([r["delta"] for r in pairs.orderBy("c_nationkey").select("delta").collect()], 500, spark=spark)  # one row a nation
