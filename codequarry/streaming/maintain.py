@@ -29,6 +29,23 @@ def debounced(events: DataFrame, gap: str = "500 milliseconds", delay: str = "1
     return debounce(relevant(events).withWatermark("ts", delay), ["path", "op"], gap)
 
 
+def debounce_to_table(events: DataFrame, keys: list[str], gap: str, path: str) -> DataFrame:
+    """Run a debouncing stream over what its source holds now, and return all bursts, the open ones too.
+
+    Each trigger writes the state as a table of its own (complete mode), so a trigger that is replayed writes the same one.
+    """
+    written: list[str] = []
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        at = f"{path}/bursts-{batch_id}"
+        batch.write.mode("overwrite").parquet(at)
+        written.append(at)
+
+    query = debounce(events, keys, gap).writeStream.outputMode("complete").foreachBatch(keep)
+    query.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return events.sparkSession.read.parquet(written[-1])
+
+
 def listing_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, op) between two listings (path, modified): a file source alone does not see deletions."""
     old = before.select("path", F.col("modified").alias("was"))
