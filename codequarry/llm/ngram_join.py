@@ -110,8 +110,8 @@ def _move(path: np.ndarray, sets: np.ndarray, sketches: np.ndarray, level: int)
     nodes, which = np.unique(path, return_inverse=True)
     row, coordinate = np.nonzero(_children(nodes, level)[which])
     value = sketches[row, coordinate].astype(np.uint64)
-    child = mix64(path[row].astype(np.uint64) ^ mix64(value * np.uint64(SKETCH) + coordinate.astype(np.uint64)) + np.uint64(level))
-    return child.astype(np.int64), sets[row]
+    child = mix64(path[row].astype(np.uint64) ^ mix64(value * np.uint64(SKETCH) + coordinate.astype(np.uint64)) + np.uint64(level)).astype(np.int64)
+    return child & ~1 | path[row] & 1, sets[row]  # the last bit tells the round
 
 
 def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -126,7 +126,8 @@ def start_runs(prints: DataFrame, runs: range) -> DataFrame:
             if not b.num_rows:
                 continue
             sets, sketches = b.column(0).to_numpy(), _sketches(b.column(1))
-            parts = [_move(np.full(len(sets), mix64(np.array([r + 1], dtype=np.uint64)).astype(np.int64)[0]), sets, sketches, 0) for r in runs]
+            seeds = mix64(np.array([r + 1 for r in runs], dtype=np.uint64)).astype(np.int64) & ~1 | np.array([r // RUNS % 2 for r in runs])
+            parts = [_move(np.full(len(sets), seed), sets, sketches, 0) for seed in seeds]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], schema=_PATHS)
 
     return prints.select("set", "sketch").mapInArrow(run, "path long, set long")
@@ -222,21 +223,23 @@ def by_group(rows: DataFrame, keys: list[str], columns: list[str], run, schema:
     return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("round", pa.int64())])
 
 
 def compare_sketches(rows: DataFrame) -> DataFrame:
-    """Stars (a, b) of alike sets within each (path, tile); rows: path, tile, side, set, sketch."""
+    """Stars (a, b) of alike sets within each (path, tile), and the path's round; rows: path, tile, side, set, sketch."""
 
-    def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         side, sets = table["side"].to_numpy(), table["set"].to_numpy()
         sketches = _sketches(table["sketch"])
         left = side != 1
         right = left if (side == 2).any() else ~left
         a, b = sets[left], sets[right]
-        return stars(_alike(sketches[left], sketches[right]) & (a[:, None] != b[None, :]), a, b)
+        least, member = stars(_alike(sketches[left], sketches[right]) & (a[:, None] != b[None, :]), a, b)
+        return least, member, np.full(len(least), table["round"][0].as_py(), dtype=np.int64)
 
-    return by_group(rows, ["path", "tile"], ["side", "set", "sketch"], run, "a long, b long", _EDGES)
+    tagged = rows.withColumn("round", F.col("path").bitwiseAND(1))
+    return by_group(tagged, ["path", "tile"], ["round", "side", "set", "sketch"], run, "a long, b long, round long", _EDGES)
 
 
 def _tiled(rows: DataFrame, group: str, size: str, count: str) -> DataFrame:
@@ -258,7 +261,7 @@ def _tiled(rows: DataFrame, group: str, size: str, count: str) -> DataFrame:
 
 
 def similar_edges(prints: DataFrame, runs: range) -> DataFrame:
-    """Stars (a, b) and their round, of some runs; rounds are told apart by the path's run."""
+    """Stars (a, b) and their round (0 or 1), of the runs of two rounds."""
     paths = start_runs(prints, runs)
     edges: list[DataFrame] = []
     for level in range(1, DEPTH + 1):
@@ -295,10 +298,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"), "cc")
     while True:
-        # large star: what is above a node moves to the least of its neighbourhood
+        # large star: what is above a node moves to the least of its neighbourhood; a hub's rows are summed before they
+        # move, and the least nodes are a table of their own, so that Spark can split the hub in the join
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.col("u").alias("v"), "m"), "cc-least")
+        large = now.join(least, "v").select("u", F.col("m").alias("v"))
         # small star: a node and what is below it move to the least of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
@@ -321,16 +325,14 @@ def _round_recall(one: DataFrame, other: DataFrame) -> float:
 
 def families(prints: DataFrame, recall: float = RECALL) -> DataFrame:
     """(set, family) of the sets that have alike ones, by rounds of runs until the recall estimate is reached."""
-    rounds = [materialize(similar_edges(prints, range(r * RUNS, (r + 1) * RUNS)), "edges") for r in range(2)]
-    while len(rounds) < MAX_ROUNDS:
-        missed = max(0.0, 1 - _round_recall(rounds[-2], rounds[-1]))
-        if missed ** len(rounds) <= 1 - recall:
+    found, rounds = None, 0
+    while rounds < MAX_ROUNDS:
+        fresh = materialize(similar_edges(prints, range(rounds * RUNS, (rounds + 2) * RUNS)), "edges")
+        found = fresh if found is None else found.unionByName(fresh)
+        rounds += 2
+        missed = max(0.0, 1 - _round_recall(fresh.where("round = 0"), fresh.where("round = 1")))
+        if missed**rounds <= 1 - recall:
             break
-        r = len(rounds)
-        rounds.append(materialize(similar_edges(prints, range(r * RUNS, (r + 1) * RUNS)), "edges"))
-    found = rounds[0]
-    for e in rounds[1:]:
-        found = found.unionByName(e)
     return components(found).select(F.col("node").alias("set"), F.col("root").alias("family"))
 
 
