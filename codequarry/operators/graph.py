@@ -164,12 +164,17 @@ def inheritance_closure(bases: DataFrame, max_levels: int = 20) -> DataFrame:
 
 
 def implements(methods: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(iface, type): types (type, method) that have every method of an interface (iface, method)."""
-    want = wanted.select("iface", "method").distinct()
-    size = want.groupBy("iface").agg(F.count("*").alias("needed"))
-    have = methods.select("type", "method").distinct()
-    hits = have.join(want, "method").groupBy("iface", "type").agg(F.count("*").alias("found"))
-    return hits.join(size, "iface").where("found = needed AND iface != type").select("iface", "type")
+    """(iface, type): types (type, method) that have every method of an interface (iface, method).
+
+    Method sets are divided once for each distinct set, not for each interface and type; only the result is as large as
+    the pairs that it holds.
+    """
+    want = wanted.groupBy("iface").agg(F.array_sort(F.collect_set("method")).alias("needs"))
+    have = methods.groupBy("type").agg(F.array_sort(F.collect_set("method")).alias("has"))
+    a = want.select("needs").distinct().select("needs", F.explode("needs").alias("method"))
+    b = have.select("has").distinct().select("has", F.explode("has").alias("method"))
+    hits = a.join(b, "method").groupBy("needs", "has").agg(F.count("*").alias("n")).where(F.col("n") == F.size("needs"))
+    return want.join(hits, "needs").join(have, "has").where("iface != type").select("iface", "type")
 
 
 def dispatch_edges(sites: DataFrame, implementations: DataFrame, methods: DataFrame) -> DataFrame:
