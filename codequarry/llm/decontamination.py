@@ -163,7 +163,8 @@ def find_items(words: np.ndarray, items: Items, seeds: dict[int, list[tuple[int,
         if len({i for _, i in places}) < need:
             continue
         places.sort()
-        best, lo, done = (0.0, 0, 0, 0), 0, -1
+        # a text may begin inside an item: offsets go down to 1 - n
+        best, lo, done = (0.0, 0, 0, 0), 0, -n
         inside: dict[int, int] = defaultdict(int)
         for off, i in places:
             inside[i] += 1

@@ -69,6 +69,21 @@ def test_exact_and_edited_copies_are_found(spark, make_docs):
     assert kept == set(range(40, 120))
 
 
+def test_copies_at_the_first_word_without_their_head_are_found(spark, make_docs):
+    rng = random.Random(7)
+    words = lambda c, n: [f"{c}{rng.randrange(9999)}" for _ in range(n)]
+    item = words("i", 30)
+    edited = [*item[:1], *item[2:9], *item[10:]]
+    heads = [item[k:] for k in (1, 2, 10, 14)] + [edited]
+    rows = [(i, " ".join(h + words("d", 80)), "s", "en") for i, h in enumerate(heads)] + [(9, " ".join(words("d", 80)), "s", "en")]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r for r in dc.match_benchmark(make_docs(rows), benchmark).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and all(r.first_word == 0 for r in got.values())
+    assert [got[i].score for i in range(4)] == [(30 - k) / 30 for k in (1, 2, 10, 14)]
+    assert [got[i].last_word for i in range(4)] == [29 - k for k in (1, 2, 10, 14)]
+    assert [r.doc_id for r in dc.clean_documents(make_docs(rows), benchmark).collect()] == [9]
+
+
 def test_an_item_that_many_documents_hold_keeps_its_seeds(spark, make_docs):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     rows = [(i, f"x{i} {item} y{i}", "s", "en") for i in range(200)]
