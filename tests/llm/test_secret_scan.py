@@ -39,6 +39,26 @@ def test_owners_tell_examples_from_live_values(spark, make_docs, tmp_path):
     assert owners == {hashlib.sha256(shared.encode()).hexdigest(): (5, 5), hashlib.sha256(own.encode()).hexdigest(): (1, 2)}
 
 
+def test_copied_documents_make_no_example(spark, make_docs):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(9999)}" for _ in range(n)]
+    exact, near, known, twice = ("AKIA" + x * 16 for x in "ABCD")
+    text, base = " ".join(words(60)), words(200)
+    rows = [(i, f"{text} {exact}", f"src{i % 20}", "en") for i in range(40)]
+    for i in range(100, 140):
+        w = list(base)
+        for k in rng.sample(range(200), 8):
+            w[k] = f"n{i}x{k}"
+        rows.append((i, " ".join([*w, near]), f"src{i % 20}", "en"))
+    rows += [(i, " ".join([*words(60), known]), f"src{i % 3}", "en") for i in range(200, 206)]
+    rows += [(i, " ".join([*words(60), twice]), f"src{i % 2}", "en") for i in range(300, 306)]
+    got = {r.doc_id: (r.n_live, r.n_example) for r in ss.scan_secrets(make_docs(rows)).collect()}
+    assert {got[i] for i in range(40)} == {(1, 0)} and {got[i] for i in range(100, 140)} == {(1, 0)}
+    assert {got[i] for i in range(200, 206)} == {(0, 1)}
+    # two owners, but a repository of each only
+    assert {got[i] for i in range(300, 306)} == {(1, 0)}
+
+
 def test_query_digest_and_edge_cases(spark, make_docs, tmp_path):
     long = "0123456789abcdef " * 20_000
     rows = [(0, None, None, None), (1, "é password=abcdefghijkl", "s", "en"), (1, "é password=abcdefghijkl", "s", "en"), (None, long, "s", None)]
