@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-Each text is cut into sentences.  A sentence above ``PIECE`` words counts as several, cut after words that their own hash
-picks, so that equal stretches are cut alike whatever stands before them.  From every sentence starts one
+Each text is cut into sentences.  A sentence above ``PIECE`` words counts as several, cut after the word of
+least hash in every ``PIECE`` consecutive words, so that no piece is longer and equal stretches are cut alike but for up to
+2 ``PIECE`` - 1 words at either end.  So any stretch of 50 words holds a run, wherever in its sentences it begins and ends.  From every sentence starts one
 run: the shortest run of at least ``RUN_SENTENCES`` sentences and ``RUN_WORDS`` words; one more ends with the text.  Runs are hashed over their
 words (white space and ASCII letter case don't matter) and joined over the whole corpus: the document of smallest id
 keeps a run, at its first place there; in all others, and at later places, the sentences that the run covers go.
@@ -27,9 +28,8 @@ from codequarry.llm.common import power_table, materialize, mix64, read_table, r
 
 RUN_SENTENCES = 2
 RUN_WORDS = 12
-PIECE = 25
-#: In a long sentence one word in so many ends a piece, and so does a word that stands again right after.
-CUT = 8
+#: At most (50 - RUN_WORDS + 3) / 4, so that 50 words hold a run between the ends that may be cut differently; under RUN_WORDS.
+PIECE = 9
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _STOP = re.compile(rb"(?:[.!?]+[\"')\]]*|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)[\x20\x09-\x0d]+|\n[\x20\x09-\x0d]*")
@@ -40,6 +40,17 @@ RUNS = "key long, ord long, hash long, first int, last int, again boolean"
 _ARROW = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("again", pa.bool_())])
 
 
+def least_words(h: np.ndarray) -> np.ndarray:
+    """For each window of PIECE words the place of the least hash (of equal ones the last)."""
+    n = len(h) - PIECE + 1
+    low, at = h[:n], np.zeros(n, dtype=np.int64)
+    for j in range(1, PIECE):
+        less = h[j : j + n] <= low
+        low = np.where(less, h[j : j + n], low)
+        at[less] = j
+    return np.arange(n) + at
+
+
 def sentences(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start of every sentence, index of its first word, and the hashes of all words."""
     h, starts, _ = word_hashes(raw.translate(_FOLD), spans=True)
@@ -48,9 +59,10 @@ def sentences(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = first[first < len(h)]
     sizes = np.diff(np.append(first, len(h)))
     if len(sizes) and sizes.max() > PIECE:
-        ends = (h % np.uint64(CUT) == 0) | (h == np.roll(h, -1))
-        cut = np.repeat(sizes > PIECE, sizes) & ends
-        first = np.unique(np.concatenate([first, np.flatnonzero(cut[:-1]) + 1]))
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        within = (of[: 1 - PIECE] == of[PIECE - 1 :]) & (sizes > PIECE)[of[: 1 - PIECE]]
+        first = np.unique(np.concatenate([first, least_words(h)[within] + 1]))
+        first = first[first < len(h)]
     return starts[first] if len(first) else first, first, h
 
 

@@ -85,6 +85,30 @@ def test_long_sentences_are_cut(make_docs):
     assert got[1].n_removed == 0 and got[2].n_words_left <= 10
 
 
+def test_any_stretch_of_50_words_holds_a_run():
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(99_999)}" for _ in range(n))
+
+    def hashes(text):
+        _, first, h = sd.sentences(text.encode())
+        return set(sd.runs(first, h)[0].tolist())
+
+    for k in range(600):
+        # no stop at all, three sentences of which one is whole, or sentences of any length
+        size = [[50], [20, 15, 15], [rng.randrange(1, 30) for _ in range(12)]][k % 3]
+        stretch = " ".join(". ".join(words(n) for n in size).split()[:50])
+        one, other = (f"{words(rng.randrange(1, 40))} {stretch} {words(rng.randrange(1, 40))}." for _ in range(2))
+        assert len(stretch.split()) == 50 and hashes(one) & hashes(other), (k, size)
+
+
+def test_a_stretch_that_begins_and_ends_in_a_sentence_goes(make_docs):
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randrange(99_999)}" for _ in range(n))
+    stretch = f"{words(20)}. {words(15)}. {words(20)}"
+    got = result(make_docs, [(i, f"{words(4)} {stretch} {words(4)}.") for i in (1, 2)])
+    assert got[1].n_removed == 0 and got[2].n_words - got[2].n_words_left >= 12
+
+
 def test_edge_cases(make_docs):
     rows = [(0, None), (1, ""), (None, "a b. c d."), (3, "x y z. " * 30_000), (4, "short."), (4, "short."), (6, "...\n\n!!")]
     found = sd.dedup_substrings(make_docs([(i, t, "s", "en") for i, t in rows], "")).collect()
