@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codequarry.functions.text import approx_tokens, paths_match
+from codequarry.session import cut
 
 # ------------------------------------------------------------------------------------------ text-search baselines
 
@@ -101,9 +102,12 @@ def wilcoxon(pairs: DataFrame, delta: str = "delta") -> DataFrame:
 
 
 def _running(df: DataFrame, order: str, value: str, parts: int = 64) -> DataFrame:
-    """Adds ``before``: the sum of value over smaller orders; range parts first, so that each window runs over one part."""
+    """Adds ``before``: the sum of value over smaller orders; range parts first, so that each window runs over one part.
+
+    Range bounds are sampled, so the parted rows are written once: parts and their sums must come from the same bounds.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
-    parted = df.repartitionByRange(min(parts, max(1, n)), order).withColumn("_part", F.spark_partition_id())
+    parted = cut(df.repartitionByRange(min(parts, max(1, n)), order).withColumn("_part", F.spark_partition_id()), "running")
     sums = parted.groupBy("_part").agg(F.sum(value).alias("s"))
     ahead = sums.withColumn("ahead", F.coalesce(F.sum("s").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a few rows
     inside = F.coalesce(F.sum(value).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -1,7 +1,7 @@
 """Bounded walks over the call graph, PageRank and closures.
 
-A walk to depth d is d joins in one plan; each level is made distinct before it goes on, so its rows are bounded by the
-edges and never by the paths.
+A walk to depth d is d joins; each level is made distinct and written before the next starts from it, so its rows are
+bounded by the edges and never by the paths, and no level is computed twice.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         met = edges.join(frontier.withColumnRenamed("id", "src"), "src").select(
             F.coalesce("dst", F.lit(0)).alias("id"), F.when(F.col("dst").isNull(), F.col("name")).alias("name"), "resolution", F.col("dst").isNull().alias("external")
         ).distinct()
+        met = cut(met, "walk")
         levels.append(met.withColumn("depth", F.lit(d)))
         frontier = met.where(~F.col("external")).select("id").distinct()
     return reduce(DataFrame.unionByName, levels)
@@ -82,7 +83,7 @@ def impact(
     frontier = seeds.select(F.col("id"), F.col("id").alias("via_id")).distinct()
     levels = []
     for d in range(1, _clamp(depth, 1, MAX_DEPTH) + 1):
-        step = edges.join(frontier.withColumnRenamed("id", "src"), "src").groupBy("id").agg(F.min(F.struct("via_id", "via_resolution")).alias("v"))
+        step = cut(edges.join(frontier.withColumnRenamed("id", "src"), "src").groupBy("id").agg(F.min(F.struct("via_id", "via_resolution")).alias("v")), "impact")
         levels.append(step.select("id", F.lit(d).alias("depth"), "v.via_id", "v.via_resolution"))
         frontier = step.select("id", "v.via_id")
     met = reduce(DataFrame.unionByName, levels)
@@ -105,37 +106,33 @@ def impact_stats(impacted: DataFrame, limit: int = MAX_IMPACT) -> DataFrame:
     )
 
 
-def pagerank(functions: DataFrame, calls: DataFrame, iterations: int = 30, damping: float = 0.85, epsilon: float | None = 1e-6, cut_every: int = 5) -> DataFrame:
+def pagerank(functions: DataFrame, calls: DataFrame, iterations: int = 30, damping: float = 0.85, epsilon: float | None = 1e-6) -> DataFrame:
     """(id, score).  Uniform start, the mass of functions without callees is spread evenly, self-loops and interface dispatch don't count,
     parallel edges do.  With ``epsilon`` it ends early once the scores move less than that in sum.
+
+    Each step is one join over tables that were written, so its plan does not grow; one aggregate gives both the
+    movement of the scores and the mass without callees for the next step.
     """
     ids = functions.select("id")
-    n = ids.count()
-    if n == 0:
-        return ids.withColumn("score", F.lit(0.0))
     edges = calls.where("callee_id IS NOT NULL AND callee_id != caller_id AND resolution != 'interface-dispatch'")
     edges = edges.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"))
     edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     weighted = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))  # parallel edges become a weight
     degree = weighted.groupBy("src").agg(F.sum("w").alias("degree"))
     weighted = cut(weighted.join(degree, "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("share")), "pagerank-edges")
-    nodes = cut(ids.join(degree.select(F.col("src").alias("id"), "degree"), "id", "left"), "pagerank-nodes")
-    rank = nodes.withColumn("score", F.lit(1.0 / n))
-    for i in range(iterations):
-        dangling = rank.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("score"))), F.lit(0.0)).alias("dangling"))
+    nodes = cut(ids.join(weighted.select(F.col("src").alias("id")).distinct().withColumn("calls", F.lit(True)), "id", "left"), "pagerank-nodes")
+    n, ends = nodes.agg(F.count("*"), F.count_if(F.col("calls").isNull())).first()
+    if n == 0:
+        return ids.withColumn("score", F.lit(0.0))
+    rank, dangling, base = nodes.withColumn("score", F.lit(1.0 / n)), ends / n, (1.0 - damping) / n
+    for _ in range(iterations):
         into = weighted.join(rank.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        moved = nodes.join(into, "id", "left").crossJoin(F.broadcast(dangling))  # a one-row side
-        base = (1.0 - damping) / n
-        new = moved.select("id", "degree", (F.lit(base) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("dangling") / n)).alias("score"))
-        if (i + 1) % cut_every == 0 or i + 1 == iterations:
-            new = cut(new, "pagerank")
-            if epsilon is not None:
-                old = rank.select("id", F.col("score").alias("before"))
-                change = new.join(old, "id").agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0]
-                if change is not None and change < epsilon:
-                    rank = new
-                    break
-        rank = new
+        score = F.lit(base) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(dangling / n))
+        moved = rank.select("id", "calls", F.col("score").alias("before")).join(into, "id", "left")
+        rank = cut(moved.select("id", "calls", "before", score.alias("score")), "pagerank")
+        change, dangling = rank.agg(F.sum(F.abs(F.col("score") - F.col("before"))), F.coalesce(F.sum(F.when(F.col("calls").isNull(), F.col("score"))), F.lit(0.0))).first()
+        if epsilon is not None and change < epsilon:
+            break
     return rank.select("id", "score")
 
 

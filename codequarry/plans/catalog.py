@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from codequarry.operators import aggregates, edges, evaluate, graph, search
 from codequarry.plans.views import EDGE, SYM, symbols, table
 from codequarry.plans.views import edges as calls
 from codequarry.schema import EXTENSIONS
-from codequarry.session import shared_dir
+from codequarry.session import scratch
 from codequarry.sources import files
 from codequarry.streaming.changes import debounce, latest_changes, relevant
 from codequarry.streaming.maintain import debounce_to_table, listing_changes
@@ -424,7 +423,7 @@ def _debounce_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same bursts from a stream over the table's files."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = debounce_to_table(stream, ["user_id"], "6 hours", f"{shared_dir(spark)}/quarry-stream-{uuid.uuid4().hex}")
+    out = debounce_to_table(stream, ["user_id"], "6 hours", scratch(spark, "stream"))
     return out.select("user_id", F.col("first_event").cast("timestamp_ntz").alias("started"), F.col("last_event").cast("timestamp_ntz").alias("last_event"), "events")
 
 

@@ -23,17 +23,39 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; where none is set, a temporary one on a local master, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: short lineage that survives a lost executor."""
-    spark = df.sparkSession
+_written: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name in the shared folder, deleted by ``clean_up``."""
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the scratch folders of this process; results that still read them must have been written by then."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back.
+
+    Cuts the lineage: a lost executor costs a re-read of a file, not a recomputation, and the rows can't differ
+    between two uses.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
