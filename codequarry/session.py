@@ -36,16 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name in the shared folder, deleted by ``clean_up``."""
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh folder name in the shared folder; ``clean_up`` deletes it but where it is to be kept."""
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if not keep:
+        _written.append(path)
     return path
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Delete the scratch folders of this process; results that still read them must have been written by then."""
-    while _written:
+def scratch_mark() -> int:
+    """What ``clean_up`` may be told to start from."""
+    return len(_written)
+
+
+def clean_up(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch folders of this process (made after a mark); results that still read them must have been written by then."""
+    while len(_written) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
