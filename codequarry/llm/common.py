@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codequarry.session import cut
+
 #: Rows up to which a side may be broadcast; each such row is a few dozen bytes, so this bounds it to some 20 MB.
 BROADCAST_ROWS = 250_000
 
@@ -29,52 +30,57 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 #: Name of the helper column beside a table's own ones.
 KEY = "__quarry_key"
 
 
-_written: list[str] = []
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back (``session.cut``), with bounded batches to Python."""
+    limit_batches(df.sparkSession)
+    return cut(df, name)
+
 
+def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join against a *materialized* right side: broadcast if its counted rows are within the bound, else shuffled."""
+    return left.join(F.broadcast(right) if right.count() <= rows else right, on, how)
 
-def clean_up(spark: SparkSession) -> None:
-    """Delete what ``materialize`` wrote in this process; results that still read it must have been written by then."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
+#: Type of ``row_key`` in Spark and in Arrow.
+KEY_TYPE = "struct<id:long,hash:long>"
+KEY_ARROW = pa.struct([pa.field("id", pa.int64(), False), pa.field("hash", pa.int64(), False)])
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read of a file, not a recomputation, and the rows can't differ
-    between two uses.
+def _content_hash(seed: int, columns: tuple[Column, ...]) -> Column:
+    return F.xxhash64(F.lit(seed), *(p for c in columns for p in (c.isNull().cast("int"), c)))
+
+
+def row_key(doc_id: Column, *columns: Column) -> Column:
+    """Identity of a row: its id and a 64-bit hash of all its columns; of a null id another hash in its place.
+
+    Rows that are equal in all columns share it, null and '' differ.  Two rows of different ids never share it, and
+    strangers without an id would have to meet in 128 bits.
     """
-    spark = df.sparkSession
-    limit_batches(spark)
-    path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own = doc_id.cast("long")
+    return F.struct(F.coalesce(own, _content_hash(2, columns)).alias("id"), _content_hash(1, (own, *columns)).alias("hash"))
 
 
-def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join against a *materialized* right side: broadcast if its counted rows are within the bound, else shuffled."""
-    return left.join(F.broadcast(right) if right.count() <= rows else right, on, how)
+#: Name of the column that ``numbered`` adds.
+NUMBER = "__quarry_number"
 
 
-def row_key(*columns: Column) -> Column:
-    """64-bit identity of a row's content; null and '' differ, rows that are equal in all columns share it."""
-    parts = [p for c in columns for p in (c.isNull().cast("int"), c)]
-    return F.xxhash64(*parts)
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds ``NUMBER``: 0, 1, ... within each key, in no particular order.
+
+    Rows are numbered within the part that they stand in, and the parts of a key one after the other, so that no task
+    sorts all rows of a hot key.  The parts are written first, so numbers can't change between two uses.
+    """
+    tagged = materialize(rows.withColumn("__part", F.spark_partition_id()), name)
+    at = W.partitionBy(*keys, "__part")
+    sizes = tagged.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    ahead = F.sum("__n").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # one row for each part
+    start = sizes.select(*keys, "__part", F.coalesce(ahead, F.lit(0)).alias("__start"))
+    own = tagged.withColumn("__own", F.row_number().over(at.orderBy("__part")) - 1)
+    return own.join(start, [*keys, "__part"]).withColumn(NUMBER, (F.col("__own") + F.col("__start")).cast("long")).drop("__own", "__start", "__part")
 
 
 # ---------------------------------------------------------------------------------------------- word hashing
