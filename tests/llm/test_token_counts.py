@@ -50,10 +50,48 @@ def test_an_attempt_that_died_does_not_count(spark, make_docs, tmp_path, encodin
     rows = [(1, "a b c", "s", "en")]
     changes = tc.inserts(tc.count_tokens(make_docs(rows)))
     tc.delta(changes).write.parquet(f"file://{tmp_path}/rollup/deltas/b1-dead")
-    (tmp_path / "rollup/commits/b1").touch()
+    (tmp_path / "rollup/temp/b1-dead").write_text("b1-dead")  # it died before its rename
     assert totals(rollup) == {} and rollup.commit("b1", changes) and totals(rollup) == count(encoding, rows)
 
 
+def test_of_two_writers_of_a_batch_one_commits(spark, make_docs, tmp_path, encoding):
+    rows = [(1, "a b c", "s", "en")]
+    one, other = (tc.TokenRollup(spark, f"file://{tmp_path}/rollup") for _ in range(2))
+    changes = tc.inserts(tc.count_tokens(make_docs(rows)))
+    for attempt in ("b1-x", "b1-y"):
+        tc.delta(changes).write.parquet(f"file://{tmp_path}/rollup/deltas/{attempt}")
+    # both have found the batch open, then both rename
+    assert [one._create("b1", "b1-x"), other._create("b1", "b1-y")] == [True, False]
+    assert totals(one) == totals(other) == count(encoding, rows) and list((tmp_path / "rollup/temp").glob("b1*")) == []
+
+
+def test_folding_keeps_totals_and_ids(spark, make_docs, tmp_path, encoding):
+    rollup = tc.TokenRollup(spark, f"file://{tmp_path}/rollup", fold=3)
+    rows = [(i, f"text {i}", f"s{i % 2}", "en") for i in range(7)]
+    for r in rows:
+        changes = tc.inserts(tc.count_tokens(make_docs([r])))
+        assert rollup.commit(f"b{r[0]}", changes) and not rollup.commit(f"b{r[0]}", changes)
+    last, batches = rollup._open()
+    assert last == 2 and batches == ["b6"] and totals(rollup) == count(encoding, rows)
+
+
+def test_long_white_space_has_the_same_tokens(encoding, monkeypatch):
+    rng = __import__("random").Random(3)
+    monkeypatch.setattr(tc, "LONG_RUN", 4)
+    monkeypatch.setattr(tc, "_LONG_SPACE", __import__("re").compile(tc._LONG_SPACE.pattern.replace("{10000,}", "{4,}")))
+    parts = [" " * 5, "\n" * 6, "\r\n\t \x0b", "\u3000\u2028", "\x1c\x1d", "a", "Zoë", "12", "don't", "--", " ", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 9)))
+        assert tc.token_count(encoding, text) == len(encoding.encode_ordinary(text)), text
+
+
+def test_millions_of_line_ends_and_extra_columns(spark, make_docs):
+    texts = ["\n" * 1_000_000, "x" + " " * 2_000_000 + "y", "word " * 300_000]
+    docs = make_docs([(i, t, "s", "en", 1, "c") for i, t in enumerate(texts)], ", n_tokens int, tokenizer string")
+    got = {r.doc_id: r.n_tokens for r in tc.count_tokens(docs).collect()}
+    assert got == {0: 500_000, 1: 2_000_001, 2: 300_001}
+
+
 def test_new_tokenizer_version_is_a_revision(spark, make_docs, tmp_path):
     rows = make_docs([(1, "naïve café", "s", "fr")])
     rollup = tc.TokenRollup(spark, f"file://{tmp_path}/rollup")
