@@ -1,15 +1,18 @@
 """Licence scan by a positional index of rare words.
 
-The words of the licence templates form a fixed vocabulary.  A first pass counts in how many files each of them stands
-(one small vector per task), which gives their IDF over the whole corpus.  The index then holds, for the rarest words
-of each template, their positions in it.  A second pass looks up the rare words of each file, intersects the postings
-by relative position (file position minus template position, with a little slack), and verifies the template's
-mandatory phrase at the place found.
+The words of the licence templates (whole licence texts, opening sentences, short notices) form a fixed vocabulary.  A first
+pass counts in how many files each of them stands (one small vector per task), which gives their IDF over the whole corpus.
+The index holds each vocabulary word's positions in every template.  A second pass looks up, for each file and template, the
+``RARE_WORDS`` words of highest IDF that the file holds, intersects their postings by relative position (file position minus
+template position, with a little slack), checks that the template's mandatory phrases stand there, and scores the passage by
+its local alignment with the template, so names that were filled in and small edits cost little.
 
 The base phrases are found on the same word sequence by plain comparison.
 
 Defined results: null text is empty and has no words, places or labels (score 0, first and last null); labels are empty
-strings where there are none; repeated rows are scanned each; an empty table gives no rows; further columns are ignored.
+strings where there are none; of words of equal IDF the smaller one comes first; where several templates score alike all their
+labels count; texts are scanned whole, and work and memory grow with their words; repeated rows are scanned each; an empty
+table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,38 +21,22 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm.common import folded_words, read_table
+from codequarry.llm.decontamination import MATCH, smith_waterman
+from codequarry.llm.license_texts import TEMPLATES
 
 # Phrases and the labels they give.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Public licence notices as (label, text, mandatory phrases).
-TEMPLATES = [
-    ("mit", "Released under the MIT License", ["mit license"]),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ["permission is hereby granted free of charge", "without restriction"]),
-    ("apache", "Licensed under the Apache License, Version 2.0", ["apache license version 2 0"]),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3", ["gnu general public license"]),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ["redistribute it and or modify it", "gnu general public license"]),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ["lesser general public license"]),
-    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ["affero general public license"]),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "with or without modification"]),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ["mozilla public license"]),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ["permission to use copy modify", "with or without fee"]),
-    ("unlicense", "This is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution"]),
-    ("cc-by", "Licensed under CC BY 4.0", ["licensed under cc by 4 0"]),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["licensed under cc by nc 4 0"]),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0", ["licensed under cc by sa 4 0"]),
-]
-
 RARE_WORDS = 12
 SLACK = 3
 MIN_AGREE = 3
-MIN_COVER = 0.6
+MIN_SCORE = 0.6
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -61,40 +48,58 @@ class Template:
         self.label = label
         self.words = folded_words(text.encode())
         self.phrases = [folded_words(p.encode()) for p in phrases]
-        self.at = [next(i for i in range(len(self.words)) if self.words[i : i + len(p)] == p) for p in self.phrases]
+        self.needs = frozenset(w for p in self.phrases for w in p)
+        self.number = {w: i + 1 for i, w in enumerate(dict.fromkeys(self.words))}
+        self.coded = np.array([self.number[w] for w in self.words], dtype=np.int64)
+        self.at: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(self.words):
+            self.at[w].append(i)
+
+
+def holds_phrase(words: list[bytes], phrase: list[bytes]) -> bool:
+    at = -1
+    for _ in range(words.count(phrase[0])):
+        at = words.index(phrase[0], at + 1)
+        if words[at : at + len(phrase)] == phrase:
+            return True
+    return False
 
 
 class RareWordIndex:
-    """Postings of each template's rarest words, given how many of ``n`` files hold each vocabulary word."""
+    """Positions of the vocabulary words in the templates, with each template's words by falling IDF."""
 
     def __init__(self, templates: list[Template], frequency: dict[bytes, int], n: int):
         self.templates = templates
-        idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) for t in templates for w in t.words}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.need: list[int] = []
-        for k, t in enumerate(templates):
-            rare = sorted(set(t.words), key=lambda w: (-idf[w], w))[:RARE_WORDS]
-            self.need.append(min(MIN_AGREE, len(rare)))
-            for i, w in enumerate(t.words):
-                if w in rare:
-                    self.postings[w].append((k, i))
-        self.postings = dict(self.postings)
+        self.vocabulary = frozenset(w for t in templates for w in t.words)
+        idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) for w in self.vocabulary}
+        self.rarest = [sorted(t.at, key=lambda w: (-idf[w], w)) for t in templates]
+
+    def chosen(self, held: frozenset[bytes] | set[bytes]) -> dict[bytes, list[int]]:
+        """word -> templates that it is looked up in: for each template the rarest of its words that a file holds."""
+        wanted: dict[bytes, list[int]] = defaultdict(list)
+        for k, t in enumerate(self.templates):
+            if t.needs <= held:
+                own = [w for w in self.rarest[k] if w in held][:RARE_WORDS]
+                if len(own) >= min(MIN_AGREE, len(t.at)):
+                    for w in own:
+                        wanted[w].append(k)
+        return wanted
 
     def scan(self, words: list[bytes]) -> list[tuple[str, int, float]]:
-        """(label, word position, share of the template's words found in place) of every verified template."""
-        get = self.postings.get
+        """(label, first word, score) of every verified passage."""
+        wanted = self.chosen(self.vocabulary.intersection(words))
+        if not wanted:
+            return []
         offsets: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
         for at, w in enumerate(words):
-            if hit := get(w):
-                for k, i in hit:
-                    offsets[k].append((at - i, w))
+            if w in wanted:
+                for k in wanted[w]:
+                    offsets[k] += [(at - i, w) for i in self.templates[k].at[w]]
         found = []
         for k, hits in offsets.items():
-            if len(hits) < self.need[k]:
-                continue
-            hits.sort()
-            lo, inside = 0, defaultdict(int)
-            last = None
+            t, hits = self.templates[k], sorted(hits)
+            need, n = min(MIN_AGREE, len(t.at)), len(t.words)
+            lo, inside, tried = 0, defaultdict(int), -2 * n
             for off, w in hits:
                 inside[w] += 1
                 while hits[lo][0] < off - SLACK:
@@ -102,20 +107,23 @@ class RareWordIndex:
                     if not inside[hits[lo][1]]:
                         del inside[hits[lo][1]]
                     lo += 1
-                if len(inside) >= self.need[k] and (last is None or off - last > SLACK):
-                    if (share := self.verify(words, self.templates[k], off)) >= MIN_COVER:
-                        found.append((self.templates[k].label, max(0, off), share))
-                        last = off
+                # one alignment covers the offsets around it
+                if len(inside) >= need and off - tried > n // 4:
+                    tried = off
+                    if (passage := self.verify(words, t, off)) is not None:
+                        found.append((t.label, *passage))
         return found
 
     @staticmethod
-    def verify(words: list[bytes], t: Template, off: int) -> float:
-        for phrase, at in zip(t.phrases, t.at, strict=True):
-            lo, n = max(0, off + at - 2 * SLACK), len(phrase)
-            if not any(words[p : p + n] == phrase for p in range(lo, off + at + 2 * SLACK + 1)):
-                return 0.0
-        near = (words[max(0, off + i - SLACK) : max(0, off + i + SLACK + 1)] for i in range(len(t.words)))
-        return sum(w in place for w, place in zip(t.words, near, strict=True)) / len(t.words)
+    def verify(words: list[bytes], t: Template, off: int) -> tuple[int, float] | None:
+        """First word and score of the passage around an offset, if it holds the phrases and scores enough."""
+        n = len(t.words)
+        lo = max(0, off - n // 2 - SLACK)
+        near = words[lo : max(0, off + n + n // 2 + SLACK)]
+        if not all(holds_phrase(near, p) for p in t.phrases):
+            return None
+        score, first, _ = smith_waterman(t.coded, np.array([t.number.get(w, 0) for w in near], dtype=np.int64))
+        return (lo + first, score / (MATCH * n)) if score >= MIN_SCORE * MATCH * n else None
 
 
 def templates() -> list[Template]:
