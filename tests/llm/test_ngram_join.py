@@ -69,8 +69,15 @@ def test_large_group_of_near_copies_in_tiles(spark, monkeypatch):
         words[i * 2] = f"x{i}"
         rows.append((i, " ".join(words)))
     monkeypatch.setattr(nj, "TILE", 16)
+    monkeypatch.setattr(nj, "WIDE_TILE", 13)
     monkeypatch.setattr(nj, "SMALL", 8)
-    assert result(spark, rows) == brute(rows)
+    want = brute(rows)
+    assert result(spark, rows) == want
+    # bytes make tiles too, and large buckets at the last level are compared in tiles
+    monkeypatch.setattr(nj, "TILE", 1000)
+    monkeypatch.setattr(nj, "TILE_BYTES", 20_000)
+    monkeypatch.setattr(nj, "MAX_DEPTH", 2)
+    assert result(spark, rows) == want
 
 
 def test_edge_cases(spark):
@@ -90,3 +97,49 @@ def test_stars():
     near = np.array([[True, True, False], [False, False, True]])
     least, member = nj.stars(near, np.array([5, 6]), np.array([7, 4, 9]))
     assert sorted(zip(least.tolist(), member.tolist(), strict=True)) == [(4, 5), (4, 7), (6, 9)]
+
+
+def planted(rng, base_words, edits, n):
+    base = [f"b{rng.randrange(10**6)}" for _ in range(base_words)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(edits):
+            words[rng.randrange(base_words)] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_recall_with_pivots_on_planted_groups(spark, monkeypatch):
+    """Groups of near copies around the threshold, larger than a bucket may be: measured recall of sets against the exact join."""
+    rng = random.Random(21)
+    texts = [t for edits, n in ((1, 150), (2, 150), (3, 100), (4, 80)) for t in planted(rng, 150, edits, n)]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(nj, "SMALL", 10)
+    monkeypatch.setattr(nj, "TILE", 64)
+    want, got = brute(rows), result(spark, rows)
+    found = len(want & got) / len(want)
+    linked = {w for w in want if w[1]}
+    assert len(linked) > 300 and found == 1.0, found
+
+
+def test_a_recall_out_of_reach_is_said(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(nj, "MAX_ROUNDS", 2)
+    monkeypatch.setattr(nj, "_round_recall", lambda one, other: 0.5)
+    with pytest.warns(UserWarning, match="estimated recall 0.75"):
+        result(spark, [(1, "a b c d e f"), (2, "a b c d e f")])
+
+
+def test_sets_that_agree_in_one_hash_are_told_apart(spark):
+    key = lambda i: (i, i)
+    rows = [(key(1), 1, 77, 5, b"a"), (key(2), 2, 77, 6, b"b"), (key(3), 3, 77, 5, b"a"), (key(4), None, 9, 9, b"c")]
+    df = spark.createDataFrame(rows, "row struct<id:long,hash:long>, doc_id long, set long, check long, sketch binary")
+    got = {(r.set, r.check, r.copies, r.least.doc_id) for r in nj.distinct_sets(df).collect()}
+    assert got == {(5, 5, 2, 1), (6, 6, 1, 2), (9, 9, 1, None)}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "a b c d e f g", 1, "r", 2.0) for i in range(3)], "doc_id long, text string, row int, rep string, sketch double")
+    assert {(r.doc_id, r.class_id, r.n_links) for r in nj.ngram_join(df).collect()} == {(i, 0, 2) for i in range(3)}
