@@ -4,14 +4,16 @@ Each text is cut into sentences.  A sentence above ``PIECE`` words counts as sev
 least hash in every ``PIECE`` consecutive words, so that no piece is longer and equal stretches are cut alike but for up to
 2 ``PIECE`` - 1 words at either end.  So any stretch of 50 words holds a run, wherever in its sentences it begins and ends.  From every sentence starts one
 run: the shortest run of at least ``RUN_SENTENCES`` sentences and ``RUN_WORDS`` words; one more ends with the text.  Runs are hashed over their
-words (white space and ASCII letter case don't matter) and joined over the whole corpus: the document of smallest id
-keeps a run, at its first place there; in all others, and at later places, the sentences that the run covers go.
+words (white space and ASCII letter case don't matter) and joined over the whole corpus: the document of smallest id (of
+different texts of one id the one of smallest hash) keeps a run, at its first place there; in all others, and at later
+places, the sentences that the run covers go.
 
 Counting: run hashes are summed before they move (count and smallest id), and the repeated ones are joined back on the
 hash, where Spark can split a run that a third of all rows hold.  Texts move once, to meet their own marks.
 
-Defined results: null text is empty and stays null; a null id is replaced by a hash of the text; repeated rows of one id are
-one document and keep or lose the same sentences; an empty table gives no rows; further columns are ignored.
+Defined results: null text is empty and stays null; a null id is replaced by a hash of the text; repeated rows of one id and
+text are one document and keep or lose the same sentences; different texts of one id are different documents; texts are cut and
+hashed whole, however long they are; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import power_table, materialize, mix64, read_table, row_key, word_hashes
+from codequarry.llm.common import join_checked, materialize, mix64, power_table, read_table, row_key, word_hashes
 
 RUN_SENTENCES = 2
 RUN_WORDS = 12
@@ -88,8 +90,9 @@ def runs(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the two halves of the document's key."""
     key = row_key(F.col("doc_id"), F.coalesce("text", F.lit("")))
-    return docs.withColumn("_key", key).withColumn("_ord", F.coalesce(F.col("doc_id").cast("long"), key))
+    return docs.select("doc_id", "text", key.alias("k")).select("doc_id", "text", F.col("k.id").alias("ord"), F.col("k.hash").alias("key"))
 
 
 def sentence_runs(docs: DataFrame) -> DataFrame:
@@ -107,16 +110,24 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
                 arrays = [pa.array(np.concatenate(p), t) for p, t in zip(parts, _ARROW.types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
-    keyed = _keyed(docs.select("doc_id", "text"))
-    return keyed.select("_key", "_ord", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(emit, RUNS)
+    return _keyed(docs).select("key", "ord", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(emit, RUNS)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """key and, for each document that loses sentences, the list of spans (first and last sentence)."""
+    """ord, key and, for each document that loses sentences, the list of spans (first and last sentence)."""
     rows = materialize(sentence_runs(docs), "sentence-runs")
     common = materialize(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("ord").alias("owner")).where("n > 1").drop("n"), "repeated-runs")
-    lost = rows.join(common, "hash").where(F.col("again") | (F.col("ord") != F.col("owner")))
-    return lost.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    held = rows.join(common, "hash")
+    later = F.col("again") | (F.col("ord") != F.col("owner"))
+    # ids that several texts share: there the run stays in the text of smallest hash
+    texts = _keyed(docs).groupBy("ord").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    shared = materialize(texts.where("a != b").select("ord"), "shared-ids")
+    if not shared.isEmpty():
+        own = join_checked(held.where("ord = owner"), shared, "ord", "left_semi")
+        least = materialize(own.groupBy("hash").agg(F.min("key").alias("least")), "shared-owners")
+        held = held.join(least, "hash", "left")
+        later = later | F.coalesce(F.col("key") != F.col("least"), F.lit(False))
+    return held.where(later).groupBy("ord", "key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 OUT = "doc_id long, n_sentences long, n_removed long, n_words long, n_words_left long, text string"
@@ -143,8 +154,8 @@ def remove_spans(raw: bytes, spans: list[dict[str, int]]) -> tuple[int, int, int
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """One row per document with its text without the repeated sentences."""
-    marks = materialize(repeated_spans(docs), "sentence-marks").withColumnRenamed("key", "_key")
-    rows = _keyed(docs.select("doc_id", "text")).join(marks, "_key", "left")
+    marks = materialize(repeated_spans(docs), "sentence-marks")
+    rows = _keyed(docs).join(marks, ["ord", "key"], "left")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,6 +9,8 @@ def sentence_list(text):
     raw = text.encode()
     starts, first, h = sd.sentences(raw)
     words = text.split()
+    if not words:
+        return []
     ends = [*first.tolist()[1:], len(h)]
     return [tuple(w.lower() for w in words[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
 
@@ -116,3 +118,50 @@ def test_edge_cases(make_docs):
     assert len(found) == 7 and got[0].text is None and got[1].text == "" and got[None].text == "a b. c d." and got[4].text == "short."
     assert got[3].n_removed == 30_000 - 1  # a later start covers sentences of the first run too
     assert sd.dedup_substrings(make_docs([])).collect() == []
+
+
+def test_different_texts_of_one_id_are_different_documents(make_docs):
+    rng = random.Random(13)
+    passage, tails = make_text(rng, 6), [make_text(rng, 3) for _ in range(4)]
+    rows = [(1, f"{passage} {tails[0]}"), (1, f"{passage} {tails[1]}"), (2, f"{passage} {tails[2]}"), (None, f"{passage} {tails[3]}"), (None, f"{passage} {tails[3]} x y z.")]
+    docs = make_docs([(i, t, "s", "en", 1, "c") for i, t in rows], ", ord int, key string")
+    found = sd.dedup_substrings(docs).collect()
+    middle = " ".join(passage.split()[20:28])
+    kept = [r.doc_id for r in found if middle in " ".join(r.text.split())]
+    # a null id stands for a hash, which may be the smallest
+    assert len(found) == 5 and len(kept) == 1 and kept[0] in (1, None)
+    pair = sd.dedup_substrings(make_docs([(i, t, "s", "en") for i, t in rows[:3]])).collect()
+    assert sorted(r.doc_id for r in pair if r.n_removed == 0) == [1] and [r.n_removed > 0 for r in pair if r.doc_id == 2] == [True]
+
+
+def plain_sentences(text):
+    """Byte-free splitter of its own: stops, then the cuts after the word of least hash in every window of a long sentence."""
+    import re
+
+    from codequarry.llm.common import word_hashes
+
+    out = []
+    for part in re.split(r"(?:(?<=[.!?])|(?<=[.!?][\"')\]]))[ \t\r\x0b\x0c]+|\n\s*", text):
+        words = part.split()
+        if not words:
+            continue
+        hashes = [int(word_hashes(w.lower().encode())[0]) for w in words]
+        cuts = set()
+        if len(words) > sd.PIECE:
+            for i in range(len(words) - sd.PIECE + 1):
+                window = hashes[i : i + sd.PIECE]
+                cuts.add(i + max(k for k in range(sd.PIECE) if window[k] == min(window)) + 1)
+        last = 0
+        for c in sorted(cuts | {len(words)}):
+            if c > last:
+                out.append(tuple(w.lower() for w in words[last:c]))
+                last = c
+    return out
+
+
+def test_splitter_equals_a_plain_one():
+    rng = random.Random(14)
+    for _ in range(300):
+        words = [f"w{rng.randrange(40)}" + rng.choice(["", "", "", ".", "!", "?", '."']) for _ in range(rng.randrange(60))]
+        text = "".join(w + rng.choice([" ", " ", " ", "  ", "\n"]) for w in words)
+        assert sentence_list(text) == plain_sentences(text), repr(text)
