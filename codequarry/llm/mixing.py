@@ -8,22 +8,28 @@ The *flight* moves these probabilities along vectors of the null space of two ba
 words of the source), so that both totals stay exactly as they were, until at most two fractions are left.  It runs in
 blocks: documents are dealt to (source, block) by hash, each block flies alone, and what it leaves (two documents)
 flies again with the rest of its group of blocks, level by level, so no task ever holds more than ``BLOCK_ROWS`` or
-``2 * FAN_IN`` documents in expectation.  The *landing* rounds the last two of a source so that its words come nearest to the target.
+``2 * FAN_IN`` units in expectation.  Repeated rows fly as units of 1, 2, 4, ... copies, each of which weighs as many
+documents and words as it has copies; so they keep both totals too, and a hot row is a few units.  The *landing* takes of
+the last two units of a source as many copies as bring its words nearest to the target.
 
 Defined results: null text has no words; null source is a source and comes last; a document without words is carried
-along (taken 0); repeated rows are documents of their own that share their draws; an empty table gives no rows;
-further columns are ignored.  Draws depend on the rows alone, so reruns agree.
+along (taken 0); repeated rows are documents of their own, any of which may be the ones that are taken once more; the size
+counts whole texts, however long they are; draws depend on the rows alone, so reruns agree, and of landings that are
+equally near the one nearest in documents, then the one of fewer copies of the smaller key, is taken; an empty table gives
+no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import KEY, materialize, read_table, row_key
+from codequarry.llm.common import KEY, NUMBER, join_checked, materialize, numbered, read_table, row_key
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -55,9 +61,9 @@ def source_targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float =
     return target
 
 
-def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Fast flight phase: keeps sum(p) and sum(p * size), leaves at most two entries strictly between 0 and 1."""
-    p = p.astype(float).copy()
+def flight(p: np.ndarray, copies: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Fast flight phase: keeps sum(p * copies) and sum(p * copies * size), leaves at most two entries strictly between 0 and 1."""
+    p, copies, words = p.astype(float).copy(), copies.astype(float), copies * size.astype(float)
     todo = [i for i in range(len(p)) if _EPS < p[i] < 1 - _EPS]
     draws = rng.random(len(todo) + 1)
     live: list[int] = []
@@ -67,10 +73,14 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
         if len(live) < 3:
             continue
         a, b, c = live
-        # null space of [[1, 1, 1], [sa, sb, sc]]
-        u = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
-        if u == (0, 0, 0):
-            u = (1.0, -1.0, 0.0)
+        # null space of [copies, words]: their cross product; of equal sizes a plain exchange
+        u = (
+            copies[b] * words[c] - copies[c] * words[b],
+            copies[c] * words[a] - copies[a] * words[c],
+            copies[a] * words[b] - copies[b] * words[a],
+        )
+        if not any(u):
+            u = (1.0 / copies[a], -1.0 / copies[b], 0.0)
         up = min((1 - p[k]) / x if x > 0 else p[k] / -x for k, x in zip(live, u, strict=True) if x)
         down = min(p[k] / x if x > 0 else (1 - p[k]) / -x for k, x in zip(live, u, strict=True) if x)
         step = up if draws[at] * (up + down) < down else -down
@@ -83,41 +93,65 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return p
 
 
-def landing(p: np.ndarray, size: np.ndarray, goal: float) -> np.ndarray:
-    """Round the few fractions left so that the words taken among them come nearest to ``goal``, then the documents."""
-    best = None
-    for bits in range(1 << len(p)):
-        pick = np.array([bits >> i & 1 for i in range(len(p))], dtype=float)
-        score = (abs(float(pick @ size) - goal), abs(pick.sum() - p.sum()), bits)
-        if best is None or score < best[0]:
-            best = (score, pick)
-    return best[1]
+def landing(p: np.ndarray, copies: np.ndarray, size: np.ndarray, goal: float) -> np.ndarray:
+    """Copies to take of the one or two units left, so that their words come nearest to ``goal``, then their number."""
+    near = [sorted({0, math.floor(x * n), math.ceil(x * n), int(n)}) for x, n in zip(p.tolist(), copies.tolist(), strict=True)]
+    tries = list(itertools.product(*near))
+    for i in range(len(p)):  # one unit makes up for what the rounding of the other leaves
+        for t in itertools.product(*near):
+            rest = (goal - sum(m * s for j, (m, s) in enumerate(zip(t, size.tolist(), strict=True)) if j != i)) / size[i]
+            tries += [(*t[:i], min(int(copies[i]), max(0, m)), *t[i + 1 :]) for m in (math.floor(rest), math.ceil(rest))]
+    number = float(p @ copies)
+    return np.array(min(tries, key=lambda t: (abs(float(np.dot(t, size)) - goal), abs(sum(t) - number), t)), dtype=np.int64)
 
 
-_FLY = "key long, source string, size long, p double, block long"
-_FLY_ARROW = pa.schema([("key", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("p", pa.float64()), ("block", pa.int64())])
+#: ``extra``: copies taken once more, null while the unit still flies.
+_FLY = "id long, hash long, source string, size long, copies long, p double, extra long, block long"
+_FLY_ARROW = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]]) for c in _FLY.split(", ")])
 
 
 def _fly(rows: DataFrame, last: bool) -> DataFrame:
     """Flight over each (source, block); with ``last`` also the landing."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("size", "ascending")])
-        key, size = table["key"].to_numpy(), table["size"].to_numpy().astype(float)
-        p = table["p"].to_numpy()
-        goal = float(p @ size)
-        seed = [int(table["block"][0].as_py()) & 0xFFFFFFFF, int(np.bitwise_xor.reduce(key)) & 0xFFFFFFFFFFFFFFFF]
-        out = flight(p, size, np.random.default_rng(seed))
-        if last:
-            rest = np.flatnonzero((out > 0) & (out < 1))
-            if len(rest):
-                sure = np.delete(np.arange(len(out)), rest)
-                out[rest] = landing(out[rest], size[rest], goal - float(out[sure] @ size[sure]))
-        return pa.table({"key": key, "source": table["source"], "size": table["size"], "p": out, "block": table["block"]}, schema=_FLY_ARROW)
+        table = table.sort_by([(c, "ascending") for c in ("hash", "id", "copies")])
+        size, copies, p = (table[c].to_numpy() for c in ("size", "copies", "p"))
+        goal = float(p @ (size * copies.astype(float)))
+        seed = [int(table["block"][0].as_py()) & 0xFFFFFFFF, int(np.bitwise_xor.reduce(table["hash"].to_numpy())) & 0xFFFFFFFFFFFFFFFF]
+        out = flight(p, copies, size, np.random.default_rng(seed))
+        open_ = (out > 0) & (out < 1)
+        extra = np.where(open_, 0, out * copies).round().astype(np.int64)
+        if last and open_.any():
+            rest = np.flatnonzero(open_)
+            extra[rest] = landing(out[rest], copies[rest], size[rest], goal - float(extra @ size.astype(float)))
+            open_[:] = False
+        columns = {"p": pa.array(out), "extra": pa.array(extra, mask=open_)}
+        return pa.table({c: columns[c] if c in columns else table[c] for c in _FLY_ARROW.names}, schema=_FLY_ARROW)
 
     return rows.groupBy("source", "block").applyInArrow(run, _FLY)
 
 
+def _drawn(known: DataFrame, blocks: int) -> DataFrame:
+    """key, n, extra: rows of each key that flew, and how many of them are taken once more."""
+    fly = known.where((F.col("p") > _EPS) & (F.col("size") > 0)).groupBy("key", "source", "size", "p").agg(F.count("*").alias("n"))
+    powers = F.filter(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)), lambda x: F.col("n").bitwiseAND(x) > 0)
+    fly = fly.withColumn("copies", F.explode(F.when(F.col("n") == 1, F.array(F.col("n"))).otherwise(powers)))
+    block = F.pmod(F.xxhash64("key", "copies", F.lit(5)), F.lit(blocks))
+    fly = fly.select(F.col("key.id").alias("id"), F.col("key.hash").alias("hash"), "source", "size", "copies", "p", block.alias("block"))
+    done: list[DataFrame] = []
+    while True:
+        fly = materialize(_fly(fly, last=blocks == 1), "mix-flight")
+        done.append(fly.where("extra IS NOT NULL").select(F.struct("id", "hash").alias("key"), "copies", "extra"))
+        if blocks == 1:
+            break
+        blocks = -(-blocks // FAN_IN)
+        fly = fly.where("extra IS NULL").drop("extra").withColumn("block", F.pmod("block", F.lit(blocks)))
+    drawn = done[0]
+    for d in done[1:]:
+        drawn = drawn.unionByName(d)
+    return drawn.groupBy("key").agg(F.sum("copies").alias("n"), F.sum("extra").alias("extra"))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """key, doc_id, size, source, source_size, target, copies, taken for every document."""
     text = F.coalesce("text", F.lit(""))
@@ -140,32 +174,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     known = known.withColumn("floor", F.floor("ratio")).withColumn("p", F.col("ratio") - F.col("floor"))
 
     most_rows = max([r["n"] for r in totals], default=0)
-    blocks = max(1, -(-most_rows // BLOCK_ROWS))
-    fly = known.where((F.col("p") > _EPS) & (F.col("size") > 0)).groupBy("key", "source", "size", "p").agg(F.count("*").alias("n"))
-    # equal rows share one draw: they fly as one unit of their joint size
-    fly = fly.select("key", "source", (F.col("size") * F.col("n")).alias("size"), "p", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(blocks)).alias("block"))
-    done: list[DataFrame] = []
-    while True:
-        fly = materialize(_fly(fly, last=blocks == 1), "mix-flight")
-        done.append(fly.where("p = 0 OR p = 1").select("key", "source", "p"))
-        if blocks == 1:
-            break
-        blocks = -(-blocks // FAN_IN)
-        fly = fly.where("p > 0 AND p < 1").withColumn("block", F.pmod("block", F.lit(blocks)))
-    drawn = done[0]
-    for d in done[1:]:
-        drawn = drawn.unionByName(d)
-    drawn = drawn.select("key", F.col("p").cast("long").alias("extra"))
-    out = known.join(drawn, "key", "left").withColumn("copies", F.col("floor") + F.coalesce("extra", F.lit(0)))
+    drawn = _drawn(known, max(1, -(-most_rows // BLOCK_ROWS)))
+    split = F.col("extra").between(1, F.col("n") - 1)
+    some = materialize(drawn.where(split).select("key", "extra"), "mix-some")
+    whole = known.join(drawn.where(~split), "key", "left").withColumn("more", F.coalesce((F.col("extra") > 0).cast("long"), F.lit(0).cast("long"))).drop("n", "extra")
+    if not some.isEmpty():
+        # of these repeated rows only some are taken once more
+        each = numbered(join_checked(known, some, "key", "inner"), ["key"], "mix-repeats")
+        each = each.withColumn("more", (F.col(NUMBER) < F.col("extra")).cast("long")).drop(NUMBER, "extra")
+        whole = join_checked(whole, some.select("key"), "key", "left_anti").unionByName(each)
+    out = whole.withColumn("copies", F.col("floor") + F.col("more"))
     return out.select("key", "doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix with repeats, in the columns of ``docs``."""
-    taken = mix(docs).where("copies > 0").select(F.col("key").alias(KEY), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__quarry_copies")).dropDuplicates([KEY])
+    names = ("__quarry_least", "__quarry_most", "__quarry_n")
+    least, most, n = (F.col(c) for c in names)
+    taken = mix(docs).groupBy(F.col("key").alias(KEY)).agg(F.min("copies").alias(names[0]), F.max("copies").alias(names[1]), F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+    taken = materialize(taken.where(most > 0).select(KEY, least, most, (F.col("_sum") - least * F.col("_rows")).alias(names[2])), "mix-taken")
     keyed = docs.withColumn(KEY, row_key(F.col("doc_id"), F.col("source"), F.coalesce("text", F.lit(""))))
-    repeated = keyed.join(taken, KEY).select(*docs.columns, F.explode("__quarry_copies").alias("__quarry_copy"))
-    return repeated.select(*docs.columns)
+    out = keyed.join(taken.where(least == most), KEY).withColumn("__quarry_copies", most)
+    some = taken.where(least < most)
+    if not some.isEmpty():
+        each = numbered(join_checked(keyed, some, KEY, "inner"), [KEY], "mix-repeats")
+        out = out.unionByName(each.withColumn("__quarry_copies", F.when(F.col(NUMBER) < n, most).otherwise(least)).drop(NUMBER))
+    out = out.where("__quarry_copies > 0").withColumn("__quarry_copy", F.explode(F.sequence(F.lit(1), F.col("__quarry_copies").cast("int"))))
+    return out.select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

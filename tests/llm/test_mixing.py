@@ -33,14 +33,15 @@ def test_targets():
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(0)
     p, size = rng.random(500), rng.integers(1, 1000, 500).astype(float)
-    out = mx.flight(p, size, np.random.default_rng(1))
-    assert ((out > 0) & (out < 1)).sum() <= 2
-    assert out.sum() == pytest.approx(p.sum()) and out @ size == pytest.approx(p @ size)
+    for copies in (np.ones(500), 2.0 ** rng.integers(0, 12, 500)):
+        out = mx.flight(p, copies, size, np.random.default_rng(1))
+        assert ((out > 0) & (out < 1)).sum() <= 2
+        assert out @ copies == pytest.approx(p @ copies) and out @ (copies * size) == pytest.approx(p @ (copies * size))
 
 
 def test_flight_is_unbiased():
     p, size = np.array([0.2, 0.5, 0.7, 0.6]), np.array([3.0, 1.0, 4.0, 2.0])
-    mean = np.mean([mx.flight(p, size, np.random.default_rng(k)) for k in range(6000)], axis=0)
+    mean = np.mean([mx.flight(p, np.ones(4), size, np.random.default_rng(k)) for k in range(6000)], axis=0)
     assert mean == pytest.approx(p, abs=0.02)
 
 
@@ -69,6 +70,45 @@ def test_mix_meets_targets(make_docs, monkeypatch, block):
     assert sorted((r.doc_id, r.taken) for r in mixed(make_docs(rows).repartition(7))) == sorted((r.doc_id, r.taken) for r in got)
 
 
+def test_repeated_rows_keep_words_and_documents(make_docs):
+    """Repeated rows are documents of their own: totals of words and documents hold to within one document."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        rows += [(i, " ".join(["w"] * rng.choice([5, 30, 200])), rng.choice("ab"), "en")] * rng.choice([1, 1, 7, 120, 333])
+    got = mixed(make_docs(rows))
+    assert len(got) == len(rows)
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        want = sum(r.size for r in own) and own[0].target
+        assert abs(sum(r.taken for r in own) - want) <= 100
+        # the landing puts words first: a document of 200 words weighs as much as 40 of 5
+        assert abs(sum(r.copies for r in own) - len(own) * want / own[0].source_size) <= 40
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in own)
+    again = mixed(make_docs(rows).repartition(5))
+    assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
+    out = defaultdict(int)
+    for r in mx.mixed_documents(make_docs([(*r, 0, 1) for r in rows], ", copies int, size int")).collect():
+        out[r.doc_id] += 1
+    want = defaultdict(int)
+    for r in got:
+        want[r.doc_id] += r.copies
+    assert out == {k: v for k, v in want.items() if v}
+
+
+def test_landing_takes_what_comes_nearest():
+    rng = random.Random(1)
+    for _ in range(200):
+        n = [rng.choice([1, 1, 2, 8]) for _ in range(2)]
+        size = np.array([rng.randrange(1, 50) for _ in range(2)], dtype=float)
+        p = np.array([rng.random() for _ in range(2)])
+        goal = float(p @ (size * n))
+        got = mx.landing(p, np.array(n), size, goal)
+        assert all(0 <= m <= k for m, k in zip(got, n, strict=True))
+        # never worse than rounding each unit as a whole
+        assert abs(got @ size - goal) <= min(abs(a * n[0] * size[0] + b * n[1] * size[1] - goal) for a in (0, 1) for b in (0, 1)) + 1e-9
+
+
 def test_mixed_documents_repeat(make_docs):
     rows = corpus(7, 300)
     taken = {r.doc_id: r.copies for r in mixed(make_docs(rows))}
