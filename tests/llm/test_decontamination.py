@@ -95,6 +95,43 @@ def test_edge_cases(spark, make_docs):
     benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (4, "one"), (5, "a b c d e f g h"), (6, "a b c d e f g h")], "item_id long, text string")
     rows = [(0, None, None, None), (1, "", "s", "en"), (None, "x A, b c d e f g h", "s", "en"), (3, "has two words", "s", "en"), (4, "word " * 100_000 + "a b c d e f g h", "s", "en"), (4, "", "s", "en")]
     got = {(r.doc_id, r.item_id, r.score) for r in dc.match_benchmark(make_docs(rows), benchmark).collect()}
-    assert got == {(None, 5, 1.0), (None, 6, 1.0), (3, 3, 1.0), (4, 5, 1.0), (4, 6, 1.0)}
+    assert got == {(None, 5, 1.0), (None, 6, 1.0), (4, 5, 1.0), (4, 6, 1.0)}
     none = benchmark.limit(0)
     assert dc.match_benchmark(make_docs(rows), none).collect() == [] and dc.match_benchmark(make_docs([]), benchmark).collect() == []
+
+
+def test_short_items_match_whole_texts_only(spark, make_docs):
+    benchmark = spark.createDataFrame([(1, "yes"), (2, "two Words"), (3, "a b c d"), (4, "!?"), (5, "k l m n o")], "item_id long, text string")
+    texts = ["yes", "Yes!", "yes it is", "two words", "x two words", "a b c d", "a b c d x y z", "say k l m n o now", ""]
+    got = {(r.doc_id, r.item_id, r.score) for r in dc.match_benchmark(make_docs([(i, t, "s", "en") for i, t in enumerate(texts)]), benchmark).collect()}
+    assert got == {(0, 1, 1.0), (1, 1, 1.0), (3, 2, 1.0), (5, 3, 1.0), (7, 5, 1.0)}
+
+
+def test_blocks_of_items_give_the_same_rows(spark, make_docs, monkeypatch):
+    rows, benchmark, want = setup(make_docs, spark, 4)
+    docs = make_docs(rows)
+    whole = sorted(map(tuple, dc.match_benchmark(docs, benchmark).drop("key").collect()))
+    monkeypatch.setattr(dc, "BLOCK_ITEMS", 6)
+    assert sorted(map(tuple, dc.match_benchmark(docs, benchmark.unionByName(benchmark)).drop("key").collect())) == whole
+    monkeypatch.setattr(dc, "BLOCK_ITEMS", 10**6)
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 2000)
+    assert sorted(map(tuple, dc.match_benchmark(docs, benchmark).drop("key").collect())) == whole
+    assert {(r[0], r[1]) for r in whole} == want
+
+
+def test_search_equals_aligning_every_item_with_every_text(spark, make_docs):
+    """Without seeds: each item aligned with the whole of each text."""
+    rows, benchmark, _ = setup(make_docs, spark, 9)
+    rows = rows[::4]
+    items = [(r.item_id, r.text.lower().split()) for r in benchmark.collect()]
+    number: dict[str, int] = {}
+    code = lambda ws: np.array([number.setdefault(w, len(number) + 1) for w in ws])
+    want = set()
+    for doc_id, text, *_ in rows:
+        words = text.lower().replace(".", " ").split()
+        for item_id, item in items:
+            score = dc.smith_waterman(code(item), code(words))[0] / (dc.MATCH * len(item))
+            if score >= dc.THRESHOLD:
+                want.add((doc_id, item_id, round(score, 9)))
+    got = {(r.doc_id, r.item_id, round(r.score, 9)) for r in dc.match_benchmark(make_docs([(*r, "c", 1) for r in rows], ", item_id string, score int"), benchmark).collect()}
+    assert got == want and len(want) >= 8
