@@ -14,9 +14,13 @@ Counting: (value, text, owner, repository) is made distinct first, so a value th
 before it moves; a band never emits its pairs, only a star of its least text and the others; the verdicts are joined back
 on the hash, where Spark can split a frequent one.
 
+Patterns have no upper length: private keys and credentials in addresses are found by scans that meet each character once or
+twice, whatever the length of text or value.
+
 Defined results: null text is empty; without spans the digests are of the empty string and the counts 0; null owner and
-repository count as one value each; repeated rows give equal results and count once in the frequencies; an empty table
-gives no rows; further columns are ignored.
+repository count as one value each; spans that begin at one place are ordered by kind as listed; of copies with equal ids the
+one of smaller owner and repository speaks for all; repeated rows give equal results and count once in the frequencies; an
+empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import join_checked, materialize, mix64, read_table, row_key, windows, word_hashes
-from codequarry.llm.ngram_join import WORDS, components, set_hash, sketch
+from codequarry.llm.common import KEY_TYPE, join_checked, materialize, mix64, read_table, row_key, windows, word_hashes
+from codequarry.llm.ngram_join import WORDS, components, set_hashes, sketch
 
 # Base patterns with their least length, then the further kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -41,13 +45,16 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 FURTHER = {
     "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
     "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "google": re.compile(r"AIza[A-Za-z0-9_-]{35}"),
     "bearer": re.compile(r"Bearer\x20+([A-Za-z0-9+/_.=-]{20,})"),
-    "pem": re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}-----END [A-Z ]{0,20}PRIVATE KEY-----"),
-    "url": re.compile(r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9_.-]{1,64}:([^\s:@/]{6,128})@"),
 }
-KINDS = ["assign", "access", "hex", *FURTHER]
+KINDS = ["assign", "access", "hex", *FURTHER, "pem", "url"]
+#: A private key goes from a head to the next foot of the same label with no other head between; header lines may stand in it.
+_PEM_HEAD = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----")
+#: What follows the scheme of an address with user and password, and what a scheme is made of.
+_URL_REST = re.compile(r"://[A-Za-z0-9_.-]+:([^\s:@/]{6,})@")
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+")
 _HINT = re.compile(r"(?:pass|secret|token|api)", re.A | re.I)
 
 #: Owners, and repositories, from which on a value is a widely copied example.
@@ -59,7 +66,33 @@ COPY_WORDS = 8
 COORDINATES, BAND, ALIKE = 32, 2, 10
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
-SCHEMA = "key long, doc_id long, owner string, repo string, spans array<struct<kind:string,start:long,end:long,value:string>>, set long, sketch binary"
+SCHEMA = f"key {KEY_TYPE}, doc_id long, owner string, repo string, spans array<struct<kind:string,start:long,end:long,value:string>>, set long, sketch binary"
+
+
+def private_keys(text: str) -> list[tuple[int, int]]:
+    heads = list(_PEM_HEAD.finditer(text))
+    found = []
+    for i, m in enumerate(heads):
+        foot = f"-----END {m[1]}PRIVATE KEY-----"
+        stop = heads[i + 1].start() if i + 1 < len(heads) else len(text)
+        if (at := text.find(foot, m.end(), stop)) >= 0:
+            found.append((m.start(), at + len(foot)))
+    return found
+
+
+def url_passwords(text: str) -> list[tuple[int, int, str]]:
+    """Start at the first letter of the scheme (two characters at least), end behind the ``@``."""
+    found, last = [], 0
+    for m in _URL_REST.finditer(text):
+        at = m.start()
+        while at > last and text[at - 1] in _SCHEME:
+            at -= 1
+        while at < m.start() and not text[at].isalpha():
+            at += 1
+        if m.start() - at >= 2:
+            found.append((at, m.end(), m[1]))
+        last = m.end()
+    return found
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -73,11 +106,15 @@ def find_spans(text: str) -> list[tuple[str, int, int, str]]:
     for kind, pattern in FURTHER.items():
         if _LITERAL[kind] in text:
             found += [(kind, *m.span(), m[1] if pattern.groups else m[0]) for m in pattern.finditer(text)]
+    if "-----BEGIN" in text:
+        found += [("pem", start, end, text[start:end]) for start, end in private_keys(text)]
+    if "://" in text:
+        found += [("url", *u) for u in url_passwords(text)]
     found.sort(key=lambda f: (f[1], KINDS.index(f[0])))
     return [(k, s, e, hashlib.sha256(v.encode()).hexdigest()) for k, s, e, v in found]
 
 
-_LITERAL = {"github": "gh", "slack": "xox", "jwt": "eyJ", "google": "AIza", "bearer": "Bearer", "pem": "-----BEGIN", "url": "://"}
+_LITERAL = {"github": "gh", "slack": "xox", "jwt": "eyJ", "google": "AIza", "bearer": "Bearer"}
 
 
 def text_print(text: str) -> tuple[int | None, bytes | None]:
@@ -86,7 +123,7 @@ def text_print(text: str) -> tuple[int | None, bytes | None]:
     if len(h) < COPY_WORDS:
         return None, None
     s = np.unique(windows(h, WORDS))
-    return set_hash(s), sketch(s)[:COORDINATES].tobytes()
+    return set_hashes(s)[0], sketch(s)[:COORDINATES].tobytes()
 
 
 def candidates(docs: DataFrame, owner: str, repo: str) -> DataFrame:

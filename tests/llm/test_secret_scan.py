@@ -69,3 +69,66 @@ def test_query_digest_and_edge_cases(spark, make_docs, tmp_path):
     assert got[None].n_hex == 20_000 and got[None].n_live == 1
     make_docs([]).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert ss.op7_secret_scan(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_no_pattern_has_an_upper_length():
+    body = "A" * 300_000
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n"
+    for label in ("", "RSA ", "EC2 LONG LABEL OF MANY WORDS "):
+        key = f"-----BEGIN {label}PRIVATE KEY-----\n{headers}{body}\n-----END {label}PRIVATE KEY-----"
+        assert [(k, s, e) for k, s, e, _ in ss.find_spans(f"é {key} x") if k == "pem"] == [("pem", 2, 2 + len(key))]
+    user, word = "u" * 500, "p:"[0] * 5000
+    text = f"see {'x' * 40}+ssh://{user}:{word}@host and 9http://a:secret77@h, ://b:secret77@h, x://b:secret77@h http://c:short@h"
+    got = [text[s:e] for k, s, e, _ in ss.find_spans(text) if k == "url"]
+    assert got == [f"{'x' * 40}+ssh://{user}:{word}@", "http://a:secret77@"]
+    # a head without a foot, and a foot of another label
+    assert ss.private_keys("-----BEGIN PRIVATE KEY----- a -----BEGIN RSA PRIVATE KEY----- b -----END PRIVATE KEY-----") == []
+
+
+def test_long_hostile_texts_take_linear_time():
+    import time
+
+    for part in ("-----BEGIN RSA PRIVATE KEY-----", "x://a:", "eyJ", "token: ", "a" * 7 + "://", "eyJaaaaaaaaa."):
+        start = time.time()
+        ss.find_spans(part * (1_000_000 // len(part)))
+        assert time.time() - start < 5, part
+
+
+def test_further_spans_equal_plain_search_and_columns_may_clash(make_docs):
+    """Every kind by a pattern of its own over texts made of fragments, through the operator, with columns named like its own."""
+    rng = random.Random(7)
+    pem = "-----BEGIN EC PRIVATE KEY-----\nabc=\n-----END EC PRIVATE KEY-----"
+    parts = ["ghp_" + "a" * 36, "xoxb-1234567890ab", "AIza" + "b" * 35, "Bearer " + "c" * 20, pem, "ftp://u:passw0rd@h", "eyJ" + "d" * 8 + ".eyJ" + "e" * 8 + "." + "f" * 8, "word", "é"]
+    plain = {
+        "github": r"gh[pousr]_[A-Za-z0-9]{36,}", "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}", "google": r"AIza[A-Za-z0-9_-]{35}", "bearer": r"Bearer +[A-Za-z0-9+/_.=-]{20,}",
+        "pem": r"-----BEGIN EC PRIVATE KEY-----\nabc=\n-----END EC PRIVATE KEY-----", "url": r"ftp://u:passw0rd@", "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    }
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(8))) for _ in range(60)]
+    docs = make_docs([(i, t, f"s{i % 3}", "en", 1, "x") for i, t in enumerate(texts)], ", key int, spans string")
+    for r in ss.scan_secrets(docs).collect():
+        got = sorted((s.kind, s.start, s.end) for s in r.spans if s.kind in plain)
+        assert got == sorted((k, m.start(), m.end()) for k, p in plain.items() for m in re.finditer(p, texts[r.doc_id]))
+
+
+def brute_verdicts(rows):
+    """(doc_id, live, example) by plain counting of texts that are no copies (none here are near copies)."""
+    values, first = {}, {}
+    for i, text, owner, repo in rows:
+        for v in {v for *_, v in ss.find_spans(text)}:
+            values.setdefault(v, {}).setdefault(text if len(text.split()) >= ss.COPY_WORDS else (owner, repo), []).append((i, owner, repo))
+    for v, texts in values.items():
+        holders = [min(h) for h in texts.values()]
+        first[v] = len({o for _, o, _ in holders}) >= ss.EXAMPLE_OWNERS and len({(o, r) for _, o, r in holders}) >= ss.EXAMPLE_REPOS
+    return {(i, sum(not first[v] for v in vs), sum(first[v] for v in vs)) for i, text, *_ in rows if (vs := {v for *_, v in ss.find_spans(text)}) or True}
+
+
+def test_verdicts_equal_brute_force(make_docs):
+    rng = random.Random(5)
+    keys = ["AKIA" + c * 16 for c in "ABCDEFGHJK"]
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([2, 40]))]
+        rows.append((i, " ".join([*words, *rng.sample(keys[: rng.choice([3, 10])], rng.randrange(3))]), f"s{rng.randrange(3)}", rng.choice(["en", "de"])))
+    rows += [(200 + i, rows[i][1], "s9", "fr") for i in range(30)]
+    got = {(r.doc_id, r.n_live, r.n_example) for r in ss.scan_secrets(make_docs(rows)).collect()}
+    assert got == brute_verdicts(rows)
