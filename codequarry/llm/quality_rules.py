@@ -4,14 +4,18 @@ Per-document statistics come first (words, symbols, repeated lines, repeated 8-w
 normalised (outer white space and letter case) and hashed, and its distinct documents are counted per host.  A line
 above its host's limit is boilerplate: it is removed, and a document that has too little left is rejected.
 
-Line hashes are over the line's words, so runs of white space count as one.  The limit follows the host: ``LINE_SHARE`` of its documents, and ``LINE_LEAST`` at least.  Documents of equal text count
-once, so copies alone make no line frequent.
+Line hashes are over the line's words, so runs of white space count as one.  The limit of a host is ``LINE_SHARE`` of its
+documents, ``LINE_LEAST`` at least and ``LINE_MOST`` at most, so that on a large host a line can't stand in a share of all
+documents.  Documents of equal text count once, so copies alone make no line frequent.
 
 Counting: (host, line, text) is made distinct before it is summed by line, so that a frequent line arrives as partial
-counts; the frequent lines are joined back on (host, line), where Spark can split a frequent one.
+counts; the frequent lines are joined back on (host, line), where Spark can split a frequent one.  Lines are taken out where
+the texts are, by a table of frequent lines that each task holds, if it has at most ``TABLE_ROWS`` rows; beyond that
+each document that loses lines is joined with its own list of them.
 
 Defined results: null text has no words and fails; a null host is a host of its own; repeated rows give equal results
-and count once; an empty table gives no rows; further columns are left alone.
+and count once; a line exactly at the limit stays; texts are taken whole, however long they are or their lines; an empty table
+gives no rows; further columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import KEY, materialize, mix64, read_table, row_key, windows, word_hashes
+from codequarry.llm.common import KEY, KEY_ARROW, KEY_TYPE, join_checked, materialize, mix64, read_table, row_key, windows, word_hashes
 
 WINDOW = 8
 LEAST_WORDS = 20
 REPEAT_SHARE = 0.3
 LINE_SHARE = 0.1
 LINE_LEAST = 20
+LINE_MOST = 1000
+#: Frequent lines (host and 64-bit hash) up to which every task holds them all: some 10 MB.
+TABLE_ROWS = 100_000
 LEFT_WORDS = 10
 LEFT_SHARE = 0.2
 SYMBOLS = b"#*$%&|<>"
@@ -42,9 +49,9 @@ _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 _LOST = "__quarry_lost_lines"
 
-STATS = "key long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<hash:long,words:long>>"
+STATS = f"key {KEY_TYPE}, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<hash:long,words:long>>"
 _ARROW = pa.schema(
-    [("key", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string())]
+    [("key", KEY_ARROW), ("doc_id", pa.int64()), ("host", pa.string())]
     + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     + [("lines", pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int64())])))]
 )
@@ -68,9 +75,12 @@ def line_sums(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(mix64(h ^ (place.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))), first).astype(np.int64)
 
 
-def line_hash(line: bytes) -> int:
-    """Signed 64-bit hash of a line with a word."""
-    return int(line_sums(word_hashes(line.translate(_FOLD)), np.zeros(1, dtype=np.int64))[0])
+def hashed_lines(raw: bytes, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines with a word: number of the line, signed 64-bit hash and words; ``h``, ``starts``: of the text's words."""
+    ends = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
+    of = np.searchsorted(ends, starts)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    return of[first], line_sums(word_hashes(raw.translate(_FOLD)), first), np.diff(np.append(first, len(h)))
 
 
 def text_stats(raw: bytes) -> tuple[int, int, int, int, int, list[dict[str, int]]]:
@@ -78,18 +88,25 @@ def text_stats(raw: bytes) -> tuple[int, int, int, int, int, list[dict[str, int]
     h, starts, _ = word_hashes(raw, spans=True)
     if not len(h):
         return 0, 0, len(raw.translate(None, _NOT_SYMBOL)), 0, 0, []
-    ends = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
-    of = np.searchsorted(ends, starts)
-    first = np.flatnonzero(np.diff(of, prepend=-1))
+    at, sums, sizes = hashed_lines(raw, h, starts)
     lines = raw.split(b"\n")
-    held = [lines[i] for i in of[first].tolist()]
-    sums = line_sums(word_hashes(raw.translate(_FOLD)), first).tolist()
-    sizes = np.diff(np.append(first, len(h))).tolist()
+    held = [lines[i] for i in at.tolist()]
     chars = len(raw.translate(None, _BLANKS + _CONTINUATION))
-    parts = [{"hash": x, "words": n} for x, n in zip(sums, sizes, strict=True)]
+    parts = [{"hash": x, "words": n} for x, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
     return len(h), chars, len(raw.translate(None, _NOT_SYMBOL)), len(held) - len(set(held)), repeated_words(h), parts
 
 
+def without_lines(text: str, gone: np.ndarray) -> str:
+    """The text without the lines whose hash is in ``gone``."""
+    raw = text.encode()
+    h, starts, _ = word_hashes(raw, spans=True)
+    if not len(h) or not len(gone):
+        return text
+    at, sums, _ = hashed_lines(raw, h, starts)
+    drop = set(at[np.isin(sums, gone)].tolist())
+    return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop) if drop else text
+
+
 def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,20 +122,20 @@ def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
     ).mapInArrow(run, STATS)
 
 
-def frequent_lines(stats: DataFrame, share: float = LINE_SHARE, least: int = LINE_LEAST) -> DataFrame:
+def frequent_lines(stats: DataFrame, share: float = LINE_SHARE, least: int = LINE_LEAST, most: int = LINE_MOST) -> DataFrame:
     """host, hash of the lines in more distinct texts of their host than its limit."""
     # texts are told apart by all their lines
     lines = stats.select("host", F.xxhash64("lines").alias("text"), "lines")
     size = lines.groupBy("host", "text").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("texts"))
     each = lines.select("host", "text", F.explode(F.array_distinct("lines.hash")).alias("hash")).groupBy("host", "text", "hash").agg(F.count("*").alias("n"))
     counts = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    limit = F.greatest(F.lit(float(least)), F.col("texts") * share)
+    limit = F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), F.col("texts") * share))
     return counts.join(size.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > limit).select("host", "hash")
 
 
-def judge(stats: DataFrame) -> DataFrame:
+def judge(stats: DataFrame, frequent: DataFrame) -> DataFrame:
     """Adds base_failed, n_boilerplate_words, n_left_words and kept to *materialized* statistics."""
-    frequent = frequent_lines(stats).select(F.col("host").alias("h"), F.col("hash").alias("x"))
+    frequent = frequent.select(F.col("host").alias("h"), F.col("hash").alias("x"))
     lines = stats.where(F.size("lines") > 0).select("key", "host", F.posexplode("lines").alias("i", "line"))
     lines = lines.select("key", "host", "i", "line.hash", "line.words").distinct()
     gone = (
@@ -137,37 +154,67 @@ def judge(stats: DataFrame) -> DataFrame:
     )
 
 
+def verdicts(docs: DataFrame, host: str = "source") -> tuple[DataFrame, DataFrame]:
+    """Statistics and verdict of every document, and the frequent lines (written)."""
+    stats = materialize(document_stats(docs, host), "quality")
+    frequent = materialize(frequent_lines(stats), "frequent-lines")
+    return judge(stats, frequent), frequent
+
+
 def apply_quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row per document: its statistics and whether it is kept."""
-    return judge(materialize(document_stats(docs, host), "quality"))
+    return verdicts(docs, host)[0]
 
 
-def remove_frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The kept documents, without the lines above their host's limit."""
-    stats = materialize(document_stats(docs, host), "quality")
-    verdict = judge(stats).where("kept").select(F.col("key").alias(KEY)).distinct()
-    frequent = frequent_lines(stats).select(F.col("host").alias("h"), "hash")
-    per_doc = stats.select("key", "host", F.explode(F.array_distinct("lines.hash")).alias("hash")).distinct()
-    lost = per_doc.join(frequent, "hash").where(F.col("host").eqNullSafe(F.col("h")))
-    drop = lost.groupBy(F.col("key").alias(KEY)).agg(F.collect_set("hash").alias(_LOST))
-    keyed = docs.withColumn(KEY, row_key(F.col("doc_id"), F.col(host), F.coalesce("text", F.lit(""))))
-    joined = keyed.join(verdict, KEY, "left_semi").join(drop, KEY, "left")
-    names = docs.columns
-    schema = docs.schema
+def _keyed(docs: DataFrame, host: str) -> DataFrame:
+    return docs.withColumn(KEY, row_key(F.col("doc_id"), F.col(host), F.coalesce("text", F.lit(""))))
+
+
+def strip_lines(keyed: DataFrame, judged: DataFrame, frequent: DataFrame, host: str, rows: int = TABLE_ROWS) -> DataFrame:
+    """Documents (with ``KEY``) without the frequent lines of their host."""
+    few = frequent.count() <= rows
+    if few:
+        table: dict[str | None, list[int]] = {}
+        for r in frequent.collect():  # counted just now
+            table.setdefault(r["host"], []).append(r["hash"])
+        held = keyed.sparkSession.sparkContext.broadcast({h: np.array(v, dtype=np.int64) for h, v in table.items()})
+        wide = keyed.withColumn(_LOST, F.col(host).cast("string"))
+    else:
+        stats = judged.where("n_boilerplate_words > 0").select("key", "host", F.explode(F.array_distinct("lines.hash")).alias("hash")).distinct()
+        lost = stats.join(frequent.withColumnRenamed("host", "h"), "hash").where(F.col("host").eqNullSafe(F.col("h")))
+        wide = keyed.join(lost.groupBy(F.col("key").alias(KEY)).agg(F.collect_set("hash").alias(_LOST)), KEY, "left")
+    names, none = keyed.columns, np.empty(0, dtype=np.int64)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, gone in zip(b.column("text"), b.column(_LOST), strict=True):
-                t, lost = text.as_py(), set(gone.as_py() or ())
-                texts.append("\n".join(x for x in t.split("\n") if not (x.strip() and line_hash(x.encode()) in lost)) if t and lost else t)
+            for text, lost in zip(b.column("text"), b.column(_LOST), strict=True):
+                t, gone = text.as_py(), lost.as_py()
+                gone = held.value.get(gone, none) if few else np.array(gone or [], dtype=np.int64)
+                texts.append(without_lines(t, gone) if t and len(gone) else t)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
-    return joined.drop(KEY).mapInArrow(strip, schema)
+    return wide.mapInArrow(strip, keyed.schema)
+
+
+def clean_documents(docs: DataFrame, host: str = "source", rows: int = TABLE_ROWS) -> DataFrame:
+    """The kept documents, without the lines above their host's limit."""
+    judged, frequent = verdicts(docs, host)
+    rejected = materialize(judged.where("NOT kept").select(F.col("key").alias(KEY)).distinct(), "rejected")
+    kept = join_checked(_keyed(docs, host), rejected, KEY, "left_anti")
+    return (kept if frequent.isEmpty() else strip_lines(kept, judged, frequent, host, rows)).select(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_quality_rules(read_table(spark, sf_dir, "documents")).drop("key", "host", "lines")
+    """Statistics and verdicts, and the SHA-256 of what is left of each kept document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    judged, frequent = verdicts(docs)
+    judged = materialize(judged, "judged")
+    # only documents that lose lines are read again
+    lossy = materialize(judged.where("kept AND n_boilerplate_words > 0").select(F.col("key").alias(KEY)).distinct(), "lossy")
+    left = strip_lines(join_checked(_keyed(docs, "source"), lossy, KEY, "left_semi"), judged, frequent, "source")
+    digest = left.groupBy(F.col(KEY).alias("key")).agg(F.max(F.sha2(F.col("text").cast("binary"), 256)).alias("left_sha256"))
+    return judged.join(digest, "key", "left").drop("key", "host", "lines")
 
 
 OP8_SQL = rf"""
@@ -188,18 +235,22 @@ body AS (SELECT d.k, d.host, coalesce(string_agg(norm, chr(10) ORDER BY i), '')
 hosts AS (SELECT host, count(DISTINCT t) AS texts FROM body GROUP BY host),
 freq AS (
   SELECT l.host, norm FROM lw l JOIN body b USING (k) JOIN hosts h ON h.host IS NOT DISTINCT FROM l.host
-  GROUP BY l.host, norm, texts HAVING count(DISTINCT t) > greatest({LINE_LEAST}, texts * {LINE_SHARE})
+  GROUP BY l.host, norm, texts HAVING count(DISTINCT t) > least({LINE_MOST}, greatest({LINE_LEAST}, texts * {LINE_SHARE}))
 ),
-gone AS (SELECT k, sum(n) AS n FROM lw l JOIN freq f ON f.norm = l.norm AND f.host IS NOT DISTINCT FROM l.host GROUP BY k),
+lost AS (SELECT k, i, n FROM lw l JOIN freq f ON f.norm = l.norm AND f.host IS NOT DISTINCT FROM l.host),
+gone AS (SELECT k, sum(n) AS n FROM lost GROUP BY k),
+rest AS (SELECT k, sha256(coalesce(string_agg(line, chr(10) ORDER BY i), '')) AS digest FROM ln ANTI JOIN lost USING (k, i) WHERE k IN (SELECT k FROM gone) GROUP BY k),
 s AS (
-  SELECT doc_id, len(ws) AS n_words, coalesce(list_sum([length(x) for x in ws]), 0)::BIGINT AS word_chars,
+  SELECT rest.digest, doc_id, len(ws) AS n_words, coalesce(list_sum([length(x) for x in ws]), 0)::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_boilerplate_words
-  FROM w LEFT JOIN dup USING (k) LEFT JOIN cov USING (k) LEFT JOIN gone USING (k)
-)
+  FROM w LEFT JOIN dup USING (k) LEFT JOIN cov USING (k) LEFT JOIN gone USING (k) LEFT JOIN rest USING (k)
+), v AS (
 SELECT *, (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {int(100 * REPEAT_SHARE)} * n_words) AS base_failed,
   n_words - n_boilerplate_words AS n_left_words,
   NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {int(100 * REPEAT_SHARE)} * n_words)
   AND NOT (n_boilerplate_words > 0 AND (n_words - n_boilerplate_words < {LEFT_WORDS} OR n_words - n_boilerplate_words < {LEFT_SHARE} * n_words)) AS kept
 FROM s
+)
+SELECT * EXCLUDE (digest), CASE WHEN kept AND n_boilerplate_words > 0 THEN digest END AS left_sha256 FROM v
 """
