@@ -7,7 +7,8 @@ over their own rows, a few bits at a time, until every shard fits.
 
 Defined results: a row above the limit has a shard of its own; null text has 0 bytes; a null id is hashed as its text;
 rows that are equal in id and text can't be told apart by any bit, so they fill numbered overflow pages of their bucket,
-each within the limit.  An empty table gives no shards; further columns are left alone.
+each within the limit; which of them come first is left open.  Only the sizes of texts count, however long they are.  An empty
+table gives no shards; further columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import materialize, read_table
+from codequarry.llm.common import NUMBER, join_checked, materialize, numbered, read_table
 
 HASH_BITS = 60
 FINE_BITS = 6
@@ -71,7 +72,7 @@ def assign_shards(slim: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         fine = min(HASH_BITS, base + FINE_BITS)
         directory = materialize(_split(todo, base, limit), "shard-directory")
         placed = todo.withColumn("cell", _prefix(F.col("h"), fine)).join(directory, "cell")
-        bits = F.lpad(F.conv(_prefix(F.col("h"), F.col("depth")).cast("string"), 10, 2), HASH_BITS, "0")
+        bits = _bits(_prefix(F.col("h"), F.col("depth")))
         name = F.when(F.col("depth") == 0, "").otherwise(F.expr(f"right({'_bits'}, depth)"))
         done.append(
             placed.where("depth IS NOT NULL").withColumn("_bits", bits).withColumn("shard", name).drop("cell", "lo", "hi", "_bits")
@@ -94,14 +95,13 @@ def assign_shards(slim: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     """Pages for rows of one hash: they are copies of one record, so any numbering of them is a valid one."""
-    fit = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1)))).cast("long")
-    at = W.partitionBy("h").orderBy("bytes")
-    page = F.floor((F.row_number().over(at) - 1) / fit).cast("long")
-    paged = rows.withColumn("page", page)
-    each = W.partitionBy("h", "page")
-    bits = F.lpad(F.conv(F.col("h").cast("string"), 10, 2), HASH_BITS, "0")
+    largest = rows.groupBy("h").agg(F.greatest(F.max("bytes"), F.lit(1)).alias("_largest"))
+    paged = numbered(rows, ["h"], "shard-copies").join(largest, "h")
+    fit = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("_largest"))).cast("long")
+    paged = paged.withColumn("page", F.floor(F.col(NUMBER) / fit).cast("long")).drop("_largest", NUMBER)
+    each = W.partitionBy("h", "page")  # at most ``limit`` bytes
     return (
-        paged.withColumn("shard", F.concat(bits, F.lit("+"), F.col("page").cast("string")))
+        paged.withColumn("shard", F.concat(_bits(F.col("h")), F.lit("+"), F.col("page").cast("string")))
         .withColumn("depth", F.lit(HASH_BITS))
         .withColumn("shard_bytes", F.sum("bytes").over(each))
         .withColumn("shard_rows", F.count("*").over(each))
@@ -109,19 +109,34 @@ def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def _bits(h: Column) -> Column:
+    return F.lpad(F.conv(h.cast("string"), 10, 2), HASH_BITS, "0")
+
+
+#: Name of the folders of written shards, after which no column of documents is named.
+FOLDER = "__quarry_shard"
+
+
 def write_shards(docs: DataFrame, shards: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
     """Write documents by shard, one folder each (of the shards that ``assign_shards`` gave with the same limit).
 
-    Rows meet their shard by their hash and come together in a single shuffle on it.
+    The buckets' bits make a table as large as the number of shards; a row meets its bucket by the bits that all of them
+    have, and then by the whole prefix.  Texts move once, to their shard.
     """
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("doc"), hash_bits(F.col("doc_id"), F.col("text")).alias("h"), _size().alias("bytes"))
-    known = shards.groupBy("h").agg(F.min("shard").alias("shard"))
-    paged = F.col("shard").contains("+")
-    plain = rows.join(known.where(~paged), "h")
-    copies = _overflow(rows.join(known.where(paged).select("h"), "h"), limit)
-    out = plain.select("doc.*", "shard").unionByName(copies.select("doc.*", "shard"))
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    bucket, paged = F.substring_index("shard", "+", 1), F.contains("shard", F.lit("+"))
+    buckets = materialize(shards.select(bucket.alias("bucket"), paged.alias("paged")).distinct(), "shard-buckets")
+    common = buckets.agg(F.min(F.length("bucket"))).first()[0] or 0
+    met = join_checked(
+        rows.withColumn("b", _bits(F.col("h"))).withColumn("root", F.substring("b", 1, common)),
+        buckets.withColumn("root", F.substring("bucket", 1, common)), "root", "inner",
+    ).where(F.startswith("b", "bucket"))
+    plain = met.where(~F.col("paged")).select("doc", F.col("bucket").alias("shard"))
+    if not buckets.where("paged").isEmpty():
+        plain = plain.unionByName(_overflow(met.where("paged").select("doc", "h", "bytes"), limit).select("doc", "shard"))
+    out = plain.withColumn(FOLDER, F.concat(F.lit("b"), "shard"))
+    out.repartition(FOLDER).select("doc.*", FOLDER).write.partitionBy(FOLDER).parquet(path)
 
 
 def _size() -> Column:
@@ -151,14 +166,22 @@ WITH RECURSIVE slim AS (
   FROM documents
 ), base AS (
   SELECT greatest(0, ceil(log2(greatest(1.0, sum(bytes)::DOUBLE / {SHARD_BYTES}))))::INT AS d FROM slim
-), levels(d) AS (SELECT d FROM base UNION ALL SELECT d + 1 FROM levels WHERE d < {HASH_BITS} AND d < (SELECT d + 24 FROM base)),
+), levels(d) AS (SELECT d FROM base UNION ALL SELECT d + 1 FROM levels WHERE d < {HASH_BITS}),
 sized AS (
   SELECT l.d, h >> ({HASH_BITS} - l.d) AS p, sum(bytes) AS b, count(*) AS r FROM slim, levels l GROUP BY 1, 2
 ), least AS (
-  SELECT s.doc_id, s.bytes, s.h, min(z.d) AS depth FROM slim s JOIN sized z ON z.p = s.h >> ({HASH_BITS} - z.d)
+  SELECT s.h, min(z.d) AS depth FROM (SELECT DISTINCT h FROM slim) s JOIN sized z ON z.p = s.h >> ({HASH_BITS} - z.d)
   WHERE z.b <= {SHARD_BYTES} OR z.r = 1 GROUP BY ALL
-)
-SELECT l.doc_id, l.bytes, CASE WHEN l.depth = 0 THEN '' ELSE right(lpad(bin(z.p), {HASH_BITS}, '0'), l.depth) END AS shard,
+), copies AS (
+  SELECT doc_id, bytes, h, (row_number() OVER (PARTITION BY h) - 1) // greatest(1, {SHARD_BYTES} // greatest(bytes, 1)) AS page
+  FROM slim WHERE h IN (SELECT p FROM sized WHERE d = {HASH_BITS} AND b > {SHARD_BYTES} AND r > 1)
+), paged AS (
+  SELECT doc_id, bytes, lpad(bin(h), {HASH_BITS}, '0') || '+' || page AS shard, {HASH_BITS}::INT AS depth,
+    sum(bytes) OVER (PARTITION BY h, page)::BIGINT AS shard_bytes, count(*) OVER (PARTITION BY h, page) AS shard_rows FROM copies
+), plain AS (
+SELECT s.doc_id, s.bytes, CASE WHEN l.depth = 0 THEN '' ELSE right(lpad(bin(z.p), {HASH_BITS}, '0'), l.depth) END AS shard,
   l.depth::INT AS depth, z.b::BIGINT AS shard_bytes, z.r AS shard_rows
-FROM least l JOIN sized z ON z.d = l.depth AND z.p = l.h >> ({HASH_BITS} - l.depth)
+FROM slim s JOIN least l ON l.h = s.h JOIN sized z ON z.d = l.depth AND z.p = l.h >> ({HASH_BITS} - l.depth)
+)
+SELECT * FROM plain UNION ALL SELECT * FROM paged
 """

@@ -75,5 +75,24 @@ def test_written_shards_fit(spark, make_docs, tmp_path):
     assert back.count() == 70
     size = defaultdict(list)
     for r in back.collect():
-        size[str(r.shard)].append(len(r.text))
+        size[r[sh.FOLDER]].append(len(r.text))
     assert all(sum(b) <= 500 or len([x for x in b if x]) == 1 for b in size.values())
+
+
+def test_written_shards_are_the_assigned_ones_and_columns_may_clash(spark, make_docs, tmp_path):
+    rows = [(i, t, "s", "en", f"v{i}", 7) for i, t in rows_of(5, 120)] + [(500, "z" * 90, "s", "en", "c", 7)] * 30
+    docs = make_docs(rows, ", shard string, bytes int")
+    assigned = sh.assign_shards(sh.slim_rows(docs), 400)
+    sh.write_shards(docs, assigned, f"{tmp_path}/out", 400)
+    back = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.doc_id, r.shard, r.bytes) for r in back) == sorted((i, v, b) for i, _, _, _, v, b in rows)
+    assert sorted((r.doc_id, r[sh.FOLDER]) for r in back) == sorted((r.doc_id, "b" + r.shard) for r in assigned.collect())
+
+
+def test_a_hot_record_is_numbered_over_many_parts(make_docs):
+    docs = make_docs([(7, "y" * 10, "s", "en")] * 5000 + [(i, "x" * 10, "s", "en") for i in range(100, 200)]).repartition(23)
+    found = sh.shard_documents(docs, 1000).collect()
+    pages = defaultdict(int)
+    for r in found:
+        pages[r.shard] += r.bytes
+    assert len(found) == 5100 and max(pages.values()) <= 1000 and sum("+" in s for s in pages) == 50
