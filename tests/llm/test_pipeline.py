@@ -52,6 +52,14 @@ def test_stages_keep_and_drop(spark, tmp_path):
     assert set(kept["decontaminate"]) == set(kept["near_duplicates"]) - set(range(190, 195))
     assert set(kept["mix"]) <= set(kept["decontaminate"]) and len(kept["mix"]) > len(set(kept["mix"]))
     assert sorted(kept["shard"]) == sorted(kept["mix"])
+    # the shards hold the mix's documents, each in the folder that its row names
+    folders = docs.select("folder").distinct().collect()
+    base = folders[0].folder.rsplit("/", 1)[0]
+    written = spark.read.parquet(base)
+    before = spark.read.parquet(f"{sf}/mix")
+    assert sorted(map(tuple, written.select(COLUMNS).collect())) == sorted(map(tuple, before.collect()))
+    at = sorted((r.doc_id, f"{base}/{cp.sharding.FOLDER}={r[cp.sharding.FOLDER]}") for r in written.collect())
+    assert at == sorted((r.doc_id, r.folder) for r in docs.collect())
 
 
 def test_run_on_an_empty_table(spark, tmp_path):
@@ -78,3 +86,20 @@ def test_equal_rows_become_one(spark):
     rows = [(1, "a b c d e f g h", "en", "s", 1)] * 3 + [(2, "x y z q r s t u", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()) == [1, 2]
+
+
+def test_one_document_of_each_group_stays_whatever_the_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    edit = lambda k: " ".join(words[:k] + [f"e{k}"] + words[k + 1 :])
+    rows = [(1, edit(3)), (1, edit(50)), (2, edit(3)), (None, "p " + " ".join(words[::-1])), (None, "q " + " ".join(words[::-1])), (None, "alone here"), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()]
+    # groups: both of id 1 with id 2, two without an id; and two rows that stand alone
+    assert len(out) == 4 and sum(i == 1 for i, _ in out) == 1 and sum(i is None for i, _ in out) == 2 and (5, "") in out
+
+
+def test_frequent_lines_leave_the_corpus(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)) + "\nall rights reserved", "en", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for r in cp.quality(spark, docs, "").collect():
+        assert r.text == rows[r.doc_id][1].split("\n")[0] and r.n_chars == len(r.text)

@@ -5,14 +5,15 @@ import os
 import pytest
 
 from codequarry.llm import registry
-from tests.oracle import DATA, same_rows
+from tests.oracle import DATA, SETTINGS, same_rows_at
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
+@pytest.mark.parametrize("setting", SETTINGS, ids=["small", "large"])
 @pytest.mark.parametrize("name", sorted(registry.SQL))
-def test_equals_sql(spark, name):
-    assert same_rows(spark, registry.QUERIES[name], registry.SQL[name])
+def test_equals_sql(spark, name, setting):
+    assert same_rows_at(spark, registry.QUERIES[name], registry.SQL[name], setting)
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
