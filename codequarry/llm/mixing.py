@@ -194,7 +194,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     taken = mix(docs).groupBy(F.col("key").alias(KEY)).agg(F.min("copies").alias(names[0]), F.max("copies").alias(names[1]), F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
     taken = materialize(taken.where(most > 0).select(KEY, least, most, (F.col("_sum") - least * F.col("_rows")).alias(names[2])), "mix-taken")
     keyed = docs.withColumn(KEY, row_key(F.col("doc_id"), F.col("source"), F.coalesce("text", F.lit(""))))
-    out = keyed.join(taken.where(least == most), KEY).withColumn("__quarry_copies", most)
+    # the table of the mix grows with the documents: it is never broadcast, also where it happens to be small
+    out = keyed.join(taken.where(least == most).hint("merge"), KEY).withColumn("__quarry_copies", most)
     some = taken.where(least < most)
     if not some.isEmpty():
         each = numbered(join_checked(keyed, some, KEY, "inner"), [KEY], "mix-repeats")

@@ -53,7 +53,7 @@ PIVOTS = 8
 #: Buckets' pivots (a few kB each) that may be broadcast.
 PIVOT_ROWS = 5_000
 TILE = 512
-WIDE_TILE = 2048
+WIDE_TILE = 1024
 TILE_BYTES = 32 << 20
 #: Sketches that agree in fewer coordinates than the threshold less this many standard deviations aren't alike.
 SIGMAS = 4.0
