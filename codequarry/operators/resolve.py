@@ -1,17 +1,21 @@
 """Call resolution: every call site gets a callee (or none) and a confidence marker by joins against small lookups.
 
-All lookups are keyed aggregates of the symbol tables.  The joins are plain equi-joins, so Spark broadcasts a lookup
-while it is small and shuffles beyond that; the decision itself is one CASE over the joined columns.
+All lookups are keyed aggregates of the symbol tables.  Sites are parted by the kind of their receiver, and each part meets
+only the lookups that its rule needs, so no site moves for a lookup that can't decide it.  The joins are plain equi-joins:
+Spark broadcasts a lookup while it is small and shuffles beyond that.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.operators.aggregates import first_nonempty, innermost, sole_value
 from codequarry.operators.graph import dispatch_edges, implements, inheritance_closure
 from codequarry.schema import BUILTINS, TYPED_LANGUAGES
+from codequarry.session import cut
 
 _ORDER = ("file_path", "start_line", "id")
 
@@ -47,66 +51,69 @@ def repo_roots(functions: DataFrame) -> DataFrame:
 
 
 def _builtin() -> Column:
+    """Never null, so that it can be negated."""
     out = F.lit(False)
     for lang, names in BUILTINS.items():
         out = out | ((F.col("language") == lang) & F.col("callee_name").isin(names))
-    return out
+    return F.coalesce(out, F.lit(False))
 
 
 def resolve_calls(sites: DataFrame, functions: DataFrame, types: DataFrame, bases: DataFrame, fields: DataFrame, variables: DataFrame) -> DataFrame:
-    """Adds callee_id and resolution to call sites (with package: the scope that they stand in)."""
+    """Adds callee_id and resolution to *materialized* call sites (with package: the scope that they stand in)."""
+    columns = sites.columns
     top = functions.where(~_is_method())
-    by_package = _counted(top, "package", "name").where("n = 1")
-    by_top = _counted(top, "name").where("n = 1").select(F.col("name").alias("t_name"), F.col("id").alias("t_id"))
+    by_package = _counted(top, "package", "name").where("n = 1").select(F.col("package").alias("p_pkg"), F.col("name").alias("p_name"), F.col("id").alias("p_id"), F.col("file").alias("p_file"))
+    classes = types.where(F.col("kind").isin("class", "struct", "type", "interface")).select(F.col("name").alias("c_name")).distinct()
+    kind, callee = F.col("receiver_kind"), F.col("callee_name")
+    s = sites.withColumn("receiver_kind", F.coalesce("receiver_kind", F.lit("")))
+    is_typed = F.coalesce(F.col("language").isin(TYPED_LANGUAGES), F.lit(False))
+    is_bare = (kind == "") & (F.coalesce("receiver_name", F.lit("")) == "")
+    on_type_kinds = ["var", "field", "maybe-global", "from-callee"]
+
+    def found(rows: DataFrame, target: Column | None, marker: Column) -> DataFrame:
+        return rows.select(*columns, (F.lit(None).cast("long") if target is None else target).alias("callee_id"), marker.alias("resolution"))
+
+    # languages without hints
     by_name = _counted(functions, "name").select(F.col("name").alias("n_name"), F.col("id").alias("n_id"))
+    out = found(s.where(~is_typed).join(by_name, callee == F.col("n_name"), "left"), F.col("n_id"), F.lit("name-global"))
+    typed = s.where(is_typed)
+    # an imported package's functions
+    own = typed.where(kind == "import").join(by_package, (F.col("receiver_package") == F.col("p_pkg")) & (callee == F.col("p_name")), "left")
+    out = out.unionByName(found(own, F.col("p_id"), F.when(F.col("p_id").isNotNull(), "cross-package").otherwise("import-qualified")))
+    # methods on a receiver's type, which each kind knows in its own way
+    field = sole_value(fields, ["struct_type", "field_name"], "field_type").select(F.col("struct_type").alias("f_struct"), F.col("field_name").alias("f_name"), F.col("field_type").alias("on_type"))
+    glob = sole_value(variables, ["package", "name"], "var_type").select(F.col("package").alias("g_pkg"), F.col("name").alias("g_name"), F.col("var_type").alias("on_type"))
     returns = first_nonempty(functions.withColumn("_o", F.struct(*_ORDER)), ["package", "name"], "return_type", "_o")
-    field = sole_value(fields, ["struct_type", "field_name"], "field_type")
-    glob = sole_value(variables, ["package", "name"], "var_type")
-    classes = types.where(F.col("kind").isin("class", "struct", "type", "interface")).select(F.col("name").alias("c_name")).distinct()
+    returns = returns.select(F.col("package").alias("r_pkg"), F.col("name").alias("r_fn"), F.col("return_type").alias("r_type"))
+    made = typed.where(kind == "from-callee").join(classes, F.col("receiver_from_callee") == F.col("c_name"), "left")
+    made = made.join(returns, (F.col("package") == F.col("r_pkg")) & (F.col("receiver_from_callee") == F.col("r_fn")), "left")
+    known = [
+        typed.where(kind == "var").withColumn("on_type", F.col("receiver_type")),
+        typed.where(kind == "field").join(field, (F.col("receiver_type") == F.col("f_struct")) & (F.col("receiver_field") == F.col("f_name")), "left"),
+        typed.where(kind == "maybe-global").join(glob, (F.col("package") == F.col("g_pkg")) & (F.col("receiver_name") == F.col("g_name")), "left"),
+        made.withColumn("on_type", F.coalesce("c_name", "r_type")),
+    ]
     methods = method_table(functions, bases).select(F.col("type").alias("m_type"), F.col("name").alias("m_name"), F.col("id").alias("m_id"))
-    roots = repo_roots(functions)
-
-    s = sites.withColumn("receiver_kind", F.coalesce("receiver_kind", F.lit("")))
-    s = s.join(classes.select(F.col("c_name").alias("from_class")), F.col("receiver_from_callee") == F.col("from_class"), "left")
-    s = s.join(classes.select(F.col("c_name").alias("callee_class")), F.col("callee_name") == F.col("callee_class"), "left")
-    r = returns.select(F.col("package").alias("r_pkg"), F.col("name").alias("r_fn"), F.col("return_type").alias("r_type"))
-    s = s.join(r, (F.col("package") == F.col("r_pkg")) & (F.col("receiver_from_callee") == F.col("r_fn")), "left")
-    f = field.select(F.col("struct_type").alias("f_struct"), "field_name", "field_type")
-    s = s.join(f, (F.col("receiver_type") == F.col("f_struct")) & (F.col("receiver_field") == F.col("field_name")), "left")
-    g = glob.select(F.col("package").alias("g_pkg"), F.col("name").alias("g_name"), F.col("var_type").alias("g_type"))
-    s = s.join(g, (F.col("package") == F.col("g_pkg")) & (F.col("receiver_name") == F.col("g_name")), "left")
-    kind = F.col("receiver_kind")
-    on_type = (
-        F.when(kind == "var", F.col("receiver_type")).when(kind == "field", F.col("field_type")).when(kind == "maybe-global", F.col("g_type"))
-        .when(kind == "from-callee", F.coalesce("from_class", "r_type"))
-    )
-    s = s.withColumn("on_type", on_type)
-    s = s.join(methods, (F.col("on_type") == F.col("m_type")) & (F.col("callee_name") == F.col("m_name")), "left")
-    # one lookup serves the imported package and the own scope: a site needs only one of them
-    scope = F.when(kind == "import", F.col("receiver_package")).otherwise(F.col("package"))
-    p = by_package.select(F.col("package").alias("p_pkg"), F.col("name").alias("p_name"), F.col("id").alias("p_id"), F.col("file").alias("p_file"))
-    s = s.withColumn("scope", scope).join(p, (F.col("scope") == F.col("p_pkg")) & (F.col("callee_name") == F.col("p_name")), "left")
-    s = s.join(by_top, F.col("imported_origin") == F.col("t_name"), "left").join(by_name, F.col("callee_name") == F.col("n_name"), "left")
-    s = s.join(roots, F.col("imported_module_root") == F.col("root"), "left")
-
-    typed = F.col("language").isin(TYPED_LANGUAGES)
-    bare = (kind == "") & (F.coalesce("receiver_name", F.lit("")) == "")
+    on_type = reduce(DataFrame.unionByName, [k.select(*columns, "on_type") for k in known])
+    on_type = on_type.join(methods, (F.col("on_type") == F.col("m_type")) & (callee == F.col("m_name")), "left")
+    out = out.unionByName(found(on_type, F.col("m_id"), F.when(F.col("m_id").isNotNull(), "receiver-typed").otherwise("unresolved")))
+    # bare calls
+    bare = typed.where(is_bare)
+    out = out.unionByName(found(bare.where(_builtin()), None, F.lit("builtin")))
+    by_top = _counted(top, "name").where("n = 1").select(F.col("name").alias("t_name"), F.col("id").alias("t_id"))
+    bare = bare.where(~_builtin()).join(classes, callee == F.col("c_name"), "left")
+    bare = bare.join(by_package, (F.col("package") == F.col("p_pkg")) & (callee == F.col("p_name")), "left")
+    bare = bare.join(by_top, F.col("imported_origin") == F.col("t_name"), "left").join(repo_roots(functions), F.col("imported_module_root") == F.col("root"), "left")
     linked = F.col("t_id").isNotNull() & ((F.col("imported_module_root") == "") | F.col("root").isNotNull())
     marker = (
-        F.when(~typed, "name-global")
-        .when(kind == "import", F.when(F.col("p_id").isNotNull(), "cross-package").otherwise("import-qualified"))
-        .when(kind.isin("var", "from-callee", "field", "maybe-global"), F.when(F.col("m_id").isNotNull(), "receiver-typed").otherwise("unresolved"))
-        .when(~bare, "unresolved").when(_builtin(), "builtin").when(F.col("callee_class").isNotNull(), "constructor")
+        F.when(F.col("c_name").isNotNull(), "constructor")
         .when(F.col("p_id").isNotNull(), F.when(F.col("p_file") == F.col("file_path"), "same-file").otherwise("same-package"))
         .when(linked, "import-symbol").otherwise("unresolved")
     )
-    s = s.withColumn("resolution", marker)
-    m = F.col("resolution")
-    target = (
-        F.when(m == "name-global", F.col("n_id")).when(m.isin("cross-package", "same-file", "same-package"), F.col("p_id"))
-        .when(m == "receiver-typed", F.col("m_id")).when(m == "import-symbol", F.col("t_id"))
-    )
-    return s.select(*sites.columns, target.alias("callee_id"), "resolution")
+    target = F.when(marker.isin("same-file", "same-package"), F.col("p_id")).when(marker == "import-symbol", F.col("t_id"))
+    out = out.unionByName(found(bare, target, marker))
+    # whatever else has a receiver
+    return out.unionByName(found(typed.where(~is_bare & ~kind.isin("import", *on_type_kinds)), None, F.lit("unresolved")))
 
 
 def attach_callers(sites: DataFrame, functions: DataFrame) -> DataFrame:
@@ -120,7 +127,7 @@ def attach_callers(sites: DataFrame, functions: DataFrame) -> DataFrame:
 
 def build_calls(sites: DataFrame, functions: DataFrame, types: DataFrame, bases: DataFrame, fields: DataFrame, variables: DataFrame) -> DataFrame:
     """The call table: one resolved edge per site, and the interface dispatch edges."""
-    own = attach_callers(sites, functions)
+    own = cut(attach_callers(sites, functions), "sites")
     plain = resolve_calls(own, functions, types, bases, fields, variables)
     wanted = types.where("kind = 'interface'").select(F.col("name").alias("iface"), F.explode("methods").alias("method"))
     methods = functions.where(_is_method()).select(F.col("receiver_type").alias("type"), F.col("name").alias("method"), "id")
@@ -130,7 +137,7 @@ def build_calls(sites: DataFrame, functions: DataFrame, types: DataFrame, bases:
 
 
 def affected_sites(sites: DataFrame, before: DataFrame, after: DataFrame, types_before: DataFrame, types_after: DataFrame) -> DataFrame:
-    """Call sites that a change of definitions may resolve otherwise: those that name a changed symbol or type in any role."""
+    """Call sites that a change of definitions may resolve otherwise: those that name a changed symbol, type or import root in any role."""
     key = ["id", "name", "file_path", "receiver_type", "package", "return_type", "kind"]
 
     def differing(a: DataFrame, b: DataFrame, columns: list[str], out: list[str]) -> DataFrame:
@@ -139,7 +146,8 @@ def affected_sites(sites: DataFrame, before: DataFrame, after: DataFrame, types_
         return moved.select(F.explode(F.array(*out)).alias("x"))
 
     names = differing(before, after, key, ["name", "receiver_type"]).unionByName(differing(types_before, types_after, ["name", "kind", "file_path"], ["name"]))
+    names = names.unionByName(differing(repo_roots(before), repo_roots(after), ["root"], ["root"]))
     names = names.where("x IS NOT NULL").distinct()
-    roles = F.array("callee_name", "imported_origin", "receiver_type", "receiver_from_callee")
+    roles = F.array("callee_name", "imported_origin", "receiver_type", "receiver_from_callee", "imported_module_root")
     hit = sites.withColumn("_k", F.xxhash64("file_path", "line", "ord")).select("_k", F.explode(roles).alias("x")).join(names, "x", "left_semi").select("_k").distinct()
     return sites.withColumn("_k", F.xxhash64("file_path", "line", "ord")).join(hit, "_k", "left_semi").drop("_k")

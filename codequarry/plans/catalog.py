@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text as fn
 from codequarry.operators import aggregates, edges, evaluate, graph, search
+from codequarry.plans import resolution
 from codequarry.plans.views import EDGE, SYM, symbols, table
 from codequarry.plans.views import edges as calls
 from codequarry.schema import EXTENSIONS
@@ -19,8 +20,8 @@ from codequarry.streaming.changes import debounce, latest_changes, relevant
 from codequarry.streaming.maintain import debounce_to_table, listing_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(resolution.QUERIES)
+SQL: dict[str, str] = dict(resolution.SQL)
 
 
 def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -371,12 +372,6 @@ def _interface_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return graph.dispatch_edges(sites, impl, methods).groupBy("site", "line", "iface", "callee_name").agg(F.count("*").alias("edges"))
 
 
-@_query("import_gate_semi", "SELECT p_partkey, p_name FROM part WHERE p_type = '' OR EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_discount > 0.08)")
-def _import_gate(spark: SparkSession, d: str) -> DataFrame:
-    roots = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_discount > 0.08").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").select("p_partkey", "p_name").join(roots, "p_partkey", "left_semi")
-
-
 @_query("stale_edges", f"WITH {SYM}, {EDGE} SELECT * FROM edge WHERE EXISTS (SELECT 1 FROM sym WHERE sym.id = callee_id AND file_path IN ('Brand#7/PROMO', 'Brand#3/SMALL'))")
 def _stale(spark: SparkSession, d: str) -> DataFrame:
     changed = spark.createDataFrame([("Brand#7/PROMO",), ("Brand#3/SMALL",)], "path string")
