@@ -23,12 +23,24 @@ def main(argv: list[str] | None = None) -> int:
     index.add_argument("root")
     index.add_argument("--include", action="append", default=[])
     index.add_argument("--exclude", action="append", default=[])
-    for name, words in (("def", ["symbol"]), ("query", ["query"]), ("calls", ["name"])):
-        p = sub.add_parser(name)
-        for w in words:
-            p.add_argument(w)
+    sub.add_parser("def").add_argument("symbol")
+    query = sub.add_parser("query")
+    query.add_argument("query")
+    query.add_argument("--limit", type=int)
+    query.add_argument("--scope", default="all", choices=["all", "functions", "types", "docs", "files"])
+    query.add_argument("--file-filter")
+    calls = sub.add_parser("calls")
+    calls.add_argument("name")
+    calls.add_argument("--max-results", type=int)
     impact = sub.add_parser("impact")
-    impact.add_argument("files", nargs="+")
+    impact.add_argument("files", nargs="*")
+    impact.add_argument("--from-git", metavar="REV", help="the files that differ from a revision of the tree at --root")
+    impact.add_argument("--root")
+    impact.add_argument("--no-tests", action="store_true")
+    for p, default in ((calls, "both"), (impact, "callers")):
+        p.add_argument("--direction", default=default, choices=["callers", "callees", "both"])
+        p.add_argument("--depth", type=int)
+        p.add_argument("--min-confidence")
     arch = sub.add_parser("arch")
     arch.add_argument("--focus")
     sub.add_parser("status")
@@ -53,7 +65,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if a.command == "watch":
         events = tree_changes(store.spark, a.root, f"{a.state}/listings")
-        maintain(store, events, a.root, f"{a.state}/checkpoint", config.load(a.root).options()).awaitTermination()
+        own = config.load(a.root)
+        maintain(store, events, a.root, f"{a.state}/checkpoint", own.options(), gap_ms=own.debounce_ms).awaitTermination()
         return 0
 
     def options() -> ScanOptions:
@@ -71,9 +84,9 @@ def main(argv: list[str] | None = None) -> int:
         "artifacts": lambda: artifacts.write_all(store, a.folder) or {"written": a.folder},
         "bench": measured,
         "def": lambda: api.get_definition(store, a.symbol),
-        "query": lambda: api.query_codebase(store, a.query),
-        "calls": lambda: api.get_call_chain(store, a.name),
-        "impact": lambda: api.get_impact(store, a.files),
+        "query": lambda: api.query_codebase(store, a.query, a.limit, a.scope, a.file_filter),
+        "calls": lambda: api.get_call_chain(store, a.name, a.direction, a.depth, a.min_confidence, a.max_results),
+        "impact": lambda: api.get_impact(store, a.files or None, a.from_git, a.root, a.depth, a.direction, not a.no_tests, a.min_confidence),
         "arch": lambda: api.get_architecture(store, a.focus),
         "status": lambda: api.get_status(store),
         "tool": lambda: api.call_tool(store, a.name, json.loads(a.json)),

@@ -1,13 +1,15 @@
 """Full-text search: postings, phrases and prefixes, column-weighted BM25, snippets, suggestions.
 
 A corpus is a table with an ``id``.  Its postings are (id, col, pos, term).  A query is a small tree of phrases held on
-the driver; each phrase becomes one filter over the postings, so a search reads only the postings of its own terms
-(they are written sorted by term, and the filter reaches the scan).
+the driver.  One filter takes the postings of all its words at once; each posting votes for the starts of the phrases that it
+can stand in, and scores and matches both come from the places that all words of a phrase vote for.  The store keeps postings
+and lengths as tables, sorted by term, so the filter reaches the scan.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,6 +42,25 @@ def lengths(corpus: DataFrame, columns: list[str], id_col: str = "id") -> DataFr
     return corpus.select(F.col(id_col).alias("id"), total.cast("long").alias("d"))
 
 
+CORPORA = {"functions": FUNCTION_COLUMNS, "types": TYPE_COLUMNS, "documents": DOCUMENT_COLUMNS}
+
+
+def stored(tables: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+    """The tables ``postings`` and ``lengths`` of all corpora, each row with its file."""
+
+    def each(make: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+        parts = []
+        for corpus, weights in CORPORA.items():
+            rows = tables(corpus)
+            # the file rides along under another name, as it is a searched column too
+            keyed = rows.withColumn("_key", F.struct("id", F.col("file_path").alias("file")))
+            made = make(keyed, list(weights)).withColumn("file_path", F.col("id.file")).withColumn("id", F.col("id.id"))
+            parts.append(made.withColumn("corpus", F.lit(corpus)))
+        return reduce(DataFrame.unionByName, parts)
+
+    return {"postings": each(lambda rows, columns: postings(rows, columns, "_key")), "lengths": each(lambda rows, columns: lengths(rows, columns, "_key"))}
+
+
 # ---------------------------------------------------------------------------------------------------- query trees
 
 
@@ -188,37 +209,57 @@ def phrases(q: Query) -> list[Phrase]:
 # ------------------------------------------------------------------------------------------------------ matching
 
 
+def _found(post: DataFrame, wanted: list[Phrase]) -> DataFrame:
+    """(id, q, col, pos) of each place where the words of phrase ``q`` stand in a row; the last word may be a prefix."""
+    votes, any_word = [], F.lit(False)
+    for q, p in enumerate(wanted):
+        own = F.col("col") == p.column if p.column else F.lit(True)
+        for i, w in enumerate(p.words):
+            word = F.col("term").startswith(w) if p.prefix and i == len(p.words) - 1 else F.col("term") == w
+            votes.append(F.when(own & word, F.struct(F.lit(q).alias("q"), F.lit(i).alias("i"), (F.col("pos") - i).alias("start"))))
+            any_word = any_word | word
+    if not votes:
+        return post.limit(0).select("id", F.lit(0).alias("q"), "col", "pos")
+    cast = post.where(any_word).select("id", "col", F.explode(F.array_compact(F.array(*votes))).alias("v")).select("id", "col", "v.*")
+    # a start is hit when every word votes for it; of one word each vote is a hit
+    sizes = F.element_at(F.array(*(F.lit(len(p.words)) for p in wanted)), F.col("q") + 1)
+    rows = cast.groupBy("id", "q", "col", F.col("start").alias("pos")).agg(F.count_distinct("i").alias("n")) if any(len(p.words) > 1 for p in wanted) else None
+    hits = cast.select("id", "q", "col", F.col("start").alias("pos")) if rows is None else rows.where(F.col("n") == sizes).drop("n")
+    initial = [q for q, p in enumerate(wanted) if p.initial]
+    return hits.where(~F.col("q").isin(initial) | (F.col("pos") == 0)) if initial else hits
+
+
 def phrase_hits(post: DataFrame, p: Phrase) -> DataFrame:
-    """(id, col, pos) of each place where the phrase's words stand in a row; the last word may be a prefix."""
-    n = len(p.words)
-    if n == 0:
-        return post.where(F.lit(False)).select("id", "col", "pos")
-    own = post.where(F.col("col") == p.column) if p.column else post
-
-    def word(i: int) -> Column:
-        return F.col("term").startswith(p.words[i]) if p.prefix and i == n - 1 else F.col("term") == p.words[i]
-
-    if n == 1:
-        hits = own.where(word(0)).select("id", "col", "pos")
-    else:
-        # one pass over the postings of all words; a start is hit when every word votes for it
-        votes = [F.when(word(i), F.col("pos") - i) for i in range(n)]
-        starts = own.where(reduce(lambda a, b: a | b, (word(i) for i in range(n)))).select(
-            "id", "col", F.posexplode(F.array(*votes)).alias("i", "start")
-        ).where("start IS NOT NULL")
-        hits = starts.groupBy("id", "col", F.col("start").alias("pos")).agg(F.count_distinct("i").alias("n")).where(F.col("n") == n).drop("n")
-    return hits.where("pos = 0") if p.initial else hits
+    """(id, col, pos) of each place where the phrase's words stand in a row."""
+    return _found(post, [p]).select("id", "col", "pos")
 
 
-def matching(post: DataFrame, q: Query) -> DataFrame:
-    """Distinct ids that satisfy the query."""
+def _leaves(q: Query) -> list[Phrase]:
+    """All phrases of the tree, those under ``not`` too."""
+    return [q] if isinstance(q, Phrase) else [p for part in q.parts for p in _leaves(part)]
+
+
+def _holds(q: Query, index: dict[Phrase, int], held: Column) -> Column:
+    """Whether a row that holds the phrases of these numbers satisfies the query."""
     if isinstance(q, Phrase):
-        return phrase_hits(post, q).select("id").distinct()
-    sets = [matching(post, part) for part in q.parts]
+        return F.array_contains(held, index[q])
+    parts = [_holds(part, index, held) for part in q.parts]
     if q.kind == "or":
-        return reduce(DataFrame.unionByName, sets).distinct()
-    how = "left_semi" if q.kind == "and" else "left_anti"
-    return reduce(lambda a, b: a.join(b, "id", how), sets)
+        return reduce(lambda a, b: a | b, parts)
+    return reduce(lambda a, b: a & b, parts if q.kind == "and" else [parts[0], *(~x for x in parts[1:])])
+
+
+def _per_row(post: DataFrame, q: Query, weights: dict[str, float] | None) -> tuple[DataFrame, dict[Phrase, int]]:
+    """(id, q, f): the weighted count of each phrase in each row that holds it, and the phrases' numbers."""
+    leaves = list(dict.fromkeys(_leaves(q)))
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("col")) if weights else F.lit(1.0)
+    return _found(post, leaves).groupBy("id", "q").agg(F.sum(weight).alias("f")), {p: i for i, p in enumerate(leaves)}
+
+
+def matching(post: DataFrame, q: Query) -> DataFrame:
+    """Distinct ids that satisfy the query."""
+    f, index = _per_row(post, q, None)
+    return f.groupBy("id").agg(F.collect_list("q").alias("held")).where(_holds(q, index, F.col("held"))).select("id")
 
 
 def bm25(post: DataFrame, length: DataFrame, q: Query, weights: dict[str, float]) -> DataFrame:
@@ -227,15 +268,15 @@ def bm25(post: DataFrame, length: DataFrame, q: Query, weights: dict[str, float]
     rank = -sum over phrases of idf * f * (k1 + 1) / (f + k1 * (1 - b + b * d / mean d)), f the weighted count of the
     phrase in the row, idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6.
     """
-    own = list(dict.fromkeys(phrases(q)))
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("col"))
-    hits = [phrase_hits(post, p).select("id", weight.alias("w"), F.lit(i).alias("q")) for i, p in enumerate(own)]
-    f = reduce(DataFrame.unionByName, hits).groupBy("id", "q").agg(F.sum("w").alias("f"))
-    n = f.groupBy("q").agg(F.count("*").cast("double").alias("n"))  # one row per phrase
+    f, index = _per_row(post, q, weights)
+    scored = F.col("q").isin(sorted({index[p] for p in phrases(q)}))
+    n = f.where(scored).groupBy("q").agg(F.count("*").cast("double").alias("n"))  # one row per phrase
     corpus = length.agg(F.count("*").cast("double").alias("corpus_rows"), F.avg("d").alias("mean"))
     idf = F.log((F.col("corpus_rows") - F.col("n") + F.lit(0.5)) / (F.col("n") + F.lit(0.5)))
     scale = n.crossJoin(F.broadcast(corpus)).select("q", "mean", F.when(idf <= 0, F.lit(MIN_IDF)).otherwise(idf).alias("idf"))
-    kept = f.join(matching(post, q), "id", "left_semi").join(F.broadcast(scale), "q").join(length, "id")
+    # a row has at most as many entries as the query has phrases
+    rows = f.groupBy("id").agg(F.collect_list(F.struct("q", "f")).alias("held")).where(_holds(q, index, F.col("held.q")))
+    kept = rows.select("id", F.explode("held").alias("h")).select("id", "h.*").where(scored).join(F.broadcast(scale), "q").join(length, "id")
     part = F.col("idf") * F.col("f") * F.lit(K1 + 1) / (F.col("f") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("d") / F.col("mean")))
     return kept.groupBy("id").agg((-F.sum(part)).alias("rank"))
 

@@ -18,6 +18,7 @@ from codequarry.operators.store import Store
 from codequarry.schema import RANKS
 from codequarry.sources.files import changed_files, glob_regex
 
+#: Definitions that an answer lists; its counts and its decision are over all of them.
 MAX_MATCHES = 200
 
 
@@ -35,14 +36,17 @@ def _clamp(x: int | None, lo: int, hi: int, default: int) -> int:
     return default if x is None else max(lo, min(hi, x))
 
 
-def _pick(matches: list[dict]) -> dict:
-    """The decision among exact matches: none partial, one or a unique best definitive, else ambiguous."""
+def _pick(matches: list[dict], equal: int | None = None) -> dict:
+    """The decision among exact matches: none partial, one or a unique best definitive, else ambiguous.
+
+    ``equal``: how many have the best priority, where the list does not hold all of them.
+    """
     if not matches:
         return {"answer_status": "partial", "recommended_next_action": "call_query_codebase", "canonical": None}
     best = min(m["priority"] for m in matches)
     top = [m for m in matches if m["priority"] == best]
     if len(top) > 1:
-        return {"answer_status": "ambiguous", "recommended_next_action": "narrow_scope", "ambiguous": True, "canonical": None, "ambiguity_reason": f"{len(top)} definitions of equal standing"}
+        return {"answer_status": "ambiguous", "recommended_next_action": "narrow_scope", "ambiguous": True, "canonical": None, "ambiguity_reason": f"{equal or len(top)} definitions of equal standing"}
     out = {"answer_status": "definitive", "recommended_next_action": "answer_now", "canonical": top[0]}
     if len(matches) > 1:
         out |= {"overloaded": True, "secondary_matches": [m for m in matches if m is not top[0]], "disambiguation_reason": "a type outranks a function, a function a method"}
@@ -59,8 +63,10 @@ def get_definition(store: Store, symbol: str) -> dict:
     hits = _definitions(store).where(fn.equal_fold(F.col("name"), F.lit(symbol)))
     kind = F.col("kind")
     rows = hits.select("name", "kind", fn.label(kind).alias("label"), fn.priority(kind).alias("priority"), F.col("file_path").alias("file"), F.col("start_line").alias("line"))
+    counts = dict(sorted(rows.groupBy("priority").agg(F.count("*")).collect()))  # at most one row for each priority
     matches = [r.asDict() for r in rows.orderBy("priority", "file", "line").limit(MAX_MATCHES).collect()]
-    out = {"matches": matches, "total": len(matches)} | _pick(matches)
+    total, equal = sum(counts.values()), next(iter(counts.values()), 0)
+    out = {"matches": matches, "total": total, "truncated": total > len(matches)} | _pick(matches, equal)
     if c := out["canonical"]:
         out["answer"] = f"{c['name']} ({c['label']}) is defined at {c['file']}:{c['line']}"
     return out | {"staleness": store.health()}
@@ -76,8 +82,8 @@ _CORPORA = {
 def _search(store: Store, corpus: str, q: search.Query, limit: int, file_filter: str | None) -> list[dict]:
     table, weights, body = _CORPORA[corpus]
     rows = store.table(table)
-    columns = list(weights)
-    scored = search.bm25(search.postings(rows, columns), search.lengths(rows, columns), q, weights)
+    own = F.col("corpus") == table
+    scored = search.bm25(store.table("postings").where(own), store.table("lengths").where(own), q, weights)
     if file_filter:
         path = F.col("file_path") if "/" in file_filter else F.substring_index("file_path", "/", -1)
         scored = scored.join(rows.where(path.rlike(f"^{glob_regex(file_filter)}$")).select("id"), "id", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-SCHEMA_VERSION = "9"
+SCHEMA_VERSION = "10"
 
 FUNCTIONS = (
     "id long, name string, name_parts string, file_path string, start_line int, end_line int, language string, exported boolean, "
@@ -20,6 +20,9 @@ STRUCT_FIELDS = "struct_type string, field_name string, field_type string, packa
 PACKAGE_VARS = "name string, var_type string, package string, file_path string"
 CLASS_BASES = "class_name string, base_name string, ord int, package string, file_path string"
 DOCUMENTS = "id long, file_path string, title string, kind string, content string"
+#: The search index: every token of the searched columns, and the tokens of each row.
+POSTINGS = "corpus string, term string, id long, col string, pos int, file_path string"
+LENGTHS = "corpus string, id long, d long, file_path string"
 INDEX_ERRORS = "file_path string, error string, ts timestamp"
 META = "key string, value string"
 CHANGES = "file_path string, change_type string, ts timestamp"
@@ -27,7 +30,7 @@ FILES = "path string, content binary, length long, modified timestamp"
 
 TABLES = {
     "functions": FUNCTIONS, "call_sites": CALL_SITES, "calls": CALLS, "types": TYPES, "imports": IMPORTS, "struct_fields": STRUCT_FIELDS,
-    "package_vars": PACKAGE_VARS, "class_bases": CLASS_BASES, "documents": DOCUMENTS, "index_errors": INDEX_ERRORS, "meta": META, "changes": CHANGES,
+    "package_vars": PACKAGE_VARS, "class_bases": CLASS_BASES, "documents": DOCUMENTS, "postings": POSTINGS, "lengths": LENGTHS, "index_errors": INDEX_ERRORS, "meta": META, "changes": CHANGES,
 }
 
 # Resolution markers, and the confidence ranks that queries can ask for.
@@ -69,14 +72,18 @@ IGNORED_DIRS = [
 
 # Names that are part of each language.
 BUILTINS = {
-    "go": "make len cap append copy delete new panic recover close print println complex real imag min max clear".split(),
-    "typescript": (
-        "require parseInt parseFloat isNaN isFinite encodeURIComponent decodeURIComponent setTimeout setInterval clearTimeout clearInterval "
-        "fetch structuredClone queueMicrotask"
-    ).split(),
-    "python": (
-        "print len range enumerate zip map filter sorted reversed sum min max abs open isinstance issubclass getattr setattr hasattr str int "
-        "float bool list dict set tuple type super format repr hash iter next"
-    ).split(),
-}
+    "go": [
+        "make", "len", "cap", "append", "copy", "delete", "new", "panic", "recover", "close", "print", "println", "complex",
+        "real", "imag", "min", "max", "clear",
+    ],
+    "typescript": [
+        "require", "parseInt", "parseFloat", "isNaN", "isFinite", "encodeURIComponent", "decodeURIComponent", "setTimeout",
+        "setInterval", "clearTimeout", "clearInterval", "fetch", "structuredClone", "queueMicrotask",
+    ],
+    "python": [
+        "print", "len", "range", "enumerate", "zip", "map", "filter", "sorted", "reversed", "sum", "min", "max", "abs", "open",
+        "isinstance", "issubclass", "getattr", "setattr", "hasattr", "str", "int", "float", "bool", "list", "dict", "set",
+        "tuple", "type", "super", "format", "repr", "hash", "iter", "next",
+    ],
+}
 BUILTINS["tsx"] = BUILTINS["typescript"]

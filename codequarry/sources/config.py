@@ -20,8 +20,8 @@ class Config:
     maxFileSize: int = 0  # noqa: N815
 
     @property
-    def debounce(self) -> str:
-        return f"{self.watchDebounceMs if self.watchDebounceMs > 0 else DEBOUNCE_MS} milliseconds"
+    def debounce_ms(self) -> int:
+        return self.watchDebounceMs if self.watchDebounceMs > 0 else DEBOUNCE_MS
 
     def options(self) -> ScanOptions:
         return ScanOptions(self.include, self.exclude, self.languages, self.maxFileSize if self.maxFileSize > 0 else MAX_FILE_SIZE)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,18 +54,28 @@ class ScanOptions:
         return sorted({e for n in self.languages for e in ALIASES.get(n.strip().lower(), [])}) or list(EXTENSIONS)
 
 
-def load_ignore(root: str) -> list[str]:
-    """Ignore lines of the root and, prefixed, of each first-level folder."""
-    found: list[str] = []
-    base = Path(root)
-    for name in (".gitignore", ".contextignore", ".quarry/ignore"):
-        if (base / name).is_file():
-            found += (base / name).read_text(errors="replace").splitlines()
-    for sub in sorted(p for p in base.iterdir() if p.is_dir()) if base.is_dir() else []:
-        if (sub / ".gitignore").is_file():
-            for line in (sub / ".gitignore").read_text(errors="replace").splitlines():
-                if line.strip() and not line.startswith(("#", "!")):
-                    found.append(f"{sub.name}/{line.strip().lstrip('/')}")
+def load_ignore(spark: SparkSession, root: str) -> list[str]:
+    """Ignore lines of the root and, prefixed, of each first-level folder; read through Hadoop, so any scheme will do."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    base = hadoop(root if "://" in root else f"file://{os.path.abspath(root)}")
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def lines(*parts: str) -> list[str]:
+        path = base
+        for p in parts:
+            path = hadoop(path, p)
+        if not fs.isFile(path):
+            return []
+        stream = fs.open(path)
+        try:
+            return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+        finally:
+            stream.close()
+
+    found = [line for parts in ((".gitignore",), (".contextignore",), (".quarry", "ignore")) for line in lines(*parts)]
+    folders = [s.getPath().getName() for s in fs.listStatus(base) if s.isDirectory()] if fs.exists(base) else []
+    for name in sorted(folders):
+        found += [f"{name}/{x.strip().lstrip('/')}" for x in lines(name, ".gitignore") if x.strip() and not x.startswith(("#", "!"))]
     return found
 
 
@@ -95,27 +105,34 @@ def doc_kind(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str, options: ScanOptions | None = None, ignore: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
-    """path (relative), content, length, modified of the files to index; paths and sizes are judged before contents are read.
+    """path (relative), content, length, modified of the files to index.
 
-    With ``only`` (relative paths, a bounded list) just these are looked up, and the tree isn't listed.
+    Paths and sizes are judged on a listing without contents; then only the wanted files are read.  (Spark lists a tree on
+    the driver in any case, so the names of its files fit there.)  With ``only`` (relative paths, a bounded list) just these
+    are looked up, and the tree isn't listed.
     """
     options = options or ScanOptions()
-    ignore = load_ignore(root) if ignore is None and "://" not in root else ignore or []
+    ignore = load_ignore(spark, root) if ignore is None else ignore
     base = root.rstrip("/") + "/"
     reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
     if only is None:
-        raw = reader.option("recursiveFileLookup", "true").load(base)
+        listed = reader.option("recursiveFileLookup", "true").load(base).where(F.col("length") <= options.max_file_size)
+        there = [r[0] for r in _wanted(listed, base, options, ignore, "path AS full").select("full").collect()]
     else:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
         fs = hadoop(base).getFileSystem(spark._jsc.hadoopConfiguration())
         there = [base + p for p in only if fs.isFile(hadoop(base + p))]
-        if not there:
-            return spark.createDataFrame([], FILES)
-        raw = reader.load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in there])
-    raw = raw.where(F.col("length") <= options.max_file_size)
+    if not there:
+        return spark.createDataFrame([], FILES)
+    raw = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in there])
+    return _wanted(raw.where(F.col("length") <= options.max_file_size), base, options, ignore, "content", "length", "modificationTime AS modified")
+
+
+def _wanted(raw: DataFrame, base: str, options: ScanOptions, ignore: list[str], *columns: str) -> DataFrame:
+    """The relative path and other columns of the files that are to be indexed."""
     plain = base.split("://", 1)[-1]
     relative = F.expr("substr(path, instr(path, %s) + %d)" % ("'" + plain.replace("'", "\\'") + "'", len(plain)))
-    files = raw.select(relative.alias("path"), "content", "length", F.col("modificationTime").alias("modified"))
+    files = raw.select(relative.alias("_relative"), *map(F.expr, columns)).withColumnRenamed("_relative", "path")
     code = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(options.extensions())
     return files.where(wanted(F.col("path"), options, ignore) & (code | doc_kind(F.col("path")).isNotNull()))
 

@@ -12,13 +12,15 @@ FULL, UPSERT, DELETE = "full", "upsert", "delete"
 
 
 def relevant(events: DataFrame) -> DataFrame:
-    """Events (path, op, ts) on files that the engine indexes, and the control file as a full rebuild."""
+    """Events (path, op, ts) on files that the engine indexes, and the control file as a full rebuild; its removal is no event."""
     parts = F.split("path", "/")
     name, ext = F.element_at(parts, -1), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     known = ext.isin(list(EXTENSIONS) + list(DOCUMENT_KINDS)) | (name == "Dockerfile") | name.startswith("Dockerfile.")
     ignored = F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED_DIRS))) | name.isin(LOCK_FILES) | name.contains(".min.")
-    full = (name == CONTROL_FILE) | (F.col("op") == FULL)
-    return events.where(full | (known & ~ignored)).withColumn("op", F.when(full, FULL).when(F.col("op").isin("remove", "rename", DELETE), DELETE).otherwise(UPSERT))
+    gone = F.col("op").isin("remove", "rename", DELETE)
+    control = F.coalesce(name == CONTROL_FILE, F.lit(False))
+    full = (control & ~gone) | (F.col("op") == FULL)
+    return events.where(full | (known & ~ignored & ~control)).withColumn("op", F.when(full, FULL).when(gone, DELETE).otherwise(UPSERT))
 
 
 def debounce(events: DataFrame, keys: list[str], gap: str = "500 milliseconds", ts: str = "ts") -> DataFrame:

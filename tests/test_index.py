@@ -323,7 +323,7 @@ def test_incremental_equals_full(spark, tmp_path):
         full = Store(spark, f"file://{tmp_path}/full-{next(number)}")
         full.index(str(root))
         assert edges(live) == edges(full)
-        for t in ("functions", "types", "call_sites"):
+        for t in ("functions", "types", "call_sites", "postings", "lengths"):
             a, b = live.table(t), full.table(t)
             assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
     want = edges(live)
@@ -373,7 +373,7 @@ def test_artifacts_and_benchmark(spark, store, tree, tmp_path):
 def test_config(tmp_path):
     from codequarry.sources import config
 
-    assert config.load(str(tmp_path)).debounce == "500 milliseconds"
+    assert config.load(str(tmp_path)).debounce_ms == 500
     (tmp_path / ".quarry").mkdir()
     (tmp_path / ".quarry/config.json").write_text('{"languages": ["golang"], "exclude": "no list", "maxFileSize": 5}')
     c = config.load(str(tmp_path))
@@ -394,3 +394,108 @@ def test_evaluation_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"id": "s", "task_prompt": ["a", "b"], "ground_truth": {"x": 1}, "context_files": ["a.go", "b.zig"], "task_category": "c"}))
     s = evaluation.scenarios(spark, f"{tmp_path}/s.json").first()
     assert s.task_prompt == "a\nb" and json.loads(s.ground_truth) == {"x": 1}
+
+
+def test_manifests_swap_whole_and_old_ones_go(spark, tmp_path):
+    from codequarry.operators.store import KEEP, ConcurrentUpdate
+
+    root = tmp_path / "src"
+    plant(root, {"a.py": "def one():\n    return 1\n"})
+    a, b = (Store(spark, f"file://{tmp_path}/store") for _ in range(2))
+    assert a.table("functions").isEmpty()
+    a.index(str(root))
+    held = b.manifest()
+    for i in range(KEEP + 1):
+        plant(root, {"a.py": f"def one{i}():\n    return 1\n"})
+        a.apply(spark.createDataFrame([("a.py", "upsert")], "path string, op string"), str(root))
+        if i == 0:  # a reader of the state before still finds it whole
+            assert [r.name for r in b.table("functions", held).collect()] == ["one"]
+    assert a._numbers() == list(range(3, KEEP + 3))
+    with pytest.raises(ConcurrentUpdate):
+        b._flip(held, held["n"] + 1)
+    assert [r.name for r in b.table("functions").collect()] == [f"one{KEEP}"] and not list((tmp_path / "store/manifests").glob("*.temp"))
+    a.compact()
+    a.compact()
+    a.compact()
+    named = {layer["path"] for n in a._numbers() for layers in a._read(n)["tables"].values() for layer in layers}
+    on_disk = {f"file://{p}" for p in (tmp_path / "store/data").glob("functions/*")}
+    assert on_disk <= named
+
+
+def test_another_schema_version_is_built_anew(spark, tmp_path):
+    root = tmp_path / "src"
+    plant(root, {"a.py": "def one():\n    return 1\n", "b.py": "def two():\n    return 1\n"})
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.index(str(root))
+    now = store.manifest()
+    store._flip({"tables": now["tables"], "meta": now["meta"] | {"schema_version": "1"}}, now["n"])
+    plant(root, {"b.py": "def three():\n    return 1\n"})
+    store.apply(spark.createDataFrame([("a.py", "upsert")], "path string, op string"), str(root))
+    assert {r.name for r in store.table("functions").collect()} == {"one", "three"} and store.health()["schema_version"] != "1"
+
+
+def test_more_changes_than_a_layer_lists(spark, tmp_path, monkeypatch):
+    from codequarry.operators import store as module
+
+    monkeypatch.setattr(module, "MAX_CHANGED", 1)
+    root = tmp_path / "src"
+    plant(root, {"a.py": "def one():\n    return 1\n", "b.py": "def two():\n    return 1\n"})
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.apply(spark.createDataFrame([("a.py", "upsert"), ("b.py", "upsert")], "path string, op string"), str(root))
+    assert {r.name for r in store.table("functions").collect()} == {"one", "two"}
+
+
+def test_ignore_files_of_any_scheme_and_contents_of_wanted_files_only(spark, tmp_path):
+    plant(tmp_path, {"a.py": "x = 1\n", "gen/b.py": "x = 1\n", "sub/c.py": "x = 1\n", "sub/d.py": "x = 1\n", "node_modules/e.py": "x = 1\n", ".gitignore": "gen/\n", "sub/.gitignore": "d.py\n"})
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        files = scan(spark, path)
+        assert {r.path for r in files.collect()} == {"a.py", "sub/c.py"}
+        # the files that are opened at all
+        assert len(files.inputFiles()) == 2
+
+
+def test_a_search_reads_postings_once(spark, store):
+    from codequarry.operators import search
+
+    post, length = (store.table(t).where("corpus = 'functions'") for t in ("postings", "lengths"))
+    q = search.parse_query('name:engine OR "new engine" OR stop* NOT zzz', list(search.FUNCTION_COLUMNS))
+    plan = search.bm25(post, length, q, search.FUNCTION_COLUMNS)._jdf.queryExecution().optimizedPlan().toString()
+    # the same subplan for scores and for the numbers of rows, whatever the phrases, and the lengths
+    assert plan.count("Relation [corpus") <= 4
+    assert search.bm25(post, length, q, search.FUNCTION_COLUMNS).count() > 0
+
+
+def test_search_index_is_rebuilt_from_the_tables(spark, tmp_path):
+    root = tmp_path / "src"
+    plant(root, GO)
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.index(str(root))
+    before = store.table("postings").collect()
+    store.rebuild_search()
+    assert sorted(map(str, store.table("postings").collect())) == sorted(map(str, before)) and len(before) > 100
+
+
+def test_totals_beyond_what_is_listed(spark, tmp_path, monkeypatch):
+    root = tmp_path / "src"
+    plant(root, {f"p{i}/a.py": "def same():\n    return 1\n" for i in range(5)})
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.index(str(root))
+    monkeypatch.setattr(api, "MAX_MATCHES", 2)
+    d = api.get_definition(store, "same")
+    assert (d["total"], len(d["matches"]), d["truncated"], d["answer_status"]) == (5, 2, True, "ambiguous") and d["ambiguity_reason"].startswith("5 ")
+
+
+def test_command_line_options(store, monkeypatch, capsys):
+    import codequarry.__main__ as cli
+
+    seen = {}
+    for name in ("query_codebase", "get_call_chain", "get_impact"):
+        monkeypatch.setattr(api, name, lambda s, *a, name=name: seen.update({name: a}) or {})
+    base = ["--store", store.path]
+    cli.main([*base, "query", "new engine", "--limit", "7", "--scope", "types", "--file-filter", "*.go"])
+    cli.main([*base, "calls", "Stop", "--direction", "callees", "--depth", "3", "--min-confidence", "same-file", "--max-results", "9"])
+    cli.main([*base, "impact", "--from-git", "HEAD~1", "--root", "/x", "--depth", "1", "--no-tests"])
+    assert seen == {
+        "query_codebase": ("new engine", 7, "types", "*.go"), "get_call_chain": ("Stop", "callees", 3, "same-file", 9),
+        "get_impact": (None, "HEAD~1", "/x", 1, "callers", False, None),
+    }

@@ -165,7 +165,7 @@ def test_text_search_sources(spark):
 
 
 def test_changes(spark):
-    rows = [("a.go", "write", 0), ("node_modules/b.go", "write", 0), ("c.bin", "write", 0), ("d.py", "remove", 1), ("x/.reindex-queue", "create", 2), ("Dockerfile", "create", 3)]
+    rows = [("a.go", "write", 0), ("node_modules/b.go", "write", 0), ("c.bin", "write", 0), ("d.py", "remove", 1), ("x/.reindex-queue", "create", 2), (".reindex-queue", "remove", 3), ("Dockerfile", "create", 3)]
     ev = spark.createDataFrame(rows, "path string, op string, s int").withColumn("ts", F.timestamp_seconds("s"))
     assert {(r.path, r.op) for r in changes.relevant(ev).collect()} == {("a.go", "upsert"), ("d.py", "delete"), ("x/.reindex-queue", "full"), ("Dockerfile", "upsert")}
     before = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "path string, modified int")
@@ -207,6 +207,37 @@ def test_maintained_index(spark, tmp_path):
     assert store.table("changes").isEmpty() and store.health()["healthy"]
 
 
+def until(done, seconds=120):
+    import time
+
+    end = time.time() + seconds
+    while not done():
+        assert time.time() < end
+        time.sleep(0.5)
+
+
+def test_a_burst_is_one_change(spark, tmp_path):
+    """Events of a path that follow each other within the gap come out as one, with the last op; also the very last burst."""
+    import time
+
+    from codequarry.streaming.maintain import quiet
+
+    (tmp_path / "in").mkdir()
+    seen = []
+    stream = quiet(change_stream(spark, f"{tmp_path}/in"), 3000).writeStream.foreachBatch(lambda b, i: seen.extend(tuple(r)[:2] for r in b.collect()))
+    q = stream.option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="200 milliseconds").start()
+    try:
+        for i, (path, op) in enumerate([("a.go", "write"), ("b.go", "write"), ("a.go", "write"), ("b.go", "remove"), ("x.bin", "write")]):
+            (tmp_path / f"in/.{i}").write_text(json.dumps({"path": path, "op": op, "ts": f"2024-01-01T00:00:0{i}Z"}))
+            (tmp_path / f"in/.{i}").rename(tmp_path / f"in/{i}.json")
+            time.sleep(0.3)
+        until(lambda: len(seen) >= 2)
+        time.sleep(1)
+    finally:
+        q.stop()
+    assert sorted(seen) == [("a.go", "upsert"), ("b.go", "delete")]
+
+
 def test_tree_source(spark, tmp_path):
     from codequarry.streaming.tree_source import TreeReader, tree_changes
 
@@ -225,11 +256,16 @@ def test_tree_source(spark, tmp_path):
     assert [r[:2] for r in rows] == want == [r[:2] for r in reader.readBetweenOffsets(first, second)]
     store = Store(spark, f"file://{tmp_path}/store")
     store.index(str(src))
-    q = maintain(store, tree_changes(spark, str(src), f"{tmp_path}/q"), str(src), f"{tmp_path}/ck", max_incremental=1)
+    q = maintain(store, tree_changes(spark, str(src), f"{tmp_path}/q"), str(src), f"{tmp_path}/ck")
     try:
-        q.processAllAvailable()
         (src / "c.py").write_text("def three():\n    pass\n")
-        q.processAllAvailable()
+        until(lambda: {r.name for r in store.table("functions").collect()} == {"three"})
+        (src / ".reindex-queue").write_text("")
+        until(lambda: not (src / ".reindex-queue").exists())
+        n = store.manifest()["n"]
+        (src / "c.py").unlink()
+        until(lambda: store.table("functions").isEmpty())
     finally:
         q.stop()
-    assert {r.name for r in store.table("functions").collect()} == {"three"}
+    # the control file asked for one rebuild, and its removal for none
+    assert store.manifest()["n"] == n + 1
