@@ -59,14 +59,34 @@ def skilled_windows(files: DataFrame, terms: list[str], radius: int = 20, path:
 
 
 def enclosing_function(lines: DataFrame, hits: DataFrame) -> DataFrame:
-    """The ``def`` line above each hit that is indented less than it: (path, line) -> name."""
-    is_def = lines.where(F.col("text").rlike(r"^\s*(async\s+)?def\s+\w+")).select(
-        "path", F.col("line").alias("def_line"), F.length(F.regexp_extract("text", r"^(\s*)", 1)).alias("def_indent"),
-        F.regexp_extract("text", r"def\s+(\w+)", 1).alias("name"),
-    )
-    own = hits.select("path", "line", F.length(F.regexp_extract("text", r"^(\s*)", 1)).alias("indent"))
-    above = own.join(is_def, "path").where("def_line < line AND def_indent < indent")
-    return above.groupBy("path", "line").agg(F.max_by("name", "def_line").alias("name"))
+    """The nearest ``def`` line above each hit that is indented less than it: (path, line) -> name.
+
+    One walk down each file over its ``def`` lines and hits; a ``def`` that a later one of the same or less indentation
+    follows can enclose nothing more and leaves the stack.
+    """
+    indent = F.length(F.regexp_extract("text", r"^(\s*)", 1)).alias("indent")
+    is_def = F.col("text").rlike(r"^\s*(async\s+)?def\s+\w+")
+    defs = lines.where(is_def).select("path", "line", indent, F.regexp_extract("text", r"def\s+(\w+)", 1).alias("name"))
+    both = hits.select("path", "line", indent, F.lit(None).cast("string").alias("name")).distinct().unionByName(defs)
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        stack: list[tuple[int, str]] = []
+        out = []
+        # hits of a line come before its own definition
+        rows = rows.assign(is_def=rows["name"].notna()).sort_values(["line", "is_def"])
+        for line, depth, name, defines in zip(rows["line"], rows["indent"], rows["name"], rows["is_def"], strict=True):
+            if defines:
+                while stack and stack[-1][0] >= depth:
+                    stack.pop()
+                stack.append((depth, name))
+            else:
+                found = next((n for d, n in reversed(stack) if d < depth), None)
+                if found is not None:
+                    out.append((rows["path"].iloc[0], line, found))
+        return pd.DataFrame(out, columns=["path", "line", "name"])
+
+    kind = dict(hits.dtypes)["line"]
+    return both.groupBy("path").applyInPandas(walk, f"path string, line {kind}, name string")
 
 
 # ------------------------------------------------------------------------------------------------------ scoring
@@ -138,24 +158,109 @@ def cliffs_delta(pairs: DataFrame, delta: str = "delta") -> DataFrame:
 
 
 def median_delta(pairs: DataFrame, delta: str = "delta") -> DataFrame:
-    return pairs.agg(F.percentile(delta, 0.5).alias("median_delta"))
+    """The exact median (of an even number the middle two's mean), by running counts of values: no task holds them all."""
+    by = pairs.where(F.col(delta).isNotNull()).groupBy(F.col(delta).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    ranked = _running(by, "v", "c")
+    total = by.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))  # one row
+    lo, hi = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    holds = lambda k: F.col("before").cast("long").between(k - F.col("c") + 1, k)  # noqa: E731  the k-th value (from 0) is this one
+    middle = ranked.crossJoin(F.broadcast(total)).where(holds(lo) | holds(hi))
+    return middle.agg(((F.min("v") + F.max("v")) / 2).alias("median_delta"))
 
 
 def sign_test(pairs: DataFrame, delta: str = "delta") -> DataFrame:
     return pairs.agg(F.count_if(F.col(delta) > 0).alias("wins"), F.count_if(F.col(delta) < 0).alias("losses"), F.count_if(F.col(delta) == 0).alias("ties"))
 
 
-def bootstrap_ci(deltas: list[float], iterations: int = 2000, level: float = 0.95, seed: int = 1, spark=None) -> DataFrame:  # noqa: ANN001
-    """Percentile bootstrap interval of the median of a bounded list of paired deltas; iterations are dealt over tasks, each with its own stream."""
+_PCG = 6364136223846793005  # fixed value: the generator's multiplier
+
+
+def _pcg_jump(state: int, inc: int, steps: int) -> int:
+    """The generator's state ``steps`` further on."""
+    power = pow(_PCG, steps, (_PCG - 1) << 64)
+    return (state * power + inc * ((power - 1) // (_PCG - 1))) % (1 << 64)
+
+
+def pcg_draws(seed: int, skip: int, n: int) -> np.ndarray:
+    """Outputs ``skip`` to ``skip + n`` of the published 32-bit permuted congruential generator."""
+    inc = (seed << 1 | 1) % (1 << 64)
+    start = _pcg_jump((_pcg_jump(0, inc, 1) + seed) % (1 << 64), inc, 1 + skip)
+    powers = np.full(n, _PCG, dtype=np.uint64)
+    powers[:1] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    sums = np.cumsum(powers, dtype=np.uint64) - powers
+    s = np.uint64(start) * powers + np.uint64(inc) * sums
+    x = (((s >> np.uint64(18)) ^ s) >> np.uint64(27)).astype(np.uint32)
+    rot = (s >> np.uint64(59)).astype(np.uint32)
+    return (x >> rot) | (x << ((np.uint32(32) - rot) & np.uint32(31)))
+
+
+def bootstrap_ci(deltas: list[float], iterations: int = 10_000, level: float = 0.95, seed: int = 1, spark=None) -> DataFrame:  # noqa: ANN001
+    """Percentile bootstrap interval of the median of a bounded list of paired deltas; one row, zeros for an empty list.
+
+    All iterations draw from one stream of numbers; a task jumps to where its iterations begin.  The bounds are the sorted
+    medians at positions iterations * (1 - level) / 2 and iterations * (1 + level) / 2, cut to whole numbers.
+    """
+    n = len(deltas)
+    if not n:
+        return spark.createDataFrame([(0.0, 0.0)], "low double, high double")
 
     def run(batches):  # noqa: ANN001, ANN202
         x = np.asarray(deltas, dtype=float)
         for b in batches:
-            yield pd.DataFrame({"m": [float(np.median(np.random.Generator(np.random.PCG64([seed, int(i)])).choice(x, len(x)))) for i in b["id"]]})
+            yield pd.DataFrame({"m": [float(np.median(x[pcg_draws(seed, int(i) * n, n) % np.uint32(n)])) for i in b["id"]]})
+
+    alpha = 1 - level
+    lo, hi = int(alpha / 2 * iterations), min(int((1 - alpha / 2) * iterations), iterations - 1)
+    medians = spark.range(iterations).mapInPandas(run, "m double").agg(F.sort_array(F.collect_list("m")).alias("m"))  # one number for each iteration
+    return medians.select(F.element_at("m", lo + 1).alias("low"), F.element_at("m", hi + 1).alias("high"))
+
 
-    medians = spark.range(iterations).mapInPandas(run, "m double")
-    lo = (1 - level) / 2
-    return medians.agg(F.percentile("m", lo).alias("low"), F.percentile("m", 1 - lo).alias("high"))
+# ------------------------------------------------------------------------------------------------------ grading
+
+
+def retrieval_score(answers: DataFrame) -> DataFrame:
+    """Adds lead_file, lead_correct, matched, precision, recall, f1 to answers (paths: files in the order they are named; expected: files).
+
+    Paths match if one is a suffix of the other at a folder boundary.  Precision counts named files that match some expected
+    one, recall expected files that some named one matches; without expected files all are 0.
+    """
+    named, gold = F.coalesce("paths", F.array().cast("array<string>")), F.coalesce("expected", F.array().cast("array<string>"))
+    some = F.size(gold) > 0
+    hits = F.filter(named, lambda p: F.exists(gold, lambda g: paths_match(p, g)))
+    matched = F.filter(gold, lambda g: F.exists(named, lambda p: paths_match(p, g)))
+    out = answers.withColumn("lead_file", F.when(some & (F.size(named) > 0), F.element_at(named, 1)))
+    out = out.withColumn("lead_correct", F.coalesce(F.exists(gold, lambda g: paths_match(F.col("lead_file"), g)), F.lit(False))).withColumn("matched", matched)
+    out = out.withColumn("precision", F.when(some & (F.size(named) > 0), F.size(hits) / F.size(named)).otherwise(0.0))
+    out = out.withColumn("recall", F.when(some, F.size("matched") / F.size(gold)).otherwise(0.0))
+    p, r = F.col("precision"), F.col("recall")
+    return out.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
+
+
+def symbol_recall(answers: DataFrame) -> DataFrame:
+    """Adds matched, missed, recall to answers (answer, expected: symbols): which symbols the text names, letter case aside."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all("answer", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), F.lower))
+    named = F.coalesce(words, F.array().cast("array<string>"))
+    gold = F.coalesce("expected", F.array().cast("array<string>"))
+    out = answers.withColumn("matched", F.filter(gold, lambda g: F.array_contains(named, F.lower(g))))
+    out = out.withColumn("missed", F.filter(gold, lambda g: ~F.array_contains(named, F.lower(g))))
+    return out.withColumn("recall", F.when(F.size(gold) > 0, F.size("matched") / F.size(gold)).otherwise(0.0))
+
+
+def arm_scores(results: DataFrame) -> DataFrame:
+    """Adds found, missed (sorted), recall, precision to results (task_id, arm, predicted, expected): names match exactly, blank ones don't count."""
+    clean = F.array_sort(F.array_distinct(F.filter(F.transform("predicted", lambda x: F.trim(x)), lambda x: x != "")))
+    out = results.withColumn("predicted", F.coalesce(clean, F.array().cast("array<string>")))
+    out = out.withColumn("found", F.array_sort(F.filter("expected", lambda g: F.array_contains("predicted", g))))
+    out = out.withColumn("missed", F.array_sort(F.filter("expected", lambda g: ~F.array_contains("predicted", g))))
+    hits = F.size(F.array_intersect("predicted", "expected"))
+    out = out.withColumn("recall", F.when(F.size("expected") > 0, F.size("found") / F.size("expected")).otherwise(0.0))
+    return out.withColumn("precision", F.when(F.size("predicted") > 0, hits / F.size("predicted")).otherwise(0.0))
+
+
+def arm_totals(runs: DataFrame, arm: str, done: Column, value: str) -> DataFrame:
+    """arm, runs, completed and the mean of a value."""
+    return runs.groupBy(F.col(arm).alias("arm")).agg(F.count("*").alias("runs"), F.count_if(done).alias("completed"), F.avg(value).alias("mean"))
 
 
 def paired(runs: DataFrame, key: str, arm: str, value: str, arms: tuple[str, str]) -> DataFrame:

@@ -38,14 +38,14 @@ def run(files: DataFrame, questions: list[dict], call: Callable[[str, dict], obj
             if not answer:
                 raise ValueError(f"{q['id']}: {q['mc_tool']} gave an empty answer")
             out.append({
-                "id": q["id"], "text": q["text"], "category": q["category"], "mc_tokens": own, "naive_tokens": naive, "skilled_tokens": skilled,
+                "id": q["id"], "text": q["text"], "category": q["category"], "answer_tokens": own, "naive_tokens": naive, "skilled_tokens": skilled,
                 "naive_ratio": naive // own, "skilled_ratio": skilled // own,
             })
     finally:
         plain.unpersist()
     n = len(out) or 1
-    mean = {k: sum(q[f"{k}_tokens"] for q in out) / n for k in ("mc", "naive", "skilled")}
-    ratio = {f"{k}_savings_x": mean[k] / mean["mc"] if mean["mc"] else 0.0 for k in ("naive", "skilled")}
+    mean = {k: sum(q[f"{k}_tokens"] for q in out) / n for k in ("answer", "naive", "skilled")}
+    ratio = {f"{k}_savings_x": mean[k] / mean["answer"] if mean["answer"] else 0.0 for k in ("naive", "skilled")}
     return {"repo": repo, "questions": out, "summary": {"question_count": len(out)} | {f"avg_{k}": v for k, v in mean.items()} | ratio}
 
 
@@ -53,7 +53,7 @@ def markdown(result: dict) -> str:
     s = result["summary"]
     lines = [f"# Benchmark: {result['repo']}", "", f"{s['question_count']} questions; {s['naive_savings_x']:.1f}x fewer tokens than whole files, {s['skilled_savings_x']:.1f}x than windows.", ""]
     lines += ["| id | category | answer | whole files | windows |", "| --- | --- | --- | --- | --- |"]
-    lines += [f"| {q['id']} | {q['category']} | {q['mc_tokens']} | {q['naive_tokens']} | {q['skilled_tokens']} |" for q in result["questions"]]
+    lines += [f"| {q['id']} | {q['category']} | {q['answer_tokens']} | {q['naive_tokens']} | {q['skilled_tokens']} |" for q in result["questions"]]
     return "\n".join(lines) + "\n"
 
 

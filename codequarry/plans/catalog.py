@@ -469,13 +469,12 @@ c AS (SELECT source, len(list_intersect(coalesce(want, []), coalesce(found, []))
 p AS (SELECT source, CASE WHEN f > 0 THEN b / f ELSE 0.0 END AS precision, CASE WHEN w > 0 THEN b / w ELSE 0.0 END AS recall FROM c)
 SELECT source, round(precision, 9) AS precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f1 FROM p""")
 def _prf1(spark: SparkSession, d: str) -> DataFrame:
-    # sizes are counted instead of collected: the sets of a source grow with the corpus
     j = table(spark, d, "documents").select("doc_id", "source", "n_chars").join(table(spark, d, "labels"), "doc_id")
-    j = j.groupBy("source", "doc_id").agg(F.max(F.col("toxic") == 1).alias("want"), F.max(F.col("n_chars") > 2000).alias("found"))
-    c = j.groupBy("source").agg(F.count_if(F.col("want") & F.col("found")).cast("double").alias("b"), F.count_if("want").alias("w"), F.count_if("found").alias("f"))
-    p = c.select("source", F.when(F.col("f") > 0, F.col("b") / F.col("f")).otherwise(0.0).alias("p"), F.when(F.col("w") > 0, F.col("b") / F.col("w")).otherwise(0.0).alias("r"))
-    f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
-    return p.select("source", F.round("p", 9).alias("precision"), F.round("r", 9).alias("recall"), F.round(f1, 9).alias("f1"))
+    sets = j.groupBy("source").agg(
+        F.collect_set(F.when(F.col("n_chars") > 2000, F.col("doc_id"))).alias("found"), F.collect_set(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("want")
+    )
+    s = sets.select("source", evaluate.prf1(F.col("found"), F.col("want")).alias("s")).select("source", "s.*")
+    return s.select("source", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
 _PAIRS = "pairs AS (SELECT o_custkey, max(o_totalprice) FILTER (o_orderstatus = 'F') AS a, max(o_totalprice) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY 1 HAVING a IS NOT NULL AND b IS NOT NULL), dl AS (SELECT *, b - a AS delta FROM pairs)"
@@ -516,9 +515,56 @@ def _sign_test(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("arm_totals", "SELECT o_orderpriority AS arm, count(*) AS runs, count(*) FILTER (o_orderstatus = 'F') AS completed, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
 def _arm_totals(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("arm")).agg(
-        F.count("*").alias("runs"), F.count_if(F.col("o_orderstatus") == "F").alias("completed"), F.round(F.avg("o_totalprice"), 4).alias("mean")
-    )
+    out = evaluate.arm_totals(table(spark, d, "orders"), "o_orderpriority", F.col("o_orderstatus") == "F", "o_totalprice")
+    return out.withColumn("mean", F.round("mean", 4))
+
+
+_ANSWERS = """ans AS (SELECT o_orderkey AS task, any_value(o_orderpriority) AS arm, any_value(o_custkey) AS c, list(concat('src/f', l_partkey % 7, '.go') ORDER BY l_linenumber, l_partkey, l_suppkey) AS paths,
+  list(concat(' f', l_partkey % 9) ORDER BY l_linenumber, l_partkey, l_suppkey) AS names FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)"""
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """task, arm, c, paths and names, one row for each order."""
+    joined = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").join(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey"), "o_orderkey")
+    held = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l")
+    rows = joined.groupBy(F.col("o_orderkey").alias("task")).agg(F.min("o_orderpriority").alias("arm"), F.min("o_custkey").alias("c"), held)
+    paths = F.transform("l", lambda x: F.concat(F.lit("src/f"), (x["l_partkey"] % 7).cast("string"), F.lit(".go")))
+    names = F.transform("l", lambda x: F.concat(F.lit(" f"), (x["l_partkey"] % 9).cast("string")))
+    return rows.select("task", "arm", "c", paths.alias("paths"), names.alias("names"))
+
+
+@_query("retrieval_score", f"""WITH {_ANSWERS}, g AS (SELECT *, [concat('f', c % 7, '.go'), concat('lib/f', task % 5, '.go'), concat('/src/f', task % 3, '.go')] AS gold FROM ans),
+m AS (SELECT task, paths, gold, [p FOR p IN paths IF len([x FOR x IN gold IF x = p OR ends_with(p, '/' || x) OR ends_with(x, '/' || p)]) > 0] AS hits,
+  [x FOR x IN gold IF len([p FOR p IN paths IF x = p OR ends_with(p, '/' || x) OR ends_with(x, '/' || p)]) > 0] AS matched FROM g),
+s AS (SELECT task, paths[1] AS lead_file, len([x FOR x IN gold IF x = paths[1] OR ends_with(paths[1], '/' || x) OR ends_with(x, '/' || paths[1])]) > 0 AS lead_correct,
+  len(hits)::DOUBLE / len(paths) AS p, len(matched) / 3.0::DOUBLE AS r FROM m)
+SELECT task, lead_file, lead_correct, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM s""")
+def _retrieval(spark: SparkSession, d: str) -> DataFrame:
+    def path(head: str, number):  # noqa: ANN001, ANN202
+        return F.concat(F.lit(head), number.cast("string"), F.lit(".go"))
+
+    gold = F.array(path("f", F.col("c") % 7), path("lib/f", F.col("task") % 5), path("/src/f", F.col("task") % 3))
+    s = evaluate.retrieval_score(_answers(spark, d).withColumn("expected", gold))
+    return s.select("task", "lead_file", "lead_correct", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@_query("symbol_recall", """WITH b AS (SELECT item_id, text, [x.lower() FOR x IN regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')] AS named,
+  ['THE', 'Of', 'mentend', 'the' || item_id] AS gold FROM benchmark)
+SELECT item_id, array_to_string([g FOR g IN gold IF list_contains(named, lower(g))], ',') AS matched, array_to_string([g FOR g IN gold IF NOT list_contains(named, lower(g))], ',') AS missed,
+  round(len([g FOR g IN gold IF list_contains(named, lower(g))]) / 4.0::DOUBLE, 9) AS recall FROM b""")
+def _symbol_recall(spark: SparkSession, d: str) -> DataFrame:
+    gold = F.array(F.lit("THE"), F.lit("Of"), F.lit("mentend"), F.concat(F.lit("the"), F.col("item_id").cast("string")))
+    s = evaluate.symbol_recall(table(spark, d, "benchmark").select("item_id", F.col("text").alias("answer"), gold.alias("expected")))
+    return s.select("item_id", F.array_join("matched", ",").alias("matched"), F.array_join("missed", ",").alias("missed"), F.round("recall", 9).alias("recall"))
+
+
+@_query("arm_scores", f"""WITH {_ANSWERS}, g AS (SELECT task, arm, list_sort(list_distinct([trim(x) FOR x IN names])) AS pred, ['f1', concat('f', 2 + c % 7)] AS gold FROM ans)
+SELECT task, arm, array_to_string(list_sort([x FOR x IN gold IF list_contains(pred, x)]), ',') AS found, array_to_string(list_sort([x FOR x IN gold IF NOT list_contains(pred, x)]), ',') AS missed,
+  round(len([x FOR x IN gold IF list_contains(pred, x)]) / 2.0::DOUBLE, 9) AS recall, round(len([x FOR x IN gold IF list_contains(pred, x)])::DOUBLE / len(pred), 9) AS precision FROM g""")
+def _arm_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = _answers(spark, d).withColumn("predicted", F.col("names")).withColumn("expected", F.array(F.lit("f1"), F.concat(F.lit("f"), (F.col("c") % 7 + 2).cast("string"))))
+    s = evaluate.arm_scores(rows)
+    return s.select("task", "arm", F.array_join("found", ",").alias("found"), F.array_join("missed", ",").alias("missed"), F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
 
 
 # --------------------------------------------------------------------------------------------------------- scalars
@@ -702,10 +748,21 @@ def _snippets(spark: SparkSession, d: str) -> DataFrame:
     return search.with_snippets(rows, "text", q).select("id", "rank", "snippet")
 
 
-@_query("bootstrap_interval")
+_BOOT = 200
+
+
+@_query("bootstrap_interval", f"""WITH RECURSIVE r AS (SELECT c_nationkey, o_orderstatus, avg(o_totalprice) AS price FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+p AS (SELECT c_nationkey, max(price) FILTER (o_orderstatus = 'F') AS a, max(price) FILTER (o_orderstatus = 'O') AS b FROM r GROUP BY 1 HAVING a IS NOT NULL AND b IS NOT NULL),
+x AS (SELECT row_number() OVER (ORDER BY c_nationkey) - 1 AS i, b - a AS delta FROM p), n AS (SELECT count(*) AS n FROM x),
+rng(k, s) AS (SELECT 0, (4::UHUGEINT * 6364136223846793005 + 3) % 18446744073709551616 UNION ALL SELECT k + 1, (s * 6364136223846793005 + 3) % 18446744073709551616 FROM rng, n WHERE k + 1 < {_BOOT} * n),
+o AS (SELECT k, ((xor(s::UBIGINT >> 18, s::UBIGINT) >> 27) & 4294967295::UBIGINT) AS v, (s::UBIGINT >> 59)::INT AS rot FROM rng),
+w AS (SELECT k, (((v >> rot) | ((v << ((32 - rot) & 31)) & 4294967295::UBIGINT)))::BIGINT AS draw FROM o),
+m AS (SELECT k // n AS it, median(delta) AS m FROM w, n JOIN x ON x.i = draw % n GROUP BY 1), l AS (SELECT list(m ORDER BY m) AS m FROM m)
+SELECT round(m[{int(0.05 / 2 * _BOOT) + 1}], 6) AS low, round(m[{int(0.975 * _BOOT) + 1}], 6) AS high FROM l""")
 def _bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the median difference between two order states over nations: each nation is one task with both arms."""
     nation = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     runs = table(spark, d, "orders").join(nation, "o_custkey").groupBy("c_nationkey", "o_orderstatus").agg(F.avg("o_totalprice").alias("price"))
     pairs = evaluate.paired(runs, "c_nationkey", "o_orderstatus", "price", ("F", "O"))
-    return evaluate.bootstrap_ci([r["delta"] for r in pairs.orderBy("c_nationkey").select("delta").collect()], 500, spark=spark)  # one row a nation
+    deltas = [r["delta"] for r in pairs.orderBy("c_nationkey").select("delta").collect()]  # one row a nation
+    return evaluate.bootstrap_ci(deltas, _BOOT, spark=spark).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

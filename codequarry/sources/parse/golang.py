@@ -10,7 +10,11 @@ _ID = r"[A-Za-z_]\w*"
 _FUNC = re.compile(rf"^func\s*(?:\(\s*(?:({_ID})\s+)?\*?({_ID})(?:\[[^\]]*\])?\s*\)\s*)?({_ID})\s*(?:\[[^\]]*\]\s*)?(?=\()", re.M)
 _TYPE = re.compile(rf"^[ \t]*(?:type\s+)?({_ID})(?:\[[^\]=]*\])?\s*=?\s*(struct|interface)\s*(?=\{{)|^type\s+({_ID})(?:\[[^\]]*\])?\s+=?\s*([^\n{{]+)$", re.M)
 _CALL = re.compile(rf"((?:{_ID}\s*\.\s*)*)({_ID})\s*(?=\()")
-_KEYWORDS = set("if for switch select func return go defer range case var const type struct interface map chan else import package".split())
+# The language's keywords that can stand before a bracket.
+_KEYWORDS = {
+    "if", "for", "switch", "select", "func", "return", "go", "defer", "range", "case", "var", "const", "type", "struct",
+    "interface", "map", "chan", "else", "import", "package",
+}
 #: ``*pkg.Type`` with its bare name.
 _BARE = rf"\*?(?:{_ID}\.)?({_ID})"
 
@@ -97,7 +101,10 @@ def parse(path: str, raw: str) -> Parsed:
     for a, b in functions:
         for c in _CALL.finditer(text, a, b):
             chain, callee = [x.strip() for x in c[1].split(".")[:-1]], c[2]
-            before = text[: c.start()].rstrip()[-1:]
+            back = c.start()
+            while back and text[back - 1].isspace():
+                back -= 1
+            before = text[back - 1 : back]
             if callee in _KEYWORDS or before in (".", ")", "]") and not chain and before == ".":
                 continue
             if re.search(r"\bfunc\s*$", text[max(0, c.start() - 6) : c.start()]):

@@ -269,3 +269,58 @@ def test_tree_source(spark, tmp_path):
         q.stop()
     # the control file asked for one rebuild, and its removal for none
     assert store.manifest()["n"] == n + 1
+
+
+def test_published_generator():
+    """The draws of every stretch equal a plain run of the generator."""
+
+    def plain(seed, n):
+        state, inc, out = 0, seed << 1 | 1, []
+        for k in range(n + 2):
+            old, state = state, (state * 6364136223846793005 + inc) % 2**64
+            if k == 0:
+                state = (state + seed) % 2**64
+            x, rot = (((old >> 18) ^ old) >> 27) & 0xFFFFFFFF, old >> 59
+            out.append(((x >> rot) | (x << (-rot & 31))) & 0xFFFFFFFF)
+        return out[2:]
+
+    for seed in (1, 42, 2**40):
+        want = plain(seed, 300)
+        assert evaluate.pcg_draws(seed, 0, 300).tolist() == want and evaluate.pcg_draws(seed, 123, 7).tolist() == want[123:130] and evaluate.pcg_draws(seed, 5, 0).tolist() == []
+
+
+def test_enclosing_function_equals_looking_up(spark):
+    import random
+
+    rng = random.Random(2)
+    lines = [("f.py", i + 1, " " * rng.randrange(0, 9, 2) + rng.choice(["def f%d():" % i, "async def g%d():" % i, "x()", "y()"])) for i in range(200)]
+    lines += [("g.py", 1, "x()"), ("g.py", 2, "def h():"), ("g.py", 3, "  x()")]
+
+    def above(path, line, text):
+        depth = len(text) - len(text.lstrip())
+        for p, n, t in reversed([x for x in lines if x[0] == path and x[1] < line]):
+            if "def " in t and len(t) - len(t.lstrip()) < depth:
+                return t.split("def ")[1].split("(")[0]
+
+    hits = [x for x in lines if "()" in x[2] and "def" not in x[2]] + [lines[20]]
+    want = {(p, n, a) for p, n, t in hits if (a := above(p, n, t))}
+    make = lambda rows: spark.createDataFrame(rows, "path string, line int, text string")
+    assert {tuple(r) for r in evaluate.enclosing_function(make(lines), make(hits)).collect()} == want
+
+
+def test_probe_and_arm_reports(spark):
+    from codequarry.plans import reports
+
+    plain = spark.createDataFrame([
+        ("a.py", "def target():\n    pass\n"), ("b.py", "from a import target\n\ndef one():\n    target()\n"),
+        ("c.py", "import a.target as hidden\nimport target as t2\n\ndef two():\n    t2()\n"),
+    ], "path string, text string")
+    probe = {"task_id": "A1", "symbol": "target", "expected": ["one", "two"]}
+    scores = reports.run_probes(plain, [probe], lambda tool, symbol: '{"callers": [{"name": "one"}, {"name": "two"}, {"name": "three"}]}')
+    got = {r.arm: (r.found, r.missed, round(r.recall, 2), round(r.precision, 2), r.calls) for r in scores.collect()}
+    assert got[reports.ONE_SHOT] == (["one"], ["two"], 0.5, 1.0, 1) and got[reports.CHAINED] == (["one", "two"], [], 1.0, 1.0, 2)
+    assert got[reports.INDEX] == (["one", "two"], [], 1.0, 0.67, 1)
+    assert f"| {reports.ONE_SHOT} | 1/2 | 1.00 | 1 |" in reports.probe_report(scores)
+    rows = [(f"t{i}", arm, "completed" if i < 9 or arm == "b" else "failed", 0.5 + 0.1 * (arm == "b"), 1000.0 - 100 * i * (arm == "b"), 5.0) for i in range(10) for arm in "ab"]
+    text = reports.arms_report(spark.createDataFrame(rows, "task_id string, arm string, status string, quality double, tokens double, millis double"), ("a", "b"))
+    assert "| quality | 9 | +0.10 | +0.10 to +0.10 | 9 | 0 |" in text and "| tokens | 9 | -400.00 |" in text and "| a | failed | 1 |" in text
