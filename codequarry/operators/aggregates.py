@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codequarry.functions.text import top_level_dir
+
 
 def sole_value(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The value of each key that has exactly one distinct one; the bounds of the values tell, so no set is built."""
@@ -46,6 +48,27 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column | str], n: in
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def language_counts(functions: DataFrame) -> DataFrame:
+    return functions.groupBy("language").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
+
+
+def directory_map(functions: DataFrame) -> DataFrame:
+    """Functions and files below each top-level folder."""
+    return functions.groupBy(top_level_dir(F.col("file_path")).alias("dir")).agg(F.count("*").alias("functions"), F.count_distinct("file_path").alias("files"))
+
+
+def symbols_in_file(functions: DataFrame, path: str) -> DataFrame:
+    return functions.where(F.col("file_path") == path).orderBy("start_line", "name", "id")
+
+
+def file_summaries(functions: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
+    """file_path, language, and how many functions, types and imports a file has; one aggregate over all three."""
+    none = F.lit(None).cast("string")
+    marked = [functions.select("file_path", "language", F.lit("f").alias("t")), types.select("file_path", none.alias("language"), F.lit("t").alias("t")), imports.select("file_path", none.alias("language"), F.lit("i").alias("t"))]
+    counts = (F.count_if(F.col("t") == k).alias(f"{n}_count") for k, n in (("f", "function"), ("t", "type"), ("i", "import")))
+    return marked[0].unionByName(marked[1]).unionByName(marked[2]).groupBy("file_path").agg(F.min("language").alias("language"), *counts)
+
+
 def innermost(points: DataFrame, spans: DataFrame, file: str = "file_path") -> DataFrame:
     """The narrowest span around each point (point_id, file, line) among spans (id, file, start_line, end_line); ties go to the smallest id.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequarry.functions.text import query_words, tokens
+from codequarry.functions.text import alphanumeric, query_words, tokens
 
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
@@ -36,6 +36,21 @@ def postings(corpus: DataFrame, columns: list[str], id_col: str = "id") -> DataF
     return reduce(DataFrame.unionByName, parts)
 
 
+def vocabulary(post: DataFrame) -> DataFrame:
+    """term, occurrences, documents; a term's rows are counted by document first, so a frequent one arrives as partial counts."""
+    per_doc = post.groupBy("term", "id").agg(F.count("*").alias("n"))
+    return per_doc.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
+
+
+def is_exact(name: Column, query: str) -> Column:
+    """Whether a name is one of the query's terms, or all of them written together, letter case aside."""
+    terms = [t.lower() for t in re.findall(r"[A-Za-z0-9]+", query)]
+    if not terms:
+        return F.lit(False)
+    joined = F.lower(alphanumeric(name)) == "".join(terms)
+    return F.coalesce(F.lower(name).isin(terms) | (joined if len(terms) > 1 else F.lit(False)), F.lit(False))
+
+
 def lengths(corpus: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
     """(id, d): tokens of each row over all columns."""
     total = sum((F.coalesce(F.size(tokens(F.col(c))), F.lit(0)) for c in columns), F.lit(0))

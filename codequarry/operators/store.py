@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.operators import search
+from codequarry.operators.aggregates import file_summaries, symbols_in_file
 from codequarry.operators.resolve import affected_sites, build_calls
 from codequarry.schema import SCHEMA_VERSION, TABLES
 from codequarry.session import cut
@@ -220,14 +221,10 @@ class Store:
 
     # -- derived
     def file_summaries(self) -> DataFrame:
-        f = self.table("functions").groupBy("file_path").agg(F.min("language").alias("language"), F.count("*").alias("function_count"))
-        t = self.table("types").groupBy("file_path").agg(F.count("*").alias("type_count"))
-        i = self.table("imports").groupBy("file_path").agg(F.count("*").alias("import_count"))
-        out = f.join(t, "file_path", "full").join(i, "file_path", "full")
-        return out.fillna(0, ["function_count", "type_count", "import_count"])
+        return file_summaries(self.table("functions"), self.table("types"), self.table("imports"))
 
     def symbols_in_file(self, path: str) -> DataFrame:
-        return self.table("functions").where(F.col("file_path") == path).orderBy("start_line", "name").select("id", "name", "kind", "start_line", "end_line")
+        return symbols_in_file(self.table("functions"), path).select("id", "name", "kind", "start_line", "end_line")
 
 
 _SITES = "file_path string, line int, callee_name string"

@@ -5,7 +5,6 @@ Rows reach the driver only after a limit.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text as fn
 from codequarry.operators import graph, search
-from codequarry.operators.aggregates import top_per_key
+from codequarry.operators.aggregates import directory_map, language_counts, top_per_key
 from codequarry.operators.store import Store
 from codequarry.schema import RANKS
 from codequarry.sources.files import changed_files, glob_regex
@@ -79,7 +78,7 @@ _CORPORA = {
 }
 
 
-def _search(store: Store, corpus: str, q: search.Query, limit: int, file_filter: str | None) -> list[dict]:
+def _search(store: Store, corpus: str, query: str, q: search.Query, limit: int, file_filter: str | None) -> list[dict]:
     table, weights, body = _CORPORA[corpus]
     rows = store.table(table)
     own = F.col("corpus") == table
@@ -92,6 +91,7 @@ def _search(store: Store, corpus: str, q: search.Query, limit: int, file_filter:
     kind = F.lit("document") if corpus == "docs" else F.concat(F.lit("type/"), "kind") if corpus == "types" else F.when(F.col("kind") == "method", "method").otherwise("function")
     line = F.lit(1) if corpus == "docs" else F.col("start_line")
     out = top.select(name.alias("name"), kind.alias("kind"), F.col("file_path").alias("file"), line.alias("line"), "rank", "id", F.col(body).alias("_body"))
+    out = out.withColumn("_exact", search.is_exact(F.col("name"), query) & (F.col("kind") != "document"))
     out = search.with_snippets(out, "_body", q).withColumn("label", F.when(F.col("kind") == "document", "document").otherwise(fn.label(F.col("kind"))))
     return [r.asDict() for r in out.withColumn("priority", fn.priority(F.col("kind"))).drop("_body").orderBy("rank", "id").collect()]
 
@@ -109,7 +109,7 @@ def query_codebase(store: Store, query: str, limit: int | None = None, scope: st
             if scope in ("all", "files", corpus):
                 q = make(list(_CORPORA[corpus][1]))
                 own = min(n, 3) if corpus == "docs" and scope == "all" else n if corpus == "docs" else search.overfetch(n)
-                found += _search(store, corpus, q, own, file_filter) if q else []
+                found += _search(store, corpus, query, q, own, file_filter) if q else []
         return found
 
     found, expanded = run(lambda columns: search.understood(query, columns)), False
@@ -120,14 +120,7 @@ def query_codebase(store: Store, query: str, limit: int | None = None, scope: st
         for r in found:
             seen.setdefault(r["file"], r)
         found = list(seen.values())
-    terms = [t.lower() for t in re.findall(r"[A-Za-z0-9]+", query)]
-    joined = "".join(terms)
-
-    def exact(r: dict) -> bool:
-        plain = re.sub(r"[^A-Za-z0-9]", "", r["name"] or "").lower()
-        return r["kind"] != "document" and ((r["name"] or "").lower() in terms or (len(terms) > 1 and plain == joined))
-
-    hits = [r for r in found if exact(r)]
+    hits = [r for r in found if r.pop("_exact")]
     decision = _pick(hits)
     if hits and decision["answer_status"] == "definitive":
         results = [decision["canonical"], *(r for r in found if r is not decision["canonical"])][:n]
@@ -196,8 +189,8 @@ def get_architecture(store: Store, focus: str | None = None) -> str:
     ranked = functions.select("id", "name", "file_path", "start_line", "language").join(ranks, "id")
     files = graph.file_scores(functions, ranks).orderBy(F.desc("score"), "file_path").limit(10)
     top = [r.asDict() for r in files.collect()]
-    langs = functions.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").collect()
-    dirs = functions.groupBy(fn.top_level_dir(F.col("file_path")).alias("dir")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dir").limit(20).collect()
+    langs = language_counts(functions).orderBy(F.desc("n"), "language").collect()
+    dirs = directory_map(functions).withColumnRenamed("functions", "n").orderBy(F.desc("n"), "dir").limit(20).collect()
     key = ranked.orderBy(F.desc("score"), "name", "file_path").limit(15).collect()
     own = imports.where(F.col("file_path").isin([t["file_path"] for t in top]))
     needs = top_per_key(own.select("file_path", "imported_path").distinct(), ["file_path"], ["imported_path"], 5).orderBy("file_path", "imported_path").limit(30).collect()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text as fn
 from codequarry.operators import aggregates, edges, evaluate, graph, search
-from codequarry.plans import resolution
+from codequarry.plans import extraction, resolution
 from codequarry.plans.views import EDGE, SYM, symbols, table
 from codequarry.plans.views import edges as calls
 from codequarry.schema import EXTENSIONS
@@ -20,8 +20,8 @@ from codequarry.streaming.changes import debounce, latest_changes, relevant
 from codequarry.streaming.maintain import debounce_to_table, listing_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = dict(resolution.QUERIES)
-SQL: dict[str, str] = dict(resolution.SQL)
+QUERIES: dict[str, Query] = resolution.QUERIES | extraction.QUERIES
+SQL: dict[str, str] = resolution.SQL | extraction.SQL
 
 
 def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -167,18 +167,17 @@ def _language_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("language_counts", f"WITH {SYM} SELECT language, count(*) AS n, count(DISTINCT file_path) AS files FROM sym GROUP BY 1")
 def _language_counts(spark: SparkSession, d: str) -> DataFrame:
-    return symbols(spark, d).groupBy("language").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
+    return aggregates.language_counts(symbols(spark, d))
 
 
 @_query("directory_map", f"WITH {SYM} SELECT split_part(file_path, '/', 1) AS dir, count(*) AS functions, count(DISTINCT file_path) AS files FROM sym GROUP BY 1")
 def _directory_map(spark: SparkSession, d: str) -> DataFrame:
-    s = symbols(spark, d)
-    return s.groupBy(fn.top_level_dir(F.col("file_path")).alias("dir")).agg(F.count("*").alias("functions"), F.count_distinct("file_path").alias("files"))
+    return aggregates.directory_map(symbols(spark, d))
 
 
 @_query("file_symbols", f"WITH {SYM} SELECT id, name, start_line FROM sym WHERE file_path = 'Brand#7/PROMO'")
 def _file_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return symbols(spark, d).where("file_path = 'Brand#7/PROMO'").orderBy("start_line", "id").select("id", "name", "start_line")
+    return aggregates.symbols_in_file(symbols(spark, d), "Brand#7/PROMO").select("id", "name", "start_line")
 
 
 @_query("golden_edges", f"""WITH {SYM}, {EDGE} SELECT s.name AS caller_name, e.callee_name, e.file_path AS call_file, t.kind AS want_receiver, t.package AS want_package, t.file_path AS want_file, e.resolution AS want_marker
@@ -267,8 +266,7 @@ def _boolean_not(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("postings", f"WITH {_POST} SELECT term, count(*) AS occurrences, count(DISTINCT id) AS documents FROM post GROUP BY term")
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    per_doc = _post(spark, d).groupBy("term", "id").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
+    return search.vocabulary(_post(spark, d))
 
 
 @_query("suggestions", f"""WITH {SYM}, names AS (SELECT DISTINCT name, CASE WHEN kind LIKE 'type/%' THEN 1 ELSE 0 END AS src FROM sym),
@@ -283,8 +281,7 @@ def _suggestions(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("exact_match_terms", f"WITH {SYM} SELECT id, name FROM sym WHERE lower(name) IN ('small', 'ring') OR lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) = 'smallring'")
 def _exact_match(spark: SparkSession, d: str) -> DataFrame:
-    name = F.lower("name")
-    return symbols(spark, d).where(name.isin("small", "ring") | (F.lower(fn.alphanumeric(F.col("name"))) == "smallring")).select("id", "name")
+    return symbols(spark, d).where(search.is_exact(F.col("name"), "Small ring?")).select("id", "name")
 
 
 @_query("split_identifier", r"""WITH n AS (SELECT c_custkey AS id, replace(c_name, '#', 'HTTPServer') AS name FROM customer UNION ALL SELECT s_suppkey + 1000000, 'get' || s_name || 'v2x_id' FROM supplier),
@@ -657,9 +654,9 @@ c AS (SELECT s.file_path, count(*) AS calls FROM edge JOIN sym s ON s.id = calle
 def _file_summaries(spark: SparkSession, d: str) -> DataFrame:
     s = symbols(spark, d)
     is_type = F.col("kind").startswith("type/")
-    own = s.groupBy("file_path").agg(F.count_if(~is_type).alias("functions"), F.count_if(is_type).alias("types"))
-    made = calls(spark, d).join(s.select(F.col("id").alias("caller_id"), F.col("file_path").alias("f")), "caller_id").groupBy("f").agg(F.count("*").alias("calls"))
-    return own.join(made, own["file_path"] == made["f"], "left").select("file_path", "functions", "types", F.coalesce("calls", F.lit(0)).alias("calls"))
+    made = calls(spark, d).join(s.select(F.col("id").alias("caller_id"), F.col("file_path").alias("f")), "caller_id").select(F.col("f").alias("file_path"))
+    out = aggregates.file_summaries(s.where(~is_type), s.where(is_type), made)
+    return out.select("file_path", F.col("function_count").alias("functions"), F.col("type_count").alias("types"), F.col("import_count").alias("calls"))
 
 
 @_query("impact_both_ways", f"""WITH {SYM}, {EDGE}, e AS (SELECT callee_id AS up, caller_id AS down FROM edge WHERE resolution != 'interface-dispatch' AND callee_id IS NOT NULL AND callee_id != caller_id),
