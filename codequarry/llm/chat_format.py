@@ -13,8 +13,9 @@ Escape: a backslash is put between ``<`` and ``|`` wherever ``<``, any number of
 (reading back takes one away), and in roles ``\\`` and line ends become ``\\\\`` and ``\\n``.
 
 Defined results: null text or role is the empty string; null conv_id is one conversation; turns that tie in ``turn``
-go by role and text, and repeated rows stay as repeated turns; an empty table gives no conversations; further columns
-are ignored.
+go by role and text, and repeated rows stay as repeated turns; texts are taken whole, and one conversation is one record that
+a task holds at once, also the one of all rows without an id; an empty table gives no conversations; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
