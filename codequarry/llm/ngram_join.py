@@ -16,7 +16,7 @@ until the estimate for all together reaches ``RECALL``.  If it does not within `
 Verification is exact: the sets of a connected family are brought together once, every pair within it is compared by its
 true Jaccard similarity, links are counted per set, and again only stars of linked sets leave a task.  A family of up to
 ``TILE`` sets and ``TILE_BYTES`` is one task.  Of a larger one only the differences from one of its sets move: with
-D = A xor P for a member P, |A and B| = |P| - |P - A| - |P - B| + |DA and DB|.  These are dealt to blocks of
+D = A xor P for a member P, |A and B| = |P| - |P - A| - |P - B| + |DA and DB|.  These are dealt to blocks of at most
 ``WIDE_TILE`` sets and ``TILE_BYTES``, and each pair of blocks is a task.  Connected links give the classes.
 
 Defined results: words are runs of other than ASCII white space; a text of one to four words has one shingle of all its
@@ -53,7 +53,10 @@ PIVOTS = 8
 #: Buckets' pivots (a few kB each) that may be broadcast.
 PIVOT_ROWS = 5_000
 TILE = 512
-WIDE_TILE = 1024
+#: A family above ``TILE`` is dealt to this many blocks of ``LEAST_BLOCK`` sets or more, until blocks would hold more than ``WIDE_TILE``.
+WIDE_BLOCKS = 8
+LEAST_BLOCK = 256
+WIDE_TILE = 2048
 TILE_BYTES = 32 << 20
 #: Sketches that agree in fewer coordinates than the threshold less this many standard deviations aren't alike.
 SIGMAS = 4.0
@@ -489,10 +492,14 @@ def differences(rows: DataFrame) -> DataFrame:
     return rows.select(*names[:5], "pivot").mapInArrow(run, "family long, set long, copies long, size long, held binary, base long, gap long")
 
 
-def _blocks(rows: DataFrame, tile: int) -> DataFrame:
-    """family and the number of blocks that hold at most about ``tile`` of its sets and ``TILE_BYTES`` of their elements."""
+def _blocks(rows: DataFrame, tile: int, least: int = 1) -> DataFrame:
+    """family and the number of blocks that hold at most about ``tile`` of its sets and ``TILE_BYTES`` of their elements.
+
+    ``least``: as many blocks for a family that gives each of them ``LEAST_BLOCK`` sets.
+    """
     size = rows.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("held")).alias("bytes"))
-    return size.select("family", F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("bytes") / TILE_BYTES), F.lit(1)).cast("long").alias("blocks"), "n", "bytes")
+    even = F.least(F.lit(least), F.ceil(F.col("n") / LEAST_BLOCK))
+    return size.select("family", F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("bytes") / TILE_BYTES), even, F.lit(1)).cast("long").alias("blocks"))
 
 
 def true_links(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -510,7 +517,7 @@ def true_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     bytes_held = pivots.agg(F.coalesce(F.sum(F.length("pivot")), F.lit(0))).first()[0]
     near = full.join(F.broadcast(pivots) if bytes_held <= TILE_BYTES else pivots, "family")
     near = materialize(differences(near), "family-differences")
-    dealt = join_checked(near, materialize(_blocks(near, WIDE_TILE).select("family", "blocks"), "family-blocks"), "family", "inner")
+    dealt = join_checked(near, materialize(_blocks(near, WIDE_TILE, WIDE_BLOCKS), "family-blocks"), "family", "inner")
     return out.unionByName(verify_families(_tiled(dealt, "blocks")))
 
 
