@@ -633,7 +633,7 @@ def _language_and_kind(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("change_filter", rf"""WITH {_PATHS}, ev AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'src/.reindex-queue' ELSE path END AS path, (['write', 'remove', 'create'])[page_id % 3 + 1] AS op FROM paths)
 SELECT page_id, path, CASE WHEN path LIKE '%.reindex-queue' THEN 'full' WHEN op = 'remove' THEN 'delete' ELSE 'upsert' END AS op FROM ev
-WHERE path LIKE '%.reindex-queue' OR (regexp_matches(lower(path), '\.(go|py|yaml|md|tsx|rb)$') AND len(list_intersect(string_split(path, '/'), ['node_modules', 'vendor'])) = 0)""")
+WHERE (path LIKE '%.reindex-queue' AND op != 'remove') OR (regexp_matches(lower(path), '\.(go|py|yaml|md|tsx|rb)$') AND len(list_intersect(string_split(path, '/'), ['node_modules', 'vendor'])) = 0)""")
 def _change_filter(spark: SparkSession, d: str) -> DataFrame:
     op = F.element_at(F.array(*map(F.lit, ["write", "remove", "create"])), (F.col("page_id") % 3 + 1).cast("int"))
     path = F.when(F.col("page_id") % 11 == 0, "src/.reindex-queue").otherwise(F.col("path"))
