@@ -1,12 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
 Each text is cut into sentences.  A sentence above ``PIECE`` words counts as several, cut after the word of
-least hash in every ``PIECE`` consecutive words, so that no piece is longer and equal stretches are cut alike but for up to
-2 ``PIECE`` - 1 words at either end.  So any stretch of 50 words holds a run, wherever in its sentences it begins and ends.  From every sentence starts one
-run: the shortest run of at least ``RUN_SENTENCES`` sentences and ``RUN_WORDS`` words; one more ends with the text.  Runs are hashed over their
-words (white space and ASCII letter case don't matter) and joined over the whole corpus: the document of smallest id (of
-different texts of one id the one of smallest hash) keeps a run, at its first place there; in all others, and at later
-places, the sentences that the run covers go.
+least hash in every ``PIECE`` consecutive words, so that no piece is longer and equal stretches are cut alike but for some
+words at either end.  So any stretch of 50 words holds a run, wherever in its sentences it begins and ends; stretches under
+``RUN_WORDS`` words never do and stay.  From every sentence starts one run: the shortest one of at least ``RUN_SENTENCES``
+sentences and ``RUN_WORDS`` words; one more ends with the text.  Runs are hashed over their words (white space and ASCII letter
+case don't matter) and joined over the whole corpus: the document of smallest id (of different texts of one id the one of smallest
+hash) keeps a run, at its first place there; in all others, and at later places, the sentences that the run covers go.
 
 Counting: run hashes are summed before they move (count and smallest id), and the repeated ones are joined back on the
 hash, where Spark can split a run that a third of all rows hold.  Texts move once, to meet their own marks.
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import join_checked, materialize, mix64, power_table, read_table, row_key, word_hashes
 
 RUN_SENTENCES = 2
-RUN_WORDS = 12
-#: At most (50 - RUN_WORDS + 3) / 4, so that 50 words hold a run between the ends that may be cut differently; under RUN_WORDS.
+#: Half of the 50 words that are always found, so that a shared phrase or licence line is left alone.
+RUN_WORDS = 25
+#: 3 PIECE + RUN_WORDS is at most 52: of 50 shared words the first PIECE hold a cut that both texts have, all cuts but for the last
+#: PIECE - 1 words' are the same, and the first cut after the run's words comes within PIECE words.
 PIECE = 9
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))

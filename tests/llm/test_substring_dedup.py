@@ -111,6 +111,15 @@ def test_a_stretch_that_begins_and_ends_in_a_sentence_goes(make_docs):
     assert got[1].n_removed == 0 and got[2].n_words - got[2].n_words_left >= 12
 
 
+def test_a_shared_phrase_stays(make_docs):
+    rng = random.Random(15)
+    words = lambda n: " ".join(f"w{rng.randrange(99_999)}" for _ in range(n))
+    phrase = f"{words(sd.RUN_WORDS // 2)}. {words(sd.RUN_WORDS - 1 - sd.RUN_WORDS // 2)}."
+    rows = [(i, f"{words(30)}. {phrase} {words(30)}.") for i in range(20)]
+    got = result(make_docs, rows)
+    assert all(got[i].n_removed == 0 and got[i].text == t for i, t in rows)
+
+
 def test_edge_cases(make_docs):
     rows = [(0, None), (1, ""), (None, "a b. c d."), (3, "x y z. " * 30_000), (4, "short."), (4, "short."), (6, "...\n\n!!")]
     found = sd.dedup_substrings(make_docs([(i, t, "s", "en") for i, t in rows], "")).collect()
