@@ -9,7 +9,8 @@ case don't matter) and joined over the whole corpus: the document of smallest id
 hash) keeps a run, at its first place there; in all others, and at later places, the sentences that the run covers go.
 
 Counting: run hashes are summed before they move (count and smallest id), and the repeated ones are joined back on the
-hash, where Spark can split a run that a third of all rows hold.  Texts move once, to meet their own marks.
+hash, where Spark can split a run that a third of all rows hold.  Texts move once, to meet their own marks; only those that
+lose sentences are cut again.
 
 Defined results: null text is empty and stays null; a null id is replaced by a hash of the text; repeated rows of one id and
 text are one document and keep or lose the same sentences; different texts of one id are different documents; texts are cut and
@@ -98,11 +99,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def sentence_runs(docs: DataFrame) -> DataFrame:
+    """The runs of every document, and a row without hash that holds its numbers of sentences and words."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts: list[list[np.ndarray]] = [[] for _ in _ARROW]
+            sizes: list[tuple[int, int]] = []
             for key, ord_, raw in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), strict=True):
                 _, first, h = sentences(raw.as_py())
+                sizes.append((len(first), len(h)))
                 value, lo, hi = runs(first, h)
                 again = np.ones(len(value), dtype=bool)
                 again[np.unique(value, return_index=True)[1]] = False
@@ -111,13 +116,17 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
             if parts[0]:
                 arrays = [pa.array(np.concatenate(p), t) for p, t in zip(parts, _ARROW.types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+                m, n = (pa.array(x, pa.int32()) for x in zip(*sizes, strict=True))
+                none = [pa.nulls(len(sizes), t) for t in (pa.int64(), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), none[0], m, n, none[1]], schema=_ARROW)
 
     return _keyed(docs).select("key", "ord", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(emit, RUNS)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """ord, key and, for each document that loses sentences, the list of spans (first and last sentence)."""
-    rows = materialize(sentence_runs(docs), "sentence-runs")
+    """ord, key, numbers of sentences and words (m, n) of every document, and the spans that it loses (first and last sentence)."""
+    made = materialize(sentence_runs(docs), "sentence-runs")
+    rows = made.where("hash IS NOT NULL")
     common = materialize(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("ord").alias("owner")).where("n > 1").drop("n"), "repeated-runs")
     held = rows.join(common, "hash")
     later = F.col("again") | (F.col("ord") != F.col("owner"))
@@ -129,7 +138,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         least = materialize(own.groupBy("hash").agg(F.min("key").alias("least")), "shared-owners")
         held = held.join(least, "hash", "left")
         later = later | F.coalesce(F.col("key") != F.col("least"), F.lit(False))
-    return held.where(later).groupBy("ord", "key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    none = F.lit(None).cast("int")
+    lost = held.where(later).select("ord", "key", F.struct("first", "last").alias("span"), none.alias("m"), none.alias("n"))
+    sizes = made.where("hash IS NULL").select("ord", "key", F.lit(None).cast(lost.schema["span"].dataType).alias("span"), F.col("first").alias("m"), F.col("last").alias("n"))
+    return lost.unionByName(sizes).groupBy("ord", "key").agg(F.collect_set("span").alias("spans"), F.max("m").alias("m"), F.max("n").alias("n"))
 
 
 OUT = "doc_id long, n_sentences long, n_removed long, n_words long, n_words_left long, text string"
@@ -140,8 +152,6 @@ def remove_spans(raw: bytes, spans: list[dict[str, int]]) -> tuple[int, int, int
     """Sentences, sentences removed, words, words left, and the text without the sentences in ``spans``."""
     starts, first, h = sentences(raw)
     m = len(first)
-    if not spans:
-        return m, 0, len(h), len(h), raw
     gone = np.zeros(m, dtype=bool)
     for s in spans:
         gone[s["first"] : s["last"] + 1] = True
@@ -157,19 +167,21 @@ def remove_spans(raw: bytes, spans: list[dict[str, int]]) -> tuple[int, int, int
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """One row per document with its text without the repeated sentences."""
     marks = materialize(repeated_spans(docs), "sentence-marks")
-    rows = _keyed(docs).join(marks, ["ord", "key"], "left")
+    rows = _keyed(docs).join(marks, ["ord", "key"])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {c: [] for c in _OUT_ARROW.names}
-            for doc_id, raw, spans in zip(*(b.column(i) for i in range(3)), strict=True):
-                raw = raw.as_py()
-                m, gone, n, left, text = remove_spans(raw or b"", spans.as_py() or [])
+            for doc_id, raw, spans, m, n in zip(*b.columns, strict=True):
+                raw, spans, m, n = raw.as_py(), spans.as_py(), m.as_py(), n.as_py()
+                gone, left, text = 0, n, raw
+                if spans:  # a document that loses nothing was cut once, for its runs
+                    m, gone, n, left, text = remove_spans(raw, spans)
                 for c, v in zip(_OUT_ARROW.names, (doc_id.as_py(), m, gone, n, left, None if raw is None else text.decode()), strict=True):
                     out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_OUT_ARROW)
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "spans").mapInArrow(strip, OUT)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "spans", "m", "n").mapInArrow(strip, OUT)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
