@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.text import is_test_file
 from codequarry.operators.edges import confidence
-from codequarry.session import cut
+from codequarry.session import bounded, cut
 
 EXTERNAL = "(external)"
 MAX_DEPTH, MAX_IMPACT = 5, 1000
@@ -148,7 +148,7 @@ def inheritance_closure(bases: DataFrame, max_levels: int = 20) -> DataFrame:
     step = bases.select(F.col("class_name").alias("c"), F.col("base_name").alias("b"), "ord").distinct()
     now = bases.select("class_name", F.col("base_name").alias("ancestor"), F.array("ord").alias("path"))
     now = now.groupBy("class_name", "ancestor").agg(F.min("path").alias("path")).withColumn("level", F.lit(1)).where("class_name != ancestor")
-    found = cut(now, "closure")
+    (found,) = bounded(cut(now, "closure"))
     level = found
     for d in range(2, max_levels + 1):
         nxt = level.join(step, level["ancestor"] == step["c"]).where(F.col("b") != F.col("class_name"))
@@ -156,7 +156,7 @@ def inheritance_closure(bases: DataFrame, max_levels: int = 20) -> DataFrame:
         level = cut(nxt.join(found.select("class_name", "ancestor"), ["class_name", "ancestor"], "left_anti"), "closure")
         if level.isEmpty():
             break
-        found = cut(found.unionByName(level), "closure")
+        (found,) = bounded(cut(found.unionByName(level), "closure"))
     return found
 
 

@@ -2,7 +2,7 @@
 
 All lookups are keyed aggregates of the symbol tables.  Sites are parted by the kind of their receiver, and each part meets
 only the lookups that its rule needs, so no site moves for a lookup that can't decide it.  The joins are plain equi-joins:
-Spark broadcasts a lookup while it is small and shuffles beyond that.
+Spark broadcasts a lookup while it is small and shuffles beyond that; ``build_calls`` counts its tables for this (``bounded``).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from codequarry.operators.aggregates import first_nonempty, innermost, sole_value
 from codequarry.operators.graph import dispatch_edges, implements, inheritance_closure
 from codequarry.schema import BUILTINS, TYPED_LANGUAGES
-from codequarry.session import cut
+from codequarry.session import bounded, cut
 
 _ORDER = ("file_path", "start_line", "id")
 
@@ -58,9 +58,12 @@ def _builtin() -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def resolve_calls(sites: DataFrame, functions: DataFrame, types: DataFrame, bases: DataFrame, fields: DataFrame, variables: DataFrame) -> DataFrame:
-    """Adds callee_id and resolution to *materialized* call sites (with package: the scope that they stand in)."""
-    columns = sites.columns
+def resolve_calls(
+    sites: DataFrame, functions: DataFrame, types: DataFrame, bases: DataFrame, fields: DataFrame, variables: DataFrame,
+    methods: DataFrame | None = None, roots: DataFrame | None = None,
+) -> DataFrame:
+    """Adds callee_id and resolution to *materialized* call sites (with package: the scope that they stand in); methods, roots: where the functions' own are written already."""
+    columns, roots = sites.columns, repo_roots(functions) if roots is None else roots
     top = functions.where(~_is_method())
     by_package = _counted(top, "package", "name").where("n = 1").select(F.col("package").alias("p_pkg"), F.col("name").alias("p_name"), F.col("id").alias("p_id"), F.col("file").alias("p_file"))
     classes = types.where(F.col("kind").isin("class", "struct", "type", "interface")).select(F.col("name").alias("c_name")).distinct()
@@ -93,7 +96,7 @@ def resolve_calls(sites: DataFrame, functions: DataFrame, types: DataFrame, base
         typed.where(kind == "maybe-global").join(glob, (F.col("package") == F.col("g_pkg")) & (F.col("receiver_name") == F.col("g_name")), "left"),
         made.withColumn("on_type", F.coalesce("c_name", "r_type")),
     ]
-    methods = method_table(functions, bases).select(F.col("type").alias("m_type"), F.col("name").alias("m_name"), F.col("id").alias("m_id"))
+    methods = (method_table(functions, bases) if methods is None else methods).select(F.col("type").alias("m_type"), F.col("name").alias("m_name"), F.col("id").alias("m_id"))
     on_type = reduce(DataFrame.unionByName, [k.select(*columns, "on_type") for k in known])
     on_type = on_type.join(methods, (F.col("on_type") == F.col("m_type")) & (callee == F.col("m_name")), "left")
     out = out.unionByName(found(on_type, F.col("m_id"), F.when(F.col("m_id").isNotNull(), "receiver-typed").otherwise("unresolved")))
@@ -103,7 +106,7 @@ def resolve_calls(sites: DataFrame, functions: DataFrame, types: DataFrame, base
     by_top = _counted(top, "name").where("n = 1").select(F.col("name").alias("t_name"), F.col("id").alias("t_id"))
     bare = bare.where(~_builtin()).join(classes, callee == F.col("c_name"), "left")
     bare = bare.join(by_package, (F.col("package") == F.col("p_pkg")) & (callee == F.col("p_name")), "left")
-    bare = bare.join(by_top, F.col("imported_origin") == F.col("t_name"), "left").join(repo_roots(functions), F.col("imported_module_root") == F.col("root"), "left")
+    bare = bare.join(by_top, F.col("imported_origin") == F.col("t_name"), "left").join(roots, F.col("imported_module_root") == F.col("root"), "left")
     linked = F.col("t_id").isNotNull() & ((F.col("imported_module_root") == "") | F.col("root").isNotNull())
     marker = (
         F.when(F.col("c_name").isNotNull(), "constructor")
@@ -127,11 +130,15 @@ def attach_callers(sites: DataFrame, functions: DataFrame) -> DataFrame:
 
 def build_calls(sites: DataFrame, functions: DataFrame, types: DataFrame, bases: DataFrame, fields: DataFrame, variables: DataFrame) -> DataFrame:
     """The call table: one resolved edge per site, and the interface dispatch edges."""
-    own = cut(attach_callers(sites, functions), "sites")
-    plain = resolve_calls(own, functions, types, bases, fields, variables)
+    given = functions
+    sites, functions, types, bases, fields, variables = bounded(sites, functions, types, bases, fields, variables)
+    own, written = cut(attach_callers(sites, functions), "sites"), []
+    if functions is not given:  # methods come from a union, which bears no mark; the roots are few, with many sites each
+        written = bounded(cut(method_table(functions, bases), "methods"), cut(repo_roots(functions), "roots"))
+    plain = resolve_calls(own, functions, types, bases, fields, variables, *written)
     wanted = types.where("kind = 'interface'").select(F.col("name").alias("iface"), F.explode("methods").alias("method"))
     methods = functions.where(_is_method()).select(F.col("receiver_type").alias("type"), F.col("name").alias("method"), "id")
-    extra = dispatch_edges(own, implements(methods, wanted), methods)
+    extra = dispatch_edges(bounded(own)[0], implements(methods, wanted), methods)
     columns = ["caller_id", "callee_id", "callee_name", "file_path", "line", "resolution", "receiver_name"]
     return plain.select(*columns).unionByName(extra.select(*columns))
 

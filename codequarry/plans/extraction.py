@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.operators import resolve
 from codequarry.plans.views import table
-from codequarry.session import cut
+from codequarry.session import bounded, cut
 from codequarry.sources.extract import parse_files, symbol_tables
 
 PYTHON = """import os
@@ -113,16 +113,20 @@ SOURCES = [
     (PYTHON, "py/s{n}.py", "supplier", "s_suppkey"), (GO, "go/c{n}.go", "customer", "c_custkey"),
     (TYPESCRIPT, "web/n{n}.ts", "nation", "n_nationkey"), (RUBY, "rb/n{n}.rb", "nation", "n_nationkey"),
 ]
+#: A table of keys is a few bytes a row, so Spark would read the keys of a million files in one task.
+FILES_PER_TASK = 2_000
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     """path, content of all generated files."""
 
-    def one(template: str, path: str, name: str, key: str) -> DataFrame:
-        n = F.col(key).cast("string")
-        return table(spark, d, name).select(F.replace(F.lit(path), F.lit("{n}"), n).alias("path"), F.replace(F.lit(template), F.lit("{n}"), n).cast("binary").alias("content"))
+    def filled(texts: list[str]) -> Column:
+        return F.replace(F.element_at(F.array(*map(F.lit, texts)), F.col("source")), F.lit("{n}"), F.col("n"))
 
-    return reduce(DataFrame.unionByName, (one(*s) for s in SOURCES))
+    keys = (table(spark, d, name).select(F.lit(i).alias("source"), F.col(key).cast("string").alias("n")) for i, (_, _, name, key) in enumerate(SOURCES, 1))
+    rows = reduce(DataFrame.unionByName, keys)
+    dealt = rows.repartition(1 + rows.count() // FILES_PER_TASK)
+    return dealt.select(filled([s[1] for s in SOURCES]).alias("path"), filled([s[0] for s in SOURCES]).cast("binary").alias("content"))
 
 
 def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -140,7 +144,7 @@ def _types(spark: SparkSession, d: str) -> DataFrame:
 def _calls(spark: SparkSession, d: str) -> DataFrame:
     t = tables(spark, d)
     built = resolve.build_calls(t["call_sites"], t["functions"], t["types"], t["class_bases"], t["struct_fields"], t["package_vars"])
-    f = t["functions"]
+    (f,) = bounded(t["functions"])
     own = f.select(F.col("id").alias("caller_id"), F.col("name").alias("caller"))
     to = f.select(F.col("id").alias("callee_id"), F.concat_ws(".", F.when(F.col("receiver_type") != "", F.col("receiver_type")), "name").alias("target"))
     return built.join(own, "caller_id").join(to, "callee_id", "left").select("file_path", "caller", "line", "callee_name", "resolution", F.coalesce("target", F.lit("")).alias("target"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -65,3 +67,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a table of the tree may be broadcast.
+BROADCAST_ROWS = 250_000
+
+
+def bounded(*tables: DataFrame) -> list[DataFrame]:
+    """The tables, counted in one job; joins of one above the bound are sort-merge joins, others are left to Spark's statistics.
+
+    Those go by the size of files, and the columns of a large tree are a few bytes a row there: Spark would send millions of
+    rows through the driver.  What is projected, filtered or aggregated from a marked table stays marked up to its next join.
+    """
+    each = reduce(DataFrame.unionByName, (t.select(F.lit(i).alias("i")) for i, t in enumerate(tables)))
+    large = {r["i"] for r in each.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") > BROADCAST_ROWS).collect()}
+    return [t.hint("merge") if i in large else t for i, t in enumerate(tables)]
